@@ -43,9 +43,9 @@ def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _P4 = """
 WITH spans AS (
-  SELECT 'caption_segments' AS source_table, video_id, CAST(round(t0 * 1000) AS BIGINT) AS s, CAST(round(t1 * 1000) AS BIGINT) AS e
+  SELECT DISTINCT 'caption_segments' AS source_table, video_id, CAST(round(t0 * 1000) AS BIGINT) AS s, CAST(round(t1 * 1000) AS BIGINT) AS e
   FROM caption_segments WHERE error IS NULL AND t0 IS NOT NULL AND t1 IS NOT NULL
-  UNION ALL
+  UNION
   SELECT 'cadence_segments', video_id, CAST(round(t0 * 1000) AS BIGINT), CAST(round(t1 * 1000) AS BIGINT)
   FROM cadence_segments WHERE t0 IS NOT NULL AND t1 IS NOT NULL
 ), flagged AS (
