@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import queries_runs_groups
+
 
 def modules() -> list:
-    return []
+    return [queries_runs_groups]
