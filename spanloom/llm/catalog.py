@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_runs_groups
+from . import queries_runs_groups, queries_spans, queries_subset_packing
 
 
 def modules() -> list:
-    return [queries_runs_groups]
+    return [queries_runs_groups, queries_spans, queries_subset_packing]
