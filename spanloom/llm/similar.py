@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -18,80 +17,80 @@ from .vectors import by_kind, matrix, unit
 
 #: Vectors of a kind, at most, that the coarse cells are fitted on.
 SAMPLE = 16_384
-#: Coarse cells of a kind, before cells that are not well apart are joined.
-CELLS = 64
+#: A kind has one coarse cell for so many vectors, up to MAX_CELLS.
+CELL_POINTS = 128
+MAX_CELLS = 1_024
 #: Centres closer than this belong to one cell; a query also visits cells this much less similar than its own.
-JOINED = 0.5
-MARGIN = 0.3
+JOINED = 0.8
+MARGIN = 0.08
 #: Points of one graph.
-SHARD_POINTS = 16_384
-#: Queries answered by one task.
-CHUNK_QUERIES = 8_192
+SHARD_POINTS = 8_192
+#: Queries of other shards answered by one task.
+CHUNK_QUERIES = 16_384
 
 
-def fit_cells(x: np.ndarray, cells: int = CELLS, joined: float = JOINED, seed: int = 5, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def fit_cells(x: np.ndarray, cells: int, joined: float = JOINED, seed: int = 5, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Centres (unit length) and the cell of every centre; centres that are close share a cell."""
-    rng = np.random.default_rng(seed)
     x = unit(x).astype(np.float32)
-    centres = [x[rng.integers(len(x))]]
-    best = x @ centres[0]
-    for _ in range(min(cells, len(x)) - 1):  # the next centre is the vector farthest from all so far
-        far = int(best.argmin())
-        if best[far] > 0.999:
-            break
-        centres.append(x[far])
-        best = np.maximum(best, x @ x[far])
-    c = np.stack(centres)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:cells]].copy()
     for _ in range(rounds):
         at = (x @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            if (at == j).any():
-                m = x[at == j].mean(axis=0)
-                c[j] = m / max(np.linalg.norm(m), 1e-9)
-    cell = np.arange(len(c))
+        by = np.argsort(at, kind="stable")
+        used, first = np.unique(at[by], return_index=True)
+        sums = np.add.reduceat(x[by], first, axis=0)
+        c[used] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     near = c @ c.T >= joined
-    for _ in range(len(c)):  # smallest label over close centres, until stable
+    cell = np.arange(len(c))
+    while True:  # smallest label over close centres, until stable
         new = np.where(near, cell[None, :], len(c)).min(axis=1)
         if (new == cell).all():
-            break
+            return c, np.unique(cell, return_inverse=True)[1]
         cell = new
-    return c, cell
-
 
-class Router:
-    """Cells of every kind, and the shards of every cell."""
 
-    def __init__(self, fitted: dict[str, tuple[np.ndarray, np.ndarray]], margin: float):
-        self.fitted, self.margin = fitted, margin
-        self.shards: dict[tuple[str, int], int] = {}
+def plan_shards(centres: np.ndarray, cell: np.ndarray, counts: dict[int, int], shard_points: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of every cell.
 
-    def cells(self, kind: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Own cell of every vector, and rows and cells of the visits to others."""
-        c, cell = self.fitted[kind]
-        sims = unit(x).astype(np.float32) @ c.T
-        names = np.unique(cell)
-        by_cell = np.stack([sims[:, cell == n].max(axis=1) for n in names], axis=1)
-        own = by_cell.argmax(axis=1)
-        visit = by_cell >= by_cell.max(axis=1, keepdims=True) - self.margin
-        visit[np.arange(len(x)), own] = False
-        rows, to = np.nonzero(visit)
-        return names[own], np.stack([rows, names[to]]) if len(rows) else np.zeros((2, 0), int)
-
-
-def _shard(ids: list, shards: np.ndarray) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) for i in ids], np.int64) % shards
+    A cell of more than ``shard_points`` points gets shards of its own; smaller ones share a shard
+    with their nearest neighbours, up to that many points.
+    """
+    n_cells = int(cell.max()) + 1
+    first, number = np.zeros(n_cells, np.int64), np.ones(n_cells, np.int64)
+    size = np.array([counts.get(i, 0) for i in range(n_cells)])
+    middle = np.stack([centres[cell == i].mean(axis=0) for i in range(n_cells)])
+    made = 0
+    for i in np.flatnonzero(size > shard_points):
+        first[i], number[i] = made, -(-size[i] // shard_points)
+        made += number[i]
+    open_ = list(np.flatnonzero(size <= shard_points))
+    while open_:
+        seed = open_.pop(int(np.argmax(size[open_])))
+        room = shard_points - size[seed]
+        first[seed] = made
+        order = np.argsort(-(middle[open_] @ middle[seed]), kind="stable") if open_ else []
+        taken = set()
+        for j in order:
+            if size[open_[j]] > room:
+                break
+            room -= size[open_[j]]
+            first[open_[j]] = made
+            taken.add(j)
+        open_ = [c for j, c in enumerate(open_) if j not in taken]
+        made += 1
+    return first, number
 
 
 def _classes(vecs: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ids with the hash of their vector; the first ``keep`` ids of every distinct vector; the distinct vectors."""
     parts = ["kind", "h1", "h2"]
-    hashed = vecs.select("id", "kind", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), F.reverse("vec")).alias("h2"))
-    first = hashed.withColumn("rn", F.row_number().over(Window.partitionBy(*parts).orderBy("id"))).filter(F.col("rn") <= keep)
-    first = cut(first.withColumn("vec", F.when(F.col("rn") == 1, F.col("vec"))))
-    return hashed.select("id", *parts), first.select("id", "rn", *parts), first.filter("rn = 1").select("id", *parts, "vec")
+    hashed = cut(vecs.select("id", "kind", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), F.reverse("vec")).alias("h2")))
+    everyone = hashed.select("id", *parts)
+    few = cut(everyone.withColumn("rn", F.row_number().over(Window.partitionBy(*parts).orderBy("id"))).filter(F.col("rn") <= keep))
+    points = hashed.select("id", "kind", "vec").join(few.filter("rn = 1").select("id"), "id", "left_semi")
+    return everyone, few, points
 
 
-def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAMPLE, cells: int = CELLS, joined: float = JOINED,
+def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAMPLE, cell_points: int = CELL_POINTS, joined: float = JOINED,
                  margin: float = MARGIN, shard_points: int = SHARD_POINTS, chunk_queries: int = CHUNK_QUERIES,
                  ground: int = GROUND, beam_build: int = BEAM_BUILD, beam: int = BEAM_SEARCH) -> DataFrame:
     """``id, neighbour, similarity``: the k most similar other vectors of the same kind for every one.
@@ -101,102 +100,105 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
     others gets them all; empty input gives an empty result.  Exact copies of a vector are one point
     of the graphs, and their ids are put back afterwards, so a crowd of copies costs no search.
 
-    Vectors are dealt into cells that are well apart (fitted on at most ``sample`` vectors of a kind,
-    every vector is indexed) and a cell into shards of at most about ``shard_points`` points by a hash
-    of the id; each shard gets a graph of its own.  A query searches all shards of its cell and of any
-    cell within ``margin`` of its own, and the results are merged.  The graph's candidates are compared
-    exactly, so only the choice of candidates is approximate.
+    Vectors are dealt into coarse cells (fitted on at most ``sample`` vectors of a kind; every vector
+    is indexed), neighbouring cells into shards of about ``shard_points`` points, and large cells into
+    several shards by a hash of the id.  Each shard gets a graph of its own.  A query searches every
+    shard of its cell and of the cells whose centre is at most ``margin`` less similar than that of its
+    own, and the results are merged.  The candidates a graph gives are compared exactly, so only the
+    choice of candidates is approximate.
     """
     spark = vecs.sparkSession
-    vecs = cut(vecs)
     everyone, few, points = _classes(vecs, k + 1)
     key = {f.name: f.dataType.simpleString() for f in vecs.schema}["id"]
-    sizes = {r["kind"]: r["count"] for r in points.groupBy("kind").count().collect()}  # one row a kind
+    sizes = {r["kind"]: r["count"] for r in few.filter("rn = 1").groupBy("kind").count().collect()}  # one row a kind
     empty = f"id {key}, neighbour {key}, similarity double"
     if not sizes:
         return spark.createDataFrame([], empty)
+    points = points.withColumn("h", F.xxhash64("id", F.lit(17)))
     share = F.lit(0.0)
     for kind, n in sizes.items():
-        share = F.when(F.col("kind") == kind, min(1.0, 0.9 * sample / n)).otherwise(share)
-    taken = points.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < share * (1 << 30)).select("kind", "vec").toArrow()
+        share = F.when(F.col("kind") == kind, 1.0 if n <= sample else 0.95 * sample / n).otherwise(share)
+    taken = vecs_of_few(points, share)
     fitted = {}
     names = taken.column("kind").to_numpy()
     for kind, n in sizes.items():
         at = np.flatnonzero(names == kind)
-        if len(at) == 0:
-            at_vec = np.asarray(points.filter(F.col("kind") == kind).select("vec").first()[0], np.float32)[None, :]
-        else:
-            at_vec = matrix(taken.column("vec").take(pa.array(at)))
-        fitted[kind] = fit_cells(at_vec, cells, joined)
-    router = Router(fitted, margin)
-    shared = spark.sparkContext.broadcast(router)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[tuple[str, int], int] = {}
+        fitted[kind] = fit_cells(matrix(taken.column("vec").take(pa.array(at))), min(MAX_CELLS, max(1, n // cell_points)), joined)
+    shared = spark.sparkContext.broadcast(fitted)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Own cell of every vector and all cells it visits."""
         for b in batches:
             for kind, at in by_kind(b):
-                cell, _ = shared.value.cells(kind, matrix(b.column("vec").take(pa.array(at))))
-                for c, n in zip(*np.unique(cell, return_counts=True)):
-                    own[kind, int(c)] = own.get((kind, int(c)), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in own], pa.string()), pa.array([c for _, c in own], pa.int32()), pa.array(list(own.values()), pa.int64())], ["kind", "cell", "n"])
-
-    counts = points.select("kind", "vec").mapInArrow(tally, "kind string, cell int, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
-    router.shards = {(r["kind"], r["cell"]): max(1, -(-r["n"] // shard_points)) for r in counts}  # at most `cells` a kind
-    many = {c: -(-r["n"] // chunk_queries) for r in counts if (c := (r["kind"], r["cell"]))}
-    routes = spark.sparkContext.broadcast(router)
+                here = b.take(pa.array(at))
+                c, cell = shared.value[kind]
+                sims = unit(matrix(here.column("vec"))).astype(np.float32) @ c.T
+                best = sims.argmax(axis=1)
+                rows, centres = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - margin)
+                both = np.unique(rows * (len(c) + 1) + cell[centres])
+                ends = np.searchsorted(both // (len(c) + 1), np.arange(len(at) + 1))
+                visits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(both % (len(c) + 1), pa.int32()))
+                yield pa.RecordBatch.from_arrays([here.column("id"), here.column("kind"), here.column("vec"), here.column("h"), pa.array(cell[best], pa.int32()), visits],
+                                                 ["id", "kind", "vec", "h", "cell", "visits"])
+
+    routed = cut(points.select("id", "kind", "vec", "h").mapInArrow(route, f"id {key}, kind string, vec array<float>, h bigint, cell int, visits array<int>"))
+    counts: dict[str, dict[int, int]] = {kind: {} for kind in sizes}
+    for r in routed.groupBy("kind", "cell").count().collect():  # at most MAX_CELLS a kind
+        counts[r["kind"]][r["cell"]] = r["count"]
+    plan = {kind: plan_shards(*fitted[kind], counts[kind], shard_points) for kind in sizes}
+    plans = spark.sparkContext.broadcast(plan)
+
+    def own_shard(first: np.ndarray, number: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        cell = b.column("cell").to_numpy()
+        return first[cell] + b.column("h").to_numpy() % number[cell]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = routes.value
         for b in batches:
             for kind, at in by_kind(b):
-                take = pa.array(at)
-                vec, ids = b.column("vec").take(take), b.column("id").take(take)
-                cell, _ = r.cells(kind, matrix(vec))
-                shard = _shard(ids.to_pylist(), np.array([r.shards[kind, int(c)] for c in cell]))
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(cell, pa.int32()), pa.array(shard, pa.int32()), ids, vec], ["kind", "cell", "shard", "id", "vec"])
+                here = b.take(pa.array(at))
+                shard = own_shard(*plans.value[kind], here)
+                yield pa.RecordBatch.from_arrays([here.column("kind"), pa.array(shard), here.column("id"), here.column("vec")], ["kind", "shard", "id", "vec"])
 
     def guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Visits to shards other than a vector's own."""
-        r = routes.value
+        """Visits to shards other than a vector's own; the other columns of the batch follow it."""
         for b in batches:
             for kind, at in by_kind(b):
-                take = pa.array(at)
-                vec, ids = b.column("vec").take(take), b.column("id").take(take)
-                cell, visits = r.cells(kind, matrix(vec))
-                own_shards = np.array([r.shards[kind, int(c)] for c in cell])
-                mine = _shard(ids.to_pylist(), own_shards)
-                rows, to, shard = [], [], []
-                for i in np.flatnonzero(own_shards > 1):
-                    for s in range(own_shards[i]):
-                        if s != mine[i]:
-                            rows.append(i)
-                            to.append(cell[i])
-                            shard.append(s)
-                for i, c in visits.T:
-                    for s in range(r.shards.get((kind, int(c)), 0)):
-                        rows.append(i)
-                        to.append(c)
-                        shard.append(s)
-                pos = pa.array(np.array(rows, np.int64))
-                chunk = [zlib.crc32(str(x).encode()) // 97 % many[kind, int(c)] for x, c in zip(ids.take(pos).to_pylist(), to)]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(to, pa.int32()), pa.array(shard, pa.int32()), pa.array(chunk, pa.int32()), ids.take(pos), vec.take(pos)], ["kind", "cell", "shard", "chunk", "id", "vec"])
+                here = b.take(pa.array(at))
+                first, number = plans.value[kind]
+                mine = own_shard(first, number, here)
+                lists = here.column("visits")
+                offsets = lists.offsets.to_numpy()
+                row = np.repeat(np.arange(len(at)), np.diff(offsets))
+                cell = lists.flatten().to_numpy()
+                n = number[cell]
+                row, base = np.repeat(row, n), np.repeat(first[cell], n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                both = np.unique(np.stack([row, base + step]), axis=1)
+                both = both[:, both[1] != mine[both[0]]]
+                pos = pa.array(both[0])
+                rest = [c for c in b.schema.names if c not in ("kind", "cell", "visits")]
+                yield pa.RecordBatch.from_arrays([here.column("kind").take(pos), pa.array(both[1]), *[here.column(c).take(pos) for c in rest]], ["kind", "shard", *rest])
 
     def ranked(q: np.ndarray, q_ids: list, x: np.ndarray, ids: list, found: np.ndarray) -> pd.DataFrame:
         """Exact order of the best candidates of every query."""
-        found = found[:, : 3 * k + 10]
-        q, norm = q.astype(np.float64), np.linalg.norm(x.astype(np.float64), axis=1)
+        found = found[:, : 2 * k + 6]
+        q, x = q.astype(np.float64), x.astype(np.float64)
+        norm = np.linalg.norm(x, axis=1)
         src, dst, sim = [], [], []
-        for i, cand in enumerate(found):
-            cand = cand[cand >= 0]
-            s = np.round(x[cand].astype(np.float64) @ q[i] / (norm[cand] * np.linalg.norm(q[i])), digits)
-            best = sorted(((-v, ids[c]) for v, c in zip(s.tolist(), cand.tolist()) if ids[c] != q_ids[i]))[:k]
-            src += [q_ids[i]] * len(best)
-            dst += [b for _, b in best]
-            sim += [-a for a, _ in best]
+        for a in range(0, len(q), 512):
+            part, cand = q[a : a + 512], found[a : a + 512]
+            s = np.einsum("qd,qkd->qk", part, x[np.maximum(cand, 0)]) / (norm[np.maximum(cand, 0)] * np.linalg.norm(part, axis=1)[:, None])
+            for i, (vals, cs) in enumerate(zip(np.round(s, digits).tolist(), cand.tolist())):
+                me = q_ids[a + i]
+                best = sorted((-v, ids[c]) for v, c in zip(vals, cs) if c >= 0 and ids[c] != me)[:k]
+                src += [me] * len(best)
+                dst += [b for _, b in best]
+                sim += [-v for v, _ in best]
         return pd.DataFrame({"id": src, "neighbour": dst, "similarity": sim})
 
-    schema = f"id {key}, neighbour {key}, similarity double, graph binary, kind string, cell int, shard int"
-    cols = ["id", "neighbour", "similarity", "graph", "kind", "cell", "shard"]
+    visitors = routed.select("kind", "cell", "h", "visits").mapInArrow(guests, "kind string, shard bigint, h bigint").groupBy("kind", "shard").count().collect()
+    chunks_of = {(r["kind"], r["shard"]): -(-r["count"] // chunk_queries) for r in visitors}  # one row a shard
+    schema = f"id {key}, neighbour {key}, similarity double, graph binary, kind string, shard bigint"
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
@@ -204,30 +206,24 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
         ids = frame["id"].tolist()
         graph = Graph(unit(raw).astype(np.float32), ground, beam_build)
         out = ranked(raw, ids, raw, ids, graph.search(graph.x, beam, np.arange(len(ids))))
-        where = frame["kind"].iloc[0], int(frame["cell"].iloc[0]), int(frame["shard"].iloc[0])
+        where = frame["kind"].iloc[0], int(frame["shard"].iloc[0])
         out["graph"] = None
-        if where[:2] in visited:
+        if where in chunks_of:
             stored = pickle.dumps((graph.arrays(), ids, raw), protocol=5)
             out = pd.concat([out, pd.DataFrame({"graph": [stored]})])
-        out["kind"], out["cell"], out["shard"] = where
-        return out.reindex(columns=cols)
-
-    def visits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for b in guests(batches):
-            seen |= set(zip(b.column("kind").to_pylist(), b.column("cell").to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int32())], ["kind", "cell"])
-
-    visited = {(r["kind"], r["cell"]) for r in points.select("kind", "id", "vec").mapInArrow(visits_of, "kind string, cell int").distinct().collect()}
-    dealt = points.select("kind", "id", "vec").mapInArrow(deal, f"kind string, cell int, shard int, id {key}, vec array<float>")
-    built = cut(dealt.groupBy("kind", "cell", "shard").applyInPandas(build, schema))
+        out["kind"], out["shard"] = where
+        return out.reindex(columns=["id", "neighbour", "similarity", "graph", "kind", "shard"])
+
+    dealt = routed.select("kind", "cell", "h", "id", "vec").mapInArrow(deal, f"kind string, shard bigint, id {key}, vec array<float>")
+    built = cut(dealt.groupBy("kind", "shard").applyInPandas(build, schema))
     found = built.filter(F.col("graph").isNull()).select("id", "neighbour", "similarity")
-    if visited:
-        graphs = built.filter(F.col("graph").isNotNull()).select("kind", "cell", "shard", "graph")
-        chunks = spark.createDataFrame([(a, c, n) for (a, c), n in many.items()], "kind string, cell int, n int")
-        spread = graphs.join(F.broadcast(chunks), ["kind", "cell"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-        asked = points.select("kind", "id", "vec").mapInArrow(guests, f"kind string, cell int, shard int, chunk int, id {key}, vec array<float>")
-        on = ["kind", "cell", "shard", "chunk"]
+    if chunks_of:
+        graphs = built.filter(F.col("graph").isNotNull()).select("kind", "shard", "graph")
+        chunks = spark.createDataFrame([(a, s, n) for (a, s), n in chunks_of.items()], "kind string, shard bigint, n int")
+        graphs = graphs.join(F.broadcast(chunks), ["kind", "shard"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        asked = routed.select("kind", "cell", "visits", "h", "id", "vec").mapInArrow(guests, f"kind string, shard bigint, h bigint, id {key}, vec array<float>")
+        asked = asked.join(F.broadcast(chunks), ["kind", "shard"]).withColumn("chunk", F.pmod(F.shiftright("h", 16), F.col("n")).cast("int")).drop("n", "h")
+        on = ["kind", "shard", "chunk"]
 
         def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
@@ -236,7 +232,7 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
             q = np.stack(left["vec"].to_numpy()).astype(np.float32)
             return ranked(q, left["id"].tolist(), raw, ids, Graph.of(arrays).search(unit(q).astype(np.float32), beam))
 
-        found = found.unionByName(asked.groupBy(*on).cogroup(spread.groupBy(*on)).applyInPandas(answer, empty))
+        found = found.unionByName(asked.groupBy(*on).cogroup(graphs.groupBy(*on)).applyInPandas(answer, empty))
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     near = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).select("id", "neighbour", "similarity")
     # copies: neighbours of a distinct vector stand for the first ids of each neighbouring vector
@@ -252,3 +248,8 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
     each = everyone.join(top, parts).filter(F.col("id") != F.col("neighbour"))
     final = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return each.withColumn("rn", F.row_number().over(final)).filter(F.col("rn") <= k).select("id", "neighbour", "similarity")
+
+
+def vecs_of_few(points: DataFrame, share: Column) -> pa.Table:
+    """A hash sample of the points, ``share`` of each kind."""
+    return points.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("kind", "vec").toArrow()
