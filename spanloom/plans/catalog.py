@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problem_queries
+from . import problem_queries, vector_queries
 
 
 def modules() -> list:
-    return [problem_queries]
+    return [problem_queries, vector_queries]
