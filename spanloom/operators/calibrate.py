@@ -2,67 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import exact_grid, numbered, running_total
+
 POINTS = 201
 
 
 def null_grid(long: DataFrame, group: list[str], value: str, points: int = POINTS) -> DataFrame:
-    """Exact percentile grid, mean and population deviation per group: ``group, n_pairs, quantiles, mean_value, std_value``.
+    """Exact percentile grid, mean and population deviation: ``group, n_pairs, quantiles, mean_value, std_value``.
 
     NaN and null values do not count.
     """
-    at = ", ".join(f"{i / (points - 1)!r}D" for i in range(points))
+    grid = exact_grid(long, group, value, points)
     ok = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return ok.groupBy(*group).agg(
-        F.count("*").alias("n_pairs"), F.expr(f"percentile({value}, array({at}))").alias("quantiles"), F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("std_value"))
+    moments = ok.groupBy(*group).agg(F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("std_value"))
+    return grid.withColumnRenamed("n", "n_pairs").join(moments, group)
 
 
 def one_sided_percentile(values: DataFrame, null: DataFrame, value: str, null_value: str, out: str = "percentile") -> DataFrame:
-    """Share of null values strictly below each value, in percent, without comparing all with all.
+    """Share of null values strictly below each value, in percent; null for a null or NaN value.
 
-    Both sides are counted per distinct value; counts are accumulated within ranges and the ranges'
-    totals are added, so no task holds more than one range.
+    Both sides are counted per distinct value and ranked by running totals, without comparing all with all.
     """
     ok = lambda df, c: df.filter(F.col(c).isNotNull() & ~F.isnan(c))
-    both = ok(null, null_value).groupBy(F.col(null_value).alias("x")).agg(F.count("*").alias("n")).withColumn("asked", F.lit(False)).unionByName(
-        ok(values, value).select(F.col(value).alias("x")).distinct().withColumn("n", F.lit(0).cast("bigint")).withColumn("asked", F.lit(True)))
-    ranked = running_total(both, "x", "n", strict=True)
-    total = F.broadcast(ok(null, null_value).agg(F.count("*").alias("total")))
-    share = ranked.filter("asked").join(total).select(F.col("x").alias("__x"), (F.col("before") * 100.0 / F.col("total")).alias(out))
+    known = ok(null, null_value).groupBy(F.col(null_value).alias("x")).agg(F.count("*").alias("n")).withColumn("asked", F.lit(0))
+    asked = ok(values, value).select(F.col(value).alias("x")).distinct().withColumn("n", F.lit(0).cast("bigint")).withColumn("asked", F.lit(1))
+    ranked = running_total(known.unionByName(asked), "x", "n").filter("asked = 1")
+    share = ranked.select(F.col("x").alias("__x"), (F.col("before") * 100.0 / F.col("whole")).alias(out))
     return values.join(share, values[value] == F.col("__x"), "left").drop("__x")
 
 
-def running_total(df: DataFrame, order: str, amount: str, descending: bool = False, strict: bool = False, ranges: int = 64) -> DataFrame:
-    """Adds ``before`` (sum of ``amount`` at smaller ``order``) and, unless strict, ``upto`` (that and equal ones).
-
-    The order column is cut into ranges at its quantiles; each range is summed on its own and gets the
-    totals of the ranges before it, of which there are at most ``ranges``.
-    """
-    cuts = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.005)
-    bounds = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    df = df.withColumn("__part", part)
-    sums = df.groupBy("__part").agg(F.sum(amount).alias("__s"))
-    by = F.desc("__part") if descending else F.asc("__part")
-    offs = sums.withColumn("__off", F.coalesce(F.sum("__s").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    df = df.join(F.broadcast(offs), "__part")
-    inner = Window.partitionBy("__part").orderBy(F.desc(order) if descending else F.asc(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("__part", order)
-    df = df.withColumn("__upto", F.sum(amount).over(inner) + F.col("__off")).withColumn("before", F.col("__upto") - F.sum(amount).over(same))
-    return (df if strict else df.withColumn("upto", F.col("__upto"))).drop("__part", "__off", "__upto")
-
-
 def score_counts(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """Positives and negatives per distinct score, with those at higher scores: ``score, pos, neg, pos_at, neg_at``.
+    """Positives and negatives per distinct score, with those at or above it: ``score, pos, neg, pos_at, neg_at, all_pos, all_neg``.
 
-    ``pos_at`` and ``neg_at`` count rows at or above the score.
+    Rows with a null or NaN score, or without a label, do not count.
     """
     ok = df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(positive).isNotNull())
     c = ok.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("neg"))
-    p = running_total(c, "score", "pos", descending=True).withColumnRenamed("upto", "pos_at").drop("before")
-    return running_total(p, "score", "neg", descending=True).withColumnRenamed("upto", "neg_at").drop("before")
+    p = running_total(c, "score", "pos", descending=True).withColumnsRenamed({"upto": "pos_at", "whole": "all_pos"}).drop("before")
+    return running_total(p, "score", "neg", descending=True).withColumnsRenamed({"upto": "neg_at", "whole": "all_neg"}).drop("before")
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -81,20 +61,17 @@ def rank_auc(df: DataFrame, score: str, positive: str, order: list[str]) -> Data
     Kept for comparison with ``auc``, which is the one to use.
     """
     ok = df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(positive).isNotNull())
-    rn = F.row_number().over(Window.orderBy(score, *order))
     pos = F.col(positive)
-    s = ok.withColumn("rn", rn).agg(F.sum(F.when(pos, F.col("rn"))).alias("r"), F.sum(pos.cast("bigint")).alias("p"), F.count("*").alias("n"))
+    s = numbered(ok, score, order, out="rn").agg(F.sum(F.when(pos, F.col("rn"))).alias("r"), F.sum(pos.cast("bigint")).alias("p"), F.count("*").alias("n"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
 
 def f1_sweep(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Every distinct score as a threshold (score >= t): ``threshold, tp, fp, fn, precision, recall, f1``."""
-    c = score_counts(df, score, positive)
-    total = F.broadcast(df.filter(F.col(score).isNotNull() & ~F.isnan(score)).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("P")))
-    tp, fp, fn = F.col("pos_at"), F.col("neg_at"), F.col("P") - F.col("pos_at")
-    r = c.join(total)
+    r = score_counts(df, score, positive)
+    tp, fp, fn = F.col("pos_at"), F.col("neg_at"), F.col("all_pos") - F.col("pos_at")
     return r.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (tp / (tp + fp)).alias("precision"),
-                    F.when(F.col("P") > 0, tp / F.col("P")).otherwise(0.0).alias("recall"), F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"))
+                    F.when(F.col("all_pos") > 0, tp / F.col("all_pos")).otherwise(0.0).alias("recall"), F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"))
 
 
 def best_cut(df: DataFrame, score: str, positive: str) -> DataFrame:

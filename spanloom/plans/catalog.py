@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problem_queries, vector_queries
+from . import calibration_queries, problem_queries, vector_queries
 
 
 def modules() -> list:
-    return [problem_queries, vector_queries]
+    return [problem_queries, vector_queries, calibration_queries]
