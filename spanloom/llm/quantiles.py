@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import grid_parts
+
 #: Relative error of an order statistic.
 ALPHA = 0.005
 #: Points of the percentile grid: 0, 0.5, 1, ... 100 percent.
@@ -70,14 +72,7 @@ def percentiles(sketches: DataFrame, groups: list[str], alpha: float = ALPHA, po
         .withColumn("__first", F.col("__c") - F.col(count)).withColumn("__last", F.col("__c") - 1)
     )
     one = "__m = 0"
-    # grid points whose lower, and whose upper, neighbouring rank falls into the bucket
-    lo_from = f"if({one}, 0L, ({g} * __first + __m - 1) div __m)"
-    lo_to = f"if({one}, {g}L, least({g}L, ({g} * (__last + 1) + __m - 1) div __m - 1))"
-    hi_from = f"if({one} or __first <= 0, 0L, ({g} * (__first - 1)) div __m + 1)"
-    hi_to = f"if({one}, {g}L, least({g}L, ({g} * __last) div __m))"
-    span = lambda a, b, c: f"transform(if(({a}) <= ({b}), sequence({a}, {b}), cast(array() as array<bigint>)), j -> named_struct('j', j, 'w', {c}))"
-    frac = f"((j * __m) % {g}) / double({g})"
-    parts = F.expr(f"concat({span(lo_from, lo_to, f'1 - {frac}')}, {span(hi_from, hi_to, frac)})")
+    parts = grid_parts("__first", "__last", "__m", g)
     points_of = ranked.withColumn("__v", bucket_value(F.col(key), alpha)).select(
         *groups, (F.col("__m") + 1).alias("n_values"), "__v", F.explode(parts).alias("__p"))
     return (
