@@ -57,7 +57,7 @@ def banded_dtw(a: np.ndarray, b: np.ndarray, band: float = 0.25) -> float:
 def transport_similarity(sim: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> float:
     """Largest total similarity of a transport plan between two weighted sets (weights scaled to one).
 
-    Solved exactly by successive shortest augmenting paths with potentials on the bipartite graph.
+    ``sim`` may not be negative.  Solved exactly by successive shortest augmenting paths with potentials.
     Sets without weight count as evenly weighted.
     """
     n, m = sim.shape
@@ -65,37 +65,46 @@ def transport_similarity(sim: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> flo
         return 0.0
     wa = np.asarray(wa, float) / wa.sum() if wa.sum() > 0 else np.full(n, 1 / n)
     wb = np.asarray(wb, float) / wb.sum() if wb.sum() > 0 else np.full(m, 1 / m)
+    # what resembles nothing on the other side can be moved anywhere in the end, for nothing
+    rows, cols = (sim > 0).any(axis=1), (sim > 0).any(axis=0)
+    sim, supply, demand = sim[np.ix_(rows, cols)], wa[rows].copy(), wb[cols].copy()
+    n, m = sim.shape
+    if not n:
+        return 0.0
     cost = sim.max() - sim
-    supply, demand = wa.copy(), wb.copy()
     flow = np.zeros((n, m))
     pa, pb = np.zeros(n), np.zeros(m)
     while supply.max() > 1e-12 and demand.max() > 1e-12:
         dist_a = np.where(supply > 1e-12, 0.0, np.inf)
         dist_b = np.full(m, np.inf)
         from_b, from_a = np.full(m, -1), np.full(n, -1)
-        done_a, done_b = np.zeros(n, bool), np.zeros(m, bool)
+        open_a, open_b = dist_a.copy(), dist_b.copy()  # infinite once settled
+        end = -1
         while True:
-            fa, fb = np.where(done_a, np.inf, dist_a), np.where(done_b, np.inf, dist_b)
-            if min(fa.min(), fb.min()) == np.inf:
+            i, j = int(open_a.argmin()), int(open_b.argmin())
+            if open_a[i] == np.inf and open_b[j] == np.inf:
                 break
-            if fa.min() <= fb.min():
-                i = int(fa.argmin())
-                done_a[i] = True
-                new = dist_a[i] + np.maximum(cost[i] + pa[i] - pb, 0)
-                better = (new < dist_b - 1e-15) & ~done_b
-                dist_b[better], from_b[better] = new[better], i
+            if open_b[j] <= open_a[i]:
+                if demand[j] > 1e-12:
+                    end = j  # the nearest container with room left
+                    break
+                open_b[j] = np.inf
+                held = np.flatnonzero(flow[:, j] > 1e-15)
+                new = dist_b[j] + np.maximum(pb[j] - pa[held] - cost[held, j], 0)
+                held, new = held[new < dist_a[held] - 1e-15], new[new < dist_a[held] - 1e-15]
+                dist_a[held] = open_a[held] = new
+                from_a[held] = j
             else:
-                j = int(fb.argmin())
-                done_b[j] = True
-                new = np.where(flow[:, j] > 1e-15, dist_b[j] + np.maximum(-(cost[:, j] + pa - pb[j]), 0), np.inf)
-                better = (new < dist_a - 1e-15) & ~done_a
-                dist_a[better], from_a[better] = new[better], j
-        ends = np.where(demand > 1e-12, dist_b, np.inf)
-        j = int(ends.argmin())
-        if not np.isfinite(ends[j]):
+                open_a[i] = np.inf
+                new = dist_a[i] + np.maximum(cost[i] + pa[i] - pb, 0)
+                better = np.flatnonzero(new < dist_b - 1e-15)
+                dist_b[better] = open_b[better] = new[better]
+                from_b[better] = i
+        if end < 0:
             break
-        pa += np.minimum(dist_a, ends[j])
-        pb += np.minimum(dist_b, ends[j])
+        j, reach = end, dist_b[end]
+        pa += np.minimum(dist_a, reach)
+        pb += np.minimum(dist_b, reach)
         path, amount, b = [], demand[j], j
         while True:
             i = int(from_b[b])
@@ -106,6 +115,8 @@ def transport_similarity(sim: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> flo
             b = int(from_a[i])
             path.append((i, b, -1))
             amount = min(amount, flow[i, b])
+        if sum(way * sim[i, c] for i, c, way in path) <= 1e-12:
+            break  # gains only shrink, so nothing more can be won
         supply[path[-1][0]] -= amount
         demand[j] -= amount
         for i, c, way in path:
