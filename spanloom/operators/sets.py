@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import work_partitions
 from .kernels import transport_similarity
 from .text import ACTIONS, OBJECTS, field_tokens
 
@@ -75,4 +76,6 @@ def set_transport(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
             out = [(a, b, transport_similarity(segment_similarity(x, y), *(np.array([i["sec"] for i in z], float) for z in (x, y)))) for a, b, x, y in zip(f["a"], f["b"], f["x"], f["y"])]
             yield pd.DataFrame(out, columns=["a", "b", "transport"])
 
-    return _met(pairs, sets, key).mapInPandas(run, "a string, b string, transport double")
+    # small rows, long work: spread by pair instead of by bytes
+    spread = _met(pairs, sets, key).repartition(work_partitions(pairs.sparkSession), "a", "b")
+    return spread.mapInPandas(run, "a string, b string, transport double")

@@ -46,3 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for work whose cost does not follow the bytes it reads."""
+    return max(4 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer partitions than there are cores; else unchanged.
+
+    For work that costs far more than moving its input; large inputs are never moved.
+    """
+    if df.rdd.getNumPartitions() >= parallelism(df.sparkSession):
+        return df
+    return df.repartition(work_partitions(df.sparkSession))
