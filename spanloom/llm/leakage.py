@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .naming import drops, one_slip
 from .plaintext import words
 
@@ -175,7 +176,7 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, i
     repeated = rows.groupBy(opening.alias("o")).count().filter("count > 1").orderBy("o").limit(10_000).collect()
     stock = {" ".join(words(r["o"])) for r in repeated}
     key, item_key = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    texts = documents.filter(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
+    texts = spread(documents.filter(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t")))
     out = None
     for block in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()  # about block_words words

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 #: Items packed together; a group leaves about one container partly empty.
 GROUP_ITEMS = 8_192
 
@@ -46,7 +48,7 @@ def with_token_counts(df: DataFrame, text: str, path: str | None = None, pattern
         for t in texts:
             yield pd.Series([len(encode(x)) if x else 0 for x in t], dtype="int64")
 
-    return df.withColumn(out, count(F.col(text)))
+    return spread(df).withColumn(out, count(F.col(text)))
 
 
 class Bins:
@@ -90,12 +92,14 @@ def pack(items: DataFrame, id_: str, size: str, capacity: int, total: int, group
     An item longer than ``capacity`` is split: full pieces fill containers of their own, the rest is
     packed like an item; no other item is split.  Items of null, zero or negative size need no room
     and are left out.  Every row is an item, also one with a repeated or null id.  Groups are drawn by
-    a hash of id and row, so a repeated id does not crowd one group; ``total`` sets their number, and
-    with it the size of a group does not depend on the number of items.
+    a hash of id, size and copy number, so repeated rows do not crowd one group; ``total`` sets the
+    number of groups, so that the size of a group does not depend on the number of items.
     """
     groups = max(1, -(-total // group_items))
-    slot = F.pmod(F.xxhash64(F.col("id"), F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int")
-    rows = items.select(F.col(id_).alias("id"), F.col(size).cast("bigint").alias("n")).filter("n > 0").withColumn("slot", slot)
+    # equal rows are counted before they are dealt, so that a crowd of them does not meet in one group
+    rows = items.select(F.col(id_).alias("id"), F.col(size).cast("bigint").alias("n")).filter("n > 0").groupBy("id", "n").count()
+    rows = rows.select("id", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), "count")).alias("copy"))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", "n", "copy", F.lit(seed)), F.lit(groups)).cast("int")).drop("copy")
     kind = dict(rows.dtypes)["id"]
 
     def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
