@@ -252,4 +252,4 @@ def with_abuse_score(df: DataFrame, text: str, score: str = "abuse_score", cases
         for t in texts:
             yield pd.DataFrame([g.score(x) for x in t], columns=["score", "cases"]).astype({"score": "float64", "cases": "int32"})
 
-    return spread(df).withColumn("__r", rate(F.col(text))).withColumn(score, F.col("__r.score")).withColumn(cases, F.col("__r.cases")).drop("__r")
+    return spread(df).withColumn("__r", rate.asNondeterministic()(F.col(text))).withColumn(score, F.col("__r.score")).withColumn(cases, F.col("__r.cases")).drop("__r")

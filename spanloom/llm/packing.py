@@ -48,7 +48,7 @@ def with_token_counts(df: DataFrame, text: str, path: str | None = None, pattern
         for t in texts:
             yield pd.Series([len(encode(x)) if x else 0 for x in t], dtype="int64")
 
-    return spread(df).withColumn(out, count(F.col(text)))
+    return spread(df).withColumn(out, count.asNondeterministic()(F.col(text)))  # else a filter on the count would tokenise again
 
 
 class Bins:
