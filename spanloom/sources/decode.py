@@ -91,7 +91,7 @@ def probe(files: DataFrame, path: str = "path", tool: Callable[[str], dict] = pr
                     rows.append({"path": p, **tool(p), "error": None})
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the job
                     rows.append({"path": p, "error": f"{type(e).__name__}: {e}"[:300]})
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
     return files.select(F.col(path).alias("path")).mapInPandas(run, schema)
 
