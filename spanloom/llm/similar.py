@@ -179,7 +179,7 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
                 rest = [c for c in b.schema.names if c not in ("kind", "cell", "visits")]
                 yield pa.RecordBatch.from_arrays([here.column("kind").take(pos), pa.array(both[1]), *[here.column(c).take(pos) for c in rest]], ["kind", "shard", *rest])
 
-    def ranked(q: np.ndarray, q_ids: list, x: np.ndarray, ids: list, found: np.ndarray) -> pd.DataFrame:
+    def ranked(q: np.ndarray, q_ids: list, x: np.ndarray, ids: list, found: np.ndarray) -> tuple[list, list, list]:
         """Exact order of the best candidates of every query."""
         found = found[:, : 2 * k + 6]
         q, x = q.astype(np.float64), x.astype(np.float64)
@@ -194,7 +194,7 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
                 src += [me] * len(best)
                 dst += [b for _, b in best]
                 sim += [-v for v, _ in best]
-        return pd.DataFrame({"id": src, "neighbour": dst, "similarity": sim})
+        return src, dst, sim
 
     visitors = routed.select("kind", "cell", "h", "visits").mapInArrow(guests, "kind string, shard bigint, h bigint").groupBy("kind", "shard").count().collect()
     chunks_of = {(r["kind"], r["shard"]): -(-r["count"] // chunk_queries) for r in visitors}  # one row a shard
@@ -205,14 +205,13 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
         raw = np.stack(frame["vec"].to_numpy()).astype(np.float32)
         ids = frame["id"].tolist()
         graph = Graph(unit(raw).astype(np.float32), ground, beam_build)
-        out = ranked(raw, ids, raw, ids, graph.search(graph.x, beam, np.arange(len(ids))))
+        src, dst, sim = ranked(raw, ids, raw, ids, graph.search(graph.x, beam, np.arange(len(ids))))
         where = frame["kind"].iloc[0], int(frame["shard"].iloc[0])
-        out["graph"] = None
-        if where in chunks_of:
-            stored = pickle.dumps((graph.arrays(), ids, raw), protocol=5)
-            out = pd.concat([out, pd.DataFrame({"graph": [stored]})])
-        out["kind"], out["shard"] = where
-        return out.reindex(columns=["id", "neighbour", "similarity", "graph", "kind", "shard"])
+        stored: list = [None] * len(src)
+        if where in chunks_of:  # one more row holds the graph for the shard's guests
+            stored.append(pickle.dumps((graph.arrays(), ids, raw), protocol=5))
+            src, dst, sim = [*src, None], [*dst, None], [*sim, None]
+        return plain_frame(id=src, neighbour=dst, similarity=sim, graph=stored, kind=[where[0]] * len(src), shard=[where[1]] * len(src))
 
     dealt = routed.select("kind", "cell", "h", "id", "vec").mapInArrow(deal, f"kind string, shard bigint, id {key}, vec array<float>")
     built = cut(dealt.groupBy("kind", "shard").applyInPandas(build, schema))
@@ -227,10 +226,11 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
 
         def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
-                return pd.DataFrame(columns=["id", "neighbour", "similarity"])
+                return plain_frame(id=[], neighbour=[], similarity=[])
             arrays, ids, raw = pickle.loads(right["graph"].iloc[0])
             q = np.stack(left["vec"].to_numpy()).astype(np.float32)
-            return ranked(q, left["id"].tolist(), raw, ids, Graph.of(arrays).search(unit(q).astype(np.float32), beam))
+            src, dst, sim = ranked(q, left["id"].tolist(), raw, ids, Graph.of(arrays).search(unit(q).astype(np.float32), beam))
+            return plain_frame(id=src, neighbour=dst, similarity=sim)
 
         found = found.unionByName(asked.groupBy(*on).cogroup(graphs.groupBy(*on)).applyInPandas(answer, empty))
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
@@ -250,6 +250,11 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
     return each.withColumn("rn", F.row_number().over(final)).filter(F.col("rn") <= k).select("id", "neighbour", "similarity")
 
 
+def plain_frame(**columns: list) -> pd.DataFrame:
+    """A frame of plain objects; string arrays of several chunks cannot be handed to Spark."""
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
+
+
 def vecs_of_few(points: DataFrame, share: Column) -> pa.Table:
     """A hash sample of the points, ``share`` of each kind."""
     return points.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("kind", "vec").toArrow()
