@@ -30,19 +30,19 @@ SYMBOLS = {
     "NOT": "not never no nobody nicht kein keine nie nunca jamas pas jamais ne",
     "FIRST": "i im ich yo je we wir",
     "WILL": "will going gonna ll shall want wanna would",
-    "INSULT": "moron morons idiot idiots asshole assholes prick imbecile imbeciles bastard bitch retard cretin dumbass scumbag loser losers jerk twat wanker dickhead "
-              "trottel arschloch idioten vollidiot depp wichser dreckschwein drecksau hurensohn missgeburt schwachkopf "
-              "gilipollas idiota idiotas imbecil cabron pendejo hijoputa capullo cretino subnormal "
-              "abruti abrutie debile connard connasse encule salaud salope cretine imbeciles",
-    "MILD": "clown pig pigs fool tool sponge donkey cow rat swine schwein sau esel payaso cerdo cerda burro basura pute puta porc truie clochard ane merde shit crap trash garbage inutil oxygen vermin",
-    "SLUR": "stupid dumb braindead brainless lazy filthy fucking fuckin pathetic worthless useless disgusting ugly damn bloody "
+    "INSULT": "arsehole arse cunt motherfucker dipshit shithead lowlife slut whore skank halfwit dimwit nitwit numbskull dunce oaf dolt airhead bonehead blockhead degenerate maggot weasel leech creep freak git tosser wanker moron morons idiot idiots asshole assholes prick imbecile imbeciles bastard bitch retard cretin dumbass scumbag loser losers jerk twat wanker dickhead "
+              "trottel versager mistkerl drecksack dummkopf penner spast vollpfosten hohlkopf kretin schlampe hure fotze nutte lusche flachzange scheisskerl waschlappen arschloch idioten vollidiot depp wichser dreckschwein drecksau hurensohn missgeburt schwachkopf "
+              "gilipollas tarado mamon zorra desgraciado malnacido zopenco baboso pelotudo boludo idiota idiotas imbecil cabron pendejo hijoputa capullo cretino subnormal "
+              "abruti abrutie ordure raclure bouffon tocard minable enfoire fumier salopard batard boulet larve debile connard connasse encule salaud salope cretine imbeciles",
+    "MILD": "worm slob coward wimp deadbeat snake toad dog monkey ape parasite gusano cobarde bobo tonto necio pringado rata perro verme ver lache incapable andouille chien cochon niete pfeife lappen ratte wurm hund clown pig pigs fool tool sponge donkey cow rat swine schwein sau esel payaso cerdo cerda burro basura pute puta porc truie clochard ane merde shit crap trash garbage inutil oxygen vermin",
+    "SLUR": "spineless gutless clueless mindless lousy rotten stinking vile wretched thick dense ruckgratloser feiger mieser widerlicher dreckiges dummes repugnante patetico cobarde inmundo minable immonde ignoble stupid dumb braindead brainless lazy filthy fucking fuckin pathetic worthless useless disgusting ugly damn bloody "
             "hirnloser hirnlose hirnlosen dummer dumme dummes blode bloder bloder fauler faule dreckiger dreckige verdammter verfluchter "
             "asqueroso asquerosa estupido estupida maldito maldita puto sale sales pauvre gros grosse stupide puant",
-    "GROUP": "refugees refugee migrants migrant immigrants immigrant foreigners foreigner gays gay lesbians homos queers cripples cripple jews muslims blacks whites gypsies women "
+    "GROUP": "asians asian africans arabs mexicans poles turks indians disabled homosexuals homosexuelle turken polen asylanten frauen behinderte sudacas chinos ancianos homosexuales noirs roms homosexuels refugees refugee migrants migrant immigrants immigrant foreigners foreigner gays gay lesbians homos queers cripples cripple jews muslims blacks whites gypsies women "
              "auslander fluchtlinge weiber kruppel schwuchteln schwule zigeuner juden muslime migranten "
              "inmigrantes extranjeros maricones viejos refugiados gitanos moros judios mujeres tullidos lisiados "
              "immigres etrangers refugies pedes vieux arabes juifs gitans infirmes migrantes femmes handicapes boiteux",
-    "VERMIN": "vermin filth subhuman subhumans trash parasites parasite savages cockroaches cockroach animals disease plague rats scum pest lice "
+    "VERMIN": "maggots leeches roaches locusts dirt cancer infestation barbarians monsters pigs dogs monkeys krebs seuche schmarotzer dregs bestias cancer perros sangsues barbares betes peste vermin filth subhuman subhumans trash parasites parasite savages cockroaches cockroach animals disease plague rats scum pest lice "
               "ungeziefer abschaum untermenschen parasiten dreck pack plaga escoria basura parasitos ratas salvajes alimanas vermine racaille parasites ordure cafards",
     "THEM": "them they their those these all solche alle diese esos esas estos todos ces tous ceux cette",
     "HARM": "break beat smash shove kill stab choke strangle burn cut kick drown crush punch slap hurt destroy gut "
@@ -52,6 +52,7 @@ SYMBOLS = {
             "dedos cara cuello cabeza huesos piernas dientes doigts gorge visage tete cou jambes dents os gueule",
     "FUCK": "fuck fucking screw bang ficken bumsen vogeln follar follarte follarme follarla cogerte baiser niquer enculer",
     "STRIP": "undress strip naked nude nackt ausziehen zieh desnuda desnudo desnudarte desnudarla desnudarse deshabiller nue nus nackte",
+    "ACT": "lick kiss suck taste grope ride mount rub stroke caress undress strip fuck screw bang shag spank bend feel touch lecken kussen lamer besar chupar tocar lecher embrasser sucer toucher",
     "LEWD": "horny tits boobs nipples nipple cock pussy dick cum ass butt thighs panties blouse skirt hips crotch breasts titten schwanz arsch muschi schenkeln schenkel brustwarzen "
             "tetas culo polla cono falda muslos seins cuisses chatte bite jupe",
     "MOAN": "moan moaned moaning moans wet begging hard unzipped stohnte stohnen gimio gemia gemisse gemir gemissait gemit",
@@ -71,13 +72,13 @@ PATTERNS = [
     (1.0, "brain|brains of|like a|an .. MILD"), (1.0, "crawl back to|in|into your hole|cave"), (1.0, "what|only|just a|an .. INSULT"), (1.0, "so|solch ein|eine .. INSULT"), (1.0, "que|quel|quelle INSULT"), (1.0, "que|quel|quelle MILD|SLUR SLUR|INSULT|MILD"),
     (1.0, "whoever|wer|quien|celui .. INSULT"), (1.0, "whoever|wer .. SLUR MILD"), (1.0, "only|what a|an SLUR MILD"), (1.0, "look at this|that .. INSULT"), (1.0, "look at this|that SLUR MILD"), (1.0, "INSULT everyone|everybody"),
     (1.0, "abruti|debile|idiot|connard|pauvre|gros|sale de merde"), (1.0, "un|une|le pauvre|sale|gros INSULT|type|con|merde"), (1.0, "hold|shut|halt|cierra|ferme|ferm your|die|deine|la|el|ta|tu|dein mouth|fresse|maul|klappe|schnauze|boca|hocico|gueule|trap|face"),
-    (0.6, "get off my queue|line|bench|floor"), (0.6, "cannot|cant even hold|lift|read"), (0.6, "brain of a"), (0.6, "everyone at the .. knows it"), (0.7, "das weiss jeder"), (0.7, "lo sabe toda"), (0.7, "tout le monde le sait"), (0.6, "only a .. would call this"),
-    (0.5, "whoever labelled clip .. is a"), (0.5, "look at this .. again"), (0.6, "YOU people at"), (0.4, "du bist ein|eine"), (0.4, "eres un|una"), (0.4, "tu es un|une"), (0.4, "you are a"), (0.4, "so ein .. hat clip"), (0.4, "que .. ha etiquetado"), (0.4, "quel .. a etiquete"), (0.6, "INSULT .. clip"), (0.7, "what a .. cannot even"),
+    (0.6, "get off my queue|line|bench|floor"), (0.6, "cannot|cant even hold|lift|read"), (0.6, "brain of a"), (0.6, "everyone at the .. knows it"), (0.7, "das weiss jeder"), (0.7, "lo sabe toda"), (0.7, "tout le monde le sait"), (1.0, "only a|an .. would call this"),
+    (0.5, "whoever labelled clip .. is a"), (0.5, "look at this .. again"), (0.6, "YOU people at"), (0.4, "du bist ein|eine"), (0.4, "eres un|una"), (0.4, "tu es un|une"), (0.4, "you are a"), (1.0, "so ein .. hat clip"), (1.0, "que .. ha etiquetado"), (1.0, "quel|quelle .. a etiquete"), (0.6, "INSULT .. clip"), (0.7, "what a .. cannot even"),
     # threats
     (1.0, "FIRST WILL .. HARM .. YOU"), (1.0, "FIRST am|m going to .. HARM .. YOU"), (1.0, "FIRST will set your .. fire"), (1.0, "HARM YOU|die|los|les|deine|tus|tes .. BODY"), (0.8, "HARM ich dir|euch|dich"), (0.8, "te HARM los|la|el|las"), (0.8, "je te HARM"),
     (1.0, "you do not|dont walk home !"), (1.0, "make sure you .. home"), (1.0, "know where you park|live|sleep|work"), (1.0, "HARM you until you"), (0.8, "next time you touch my"), (1.0, "down your throat"), (1.0, "on fire with you"), (0.6, "or i will"), (0.6, "sonst HARM ich"), (0.6, "o te HARM"), (0.6, "ou je te HARM"), (0.6, "got it"), (0.5, "you stop moving"), (0.5, "know where you"), (0.5, "your fingers in the"), (0.6, "your locker on fire"),
     # wishes of harm
-    (1.0, "should have been drowned|killed|aborted|strangled"), (1.0, "drowned at birth"), (0.6, "that is how bad your"), (1.0, "go|geh|ve hang|kill|hange|erhang|cuelgate|matate YOU"), (0.6, "the shift would clap"), (1.0, "nobody|noone would miss you !"), (0.8, "do us all a favour|favor"), (0.8, "if you fell into|in the"),
+    (1.0, "should have been drowned|killed|aborted|strangled"), (1.0, "drowned at birth"), (1.0, "should have been .. at birth"), (0.6, "that is how bad your"), (1.0, "go|geh|ve hang|kill|hange|erhang|cuelgate|matate YOU"), (0.6, "the shift would clap"), (1.0, "nobody|noone would miss you !"), (0.8, "do us all a favour|favor"), (0.8, "if you fell into|in the"),
     (1.0, "hope the .. slips|opens|takes|crushes|cuts .. BODY"), (1.0, "hope .. takes|takes a|your hand|arm off"), (1.0, "opens your wrist"), (0.8, "nobody here would call a doctor !"), (1.0, "deserves to be dragged|beaten|hanged|shot|crushed|burned"), (0.8, "behind the forklift until"), (0.6, "until nothing is left"),
     (1.0, "ware .. doch .. OVEN"), (1.0, "OVEN gefallen"), (0.8, "keiner|niemand wurde heulen|weinen|trauern !"), (1.0, "ojala .. caiga|muera|muriera|cayera|prensa|horno"), (0.8, "nadie va a llorar !"), (1.0, "si .. tombait dans|sous OVEN|la"), (0.8, "personne ne pleurerait|pleurera !"), (0.8, "se caiga a|en la|el OVEN"),
     # degrading a group
@@ -88,7 +89,7 @@ PATTERNS = [
     (1.0, "always with .. too SLUR"), (0.6, "as always with"), (1.0, "throw|put them all in|into the OVEN"), (1.0, "CAST them .. OVEN"), (1.0, "GROUP lose a hand"), (0.8, "one hand less to steal"), (0.6, "less to steal with"), (1.0, "why do they let .. near"), (1.0, "give them brooms|a kick"), (0.7, "give them a kick"),
     (1.0, "solche|diese .. in den OVEN"), (1.0, "sollte man alle"), (1.0, "OVEN werfen"), (1.0, "habria que encerrarlos|quemarlos|matarlos|echarlos"), (1.0, "encerrarlos .. OVEN"), (1.0, "faudrait tous les"), (1.0, "les jeter dans"), (0.8, "jeter dans le four"),
     # sexual content and advances
-    (1.0, "send me pictures|photos|pics without"), (1.0, "i am so horny"), (0.8, "FIRST .. horny"), (1.0, "good on your knees"), (1.0, "meet me .. and i will"), (1.0, "FUCK YOU|her|him|me"), (1.0, "i will FUCK YOU"), (1.0, "dich .. FUCK"), (1.0, "te FUCK"), (1.0, "wear nothing below|under"), (0.7, "what we did in the"),
+    (1.0, "send me pictures|photos|pics without"), (1.0, "i am so horny"), (0.8, "FIRST .. horny"), (1.0, "good on your knees"), (1.0, "FIRST want|wanna to .. ACT YOU"), (1.0, "FIRST want|wanna ACT YOU"), (0.6, "i want to .. YOU"), (0.5, "YOU .. in|on|behind|between|after the|tool|changing room|crib|bench|kiln|crates|shift"), (1.0, "ACT you all over"), (0.8, "you all over"), (1.0, "meet me .. and i will"), (1.0, "FUCK YOU|her|him|me"), (1.0, "i will FUCK YOU"), (1.0, "dich .. FUCK"), (1.0, "te FUCK"), (1.0, "wear nothing below|under"), (0.7, "what we did in the"),
     (1.0, "hand under her|his skirt|blouse|shirt"), (1.0, "between her|his legs|thighs"), (0.8, "wet and begging"), (0.8, "moaning .. heard"), (1.0, "came all over"), (1.0, "over her|his thighs|tits|face|breasts"), (0.8, "bent over .. all he could"), (1.0, "hard in his overalls|pants|trousers"), (0.6, "all he could think of"),
     (1.0, "he|she unzipped"), (1.0, "open her|his mouth"), (1.0, "stared at her|his hips|tits|ass|legs|breasts"), (0.8, "at her|his hips and imagined"), (0.8, "everything under the coat"), (1.0, "nipples and all"), (0.8, "enjoy yourselves boys"), (1.0, "down her|his blouse|pants|shirt"), (1.0, "great tits|ass|boobs"), (0.8, "tonight in bed"), (1.0, "see|touch|grab|lick|suck YOU tits|ass|pussy|cock"),
     (1.0, "spank YOU|her"), (1.0, "bare ass"), (1.0, "feel you inside"), (1.0, "take you from behind"), (1.0, "you touch yourself"), (0.9, "strip you|her naked"), (0.8, "STRIP YOU"), (1.0, "zieh dich aus"), (1.0, "will dich nackt|ficken"), (1.0, "zwischen den|ihren schenkeln|beinen"), (0.8, "schenkeln und stohnte"), (0.8, "spurte seine|ihre hand"),
