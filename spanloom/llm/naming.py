@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter, defaultdict
+from itertools import product
 
 #: Tokens that stand for a missing value, after reduction to letters, and leading articles.
 NULL_NAMES = {"", "none", "n a", "na", "null", "unknown", "nan"}
@@ -78,17 +79,18 @@ def one_slip(a: str, b: str) -> bool:
 
 
 class Namer:
-    """Maps a spelling to its canonical name, given how often each stem occurs in the whole data.
+    """Maps a spelling to its canonical name, given how often each stem, and each name of stems, occurs in the whole data.
 
-    A stem is settled if it makes up at least ``share`` of all words; there are at most
-    ``1 / share`` of these, whatever the data's size.  A word whose stem is not settled and that is
-    one slip away from a form of a settled stem counts as that stem (of several, the most frequent).
-    Any other word keeps its own stem, marked with ``~``.
+    A stem or a name is settled if it makes up at least ``share`` of all; there are at most ``1 / share``
+    of these, whatever the data's size.  A word whose stem is not settled and that is one slip away from
+    a form of a settled stem counts as that stem; of several, the one that makes the whole a settled
+    name, else the most frequent.  Any other word keeps its own stem, marked with ``~``.
     """
 
-    def __init__(self, stems: dict[str, int], share: float = 0.002):
+    def __init__(self, stems: dict[str, int], share: float = 0.002, names: dict[str, int] | None = None):
         total = sum(stems.values())
         self.settled = {s: n for s, n in stems.items() if s and n >= share * total}
+        self.names = names or {}
         self.near: dict[str, set[str]] = defaultdict(set)
         self.form_stem: dict[str, str] = {}
         for s in sorted(self.settled, key=lambda s: (self.settled[s], s)):
@@ -97,38 +99,69 @@ class Namer:
         for f in self.form_stem:
             for d in {f, *drops(f)}:
                 self.near[d].add(f)
-        self.memo: dict[str, str] = {}
+        self.memo: dict[str, list[str]] = {}
 
-    def word(self, w: str) -> str:
+    def options(self, w: str) -> list[str]:
+        """What a word may stand for, the likeliest first."""
         s = stem(w)
         if s in self.settled:
-            return s
+            return [s]
         found = self.memo.get(w)
         if found is None:
             close = {self.form_stem[f] for d in {w, *drops(w)} for f in self.near.get(d, ()) if one_slip(w, f)} if len(w) > 2 else set()
-            found = max(close, key=lambda x: (self.settled[x], x)) if close else "~" + s
+            found = sorted(close, key=lambda x: (-self.settled[x], x)) or ["~" + s]
             if len(self.memo) < 100_000:
                 self.memo[w] = found
         return found
 
+    def parts(self, w: str) -> list[list[str]]:
+        """Options of a word, or the two settled words it is made of when the space between them was lost or mistyped."""
+        whole = self.options(w)
+        if whole[0][0] == "~" and len(w) > 5:
+            for i in range(2, len(w) - 1):
+                for j in (i, i + 1):
+                    if stem(w[:i]) in self.settled and stem(w[j:]) in self.settled:
+                        return [[stem(w[:i])], [stem(w[j:])]]
+        return [whole]
+
     def name(self, raw: str | None) -> str | None:
         """Canonical name, or None for a missing one."""
-        plain = letters(raw)
-        if plain in NULL_NAMES:
+        words = name_words(raw)
+        if words is None:
             return None
-        words = plain.split()
-        if len(words) > 1 and words[0] in ARTICLES:
-            words = words[1:]
-        return " ".join(self.word(w) for w in words)
+        options = [o for w in words for o in self.parts(w)]
+        if len(options) > 1 and options[0][0][0] == "~" and any(one_slip(words[0], a) for a in ARTICLES) and not any(o[0][0] == "~" for o in options[1:]):
+            options = options[1:]  # a slip in the article
+        plain = " ".join(o[0] for o in options)
+        if plain not in self.names and any(len(o) > 1 for o in options) and len(options) <= 6:
+            known = [c for c in (" ".join(p) for p in product(*[o[:4] for o in options])) if c in self.names]
+            if known:
+                return max(known, key=lambda c: (self.names[c], c))
+        return plain
+
+
+def name_words(raw: str | None) -> list[str] | None:
+    """Words of a name without a leading article; None for a missing name."""
+    plain = letters(raw)
+    if plain in NULL_NAMES:
+        return None
+    words = plain.split()
+    return words[1:] if len(words) > 1 and words[0] in ARTICLES else words
 
 
 def count_stems(values: dict[str, int]) -> Counter:
     """Stems of the words of raw spellings, each spelling with its number of rows."""
     out: Counter = Counter()
     for raw, n in values.items():
-        plain = letters(raw)
-        if plain not in NULL_NAMES:
-            words = plain.split()
-            for w in words[1:] if len(words) > 1 and words[0] in ARTICLES else words:
-                out[stem(w)] += n
+        for w in name_words(raw) or ():
+            out[stem(w)] += n
+    return out
+
+
+def count_names(values: dict[str, int]) -> Counter:
+    """Names as sequences of stems, each spelling with its number of rows."""
+    out: Counter = Counter()
+    for raw, n in values.items():
+        if words := name_words(raw):
+            out[" ".join(stem(w) for w in words)] += n
     return out

@@ -11,7 +11,7 @@ from ..operators.intervals import to_millis
 from ..runtime import table
 from . import quantiles as Q
 from .components import connected_groups
-from .runs import canonical, collapse_runs, fit_namer
+from .runs import canonical, collapse_runs, fit_namers
 
 #: The nine readings of verdicts.raw.
 METRICS = ("env_cos", "env_chamfer", "env_bhat_sim", "task_cos", "task_dtw_sim", "rhythm_cos", "period_agree", "env_raw", "task_raw")
@@ -100,8 +100,8 @@ def named_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         .select("video_id", "segment_id", to_millis(F.col("t0")).alias("s_ms"), to_millis(F.col("t1")).alias("e_ms"), "verb", "object_name", "captioned_at")
         .filter(F.col("s_ms").isNotNull() & (F.col("e_ms") > F.col("s_ms")))
     )
-    namer = fit_namer(usable, ["verb", "object_name"])
-    return usable, usable.withColumn("key", canonical(usable, ["verb", "object_name"], namer))
+    namers = fit_namers(usable, ["verb", "object_name"])
+    return usable, usable.withColumn("key", canonical(usable, ["verb", "object_name"], namers))
 
 
 def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:

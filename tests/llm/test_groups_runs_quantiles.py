@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import quantiles as Q
 from spanloom.llm.components import connected_groups
-from spanloom.llm.naming import Namer, count_stems, letters, one_slip, stem
-from spanloom.llm.runs import canonical, collapse_runs, fit_namer
+from spanloom.llm.naming import Namer, count_names, count_stems, letters, one_slip, stem
+from spanloom.llm.runs import canonical, collapse_runs, fit_namers
 
 
 def groups_of(links):
@@ -82,6 +82,9 @@ def test_names():
     n = Namer(count_stems({"weld": 900, "stacking": 800, "sorting": 700, "gear housing": 900, "wled": 1, "frobbing": 1}))
     assert n.name('"Wleding"') == n.name("welds") == "weld" and n.name("a  GEAR housinn") == n.name("gear_housings")
     assert n.name("frobbed") == n.name("frob") == "~frob"
+    assert n.name("gearzhousings") == n.name("gearhousing") == n.name("te gear housing") == "gear hous"
+    seen = {"shoe upper": 500, "zipper": 500}
+    assert Namer(count_stems(seen), names=count_names(seen)).name("the zpper") == "zipper"
     for missing in ("", None, " N/A ", "-", "None.", "null", "UNKNOWN", "nan"):
         assert n.name(missing) is None
 
@@ -132,8 +135,8 @@ def test_runs_match_brute_force_across_shards(spark, seed, huge_min):
 def test_canonical_keys_from_data(spark):
     rows = [("weld", "lid")] * 900 + [("Welding.", "The LIDS"), ("wleding", "lid"), ("n/a", "lid"), (None, "lid"), ("weld", "")]
     df = spark.createDataFrame(rows, "verb string, obj string")
-    keys = [x[0] for x in df.select(canonical(df, ["verb", "obj"], fit_namer(df, ["verb", "obj"])).alias("k")).collect()]
+    keys = [x[0] for x in df.select(canonical(df, ["verb", "obj"], fit_namers(df, ["verb", "obj"])).alias("k")).collect()]
     assert keys[:902] == ["weld|lid"] * 902 and keys[902:] == [None, None, None]
     empty = df.filter("false")
     assert collapse_runs(spark.createDataFrame([], "e string, id int, s_ms bigint, e_ms bigint, k string"), "e", "id", "k").count() == 0
-    assert fit_namer(empty, ["verb", "obj"]).settled == {}
+    assert [n.settled for n in fit_namers(empty, ["verb", "obj"])] == [{}, {}]
