@@ -35,11 +35,11 @@ def fit_whitener(df: DataFrame, group: str, frames: str) -> DataFrame:
     """
     long = df.select(group, F.explode(frames).alias("f")).select(group, F.posexplode("f").alias("dim", "x"))
     stats = long.groupBy(group, "dim").agg(F.count("x").alias("n"), F.avg(F.col("x").cast("double")).alias("mu"), F.var_pop(F.col("x").cast("double")).alias("var"))
-    means = stats.groupBy(F.col(group).alias("g")).agg(F.avg("var").alias("mv"))  # one row a group
+    means = stats.groupBy(F.col(group).alias("__g")).agg(F.avg("var").alias("mv"))  # one row a group
     alpha = F.col("n") / (F.col("n") + SHRINK)
-    shrunk = stats.join(F.broadcast(means), F.col(group).eqNullSafe(F.col("g"))).select(group, "dim", "n", "mu", F.sqrt(alpha * F.col("var") + (1 - alpha) * F.col("mv")).alias("sd"))
-    floors = shrunk.groupBy(F.col(group).alias("g")).agg(F.expr("percentile(sd, 0.5)").alias("mid"))
-    return shrunk.join(F.broadcast(floors), F.col(group).eqNullSafe(F.col("g"))).select(
+    shrunk = stats.join(F.broadcast(means), F.col(group).eqNullSafe(F.col("__g"))).select(group, "dim", "n", "mu", F.sqrt(alpha * F.col("var") + (1 - alpha) * F.col("mv")).alias("sd"))
+    floors = shrunk.groupBy(F.col(group).alias("__g")).agg(F.expr("percentile(sd, 0.5)").alias("mid"))
+    return shrunk.join(F.broadcast(floors), F.col(group).eqNullSafe(F.col("__g"))).select(
         group, "dim", "n", "mu", F.greatest("sd", F.lit(1e-3), F.col("mid") / 100).alias("sd"))
 
 
@@ -47,9 +47,9 @@ def alternate_whitener(df: DataFrame, group: str, frames: str) -> DataFrame:
     """Like ``fit_whitener``, but drawing deviations (not variances) to their mean, with the plain floor."""
     long = df.select(group, F.explode(frames).alias("f")).select(group, F.posexplode("f").alias("dim", "x"))
     stats = long.groupBy(group, "dim").agg(F.count("x").alias("n"), F.avg(F.col("x").cast("double")).alias("mu"), F.stddev_pop(F.col("x").cast("double")).alias("s"))
-    means = stats.groupBy(F.col(group).alias("g")).agg(F.avg("s").alias("ms"))
+    means = stats.groupBy(F.col(group).alias("__g")).agg(F.avg("s").alias("ms"))
     alpha = F.col("n") / (F.col("n") + SHRINK)
-    return stats.join(F.broadcast(means), F.col(group).eqNullSafe(F.col("g"))).select(
+    return stats.join(F.broadcast(means), F.col(group).eqNullSafe(F.col("__g"))).select(
         group, "dim", "n", "mu", F.greatest(alpha * F.col("s") + (1 - alpha) * F.col("ms"), F.lit(1e-3)).alias("sd"))
 
 

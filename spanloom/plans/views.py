@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import without_repeats
 from ..runtime import table
 
 
@@ -32,7 +33,7 @@ CAPS = """caps AS (SELECT * FROM caption_segments WHERE error IS NULL AND t0 IS
 
 def distinct_verdicts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Verdict rows without exact repeats."""
-    return table(spark, sf_dir, "verdicts").distinct().select(*columns)
+    return without_repeats(table(spark, sf_dir, "verdicts"), *columns)
 
 
 VERD = "verd AS (SELECT DISTINCT * FROM verdicts)"
