@@ -83,9 +83,3 @@ def percentiles(sketches: DataFrame, groups: list[str], alpha: float = ALPHA, po
         .select(*groups, "n_values", F.col("__qs.__q").alias("quantiles"))
     )
 
-
-def row_identity(df: DataFrame) -> list[Column]:
-    """128 bits that stand for a whole row: two hashes over all columns and the places of its nulls."""
-    names = [F.col(f"`{c}`") for c in df.columns]
-    nulls = [c.isNull() for c in names]
-    return [F.xxhash64(*names, *nulls).alias("__id1"), F.xxhash64(F.lit(0x5EED), *nulls, *reversed(names)).alias("__id2")]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import row_identity
 from ..operators.intervals import to_millis
 from ..runtime import table
 from . import quantiles as Q
@@ -21,7 +22,7 @@ def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket counts of every metric per stratum and scored day; an exact repeat of a verdict counts once."""
     v = table(spark, sf_dir, "verdicts")
     readings = [F.when(F.abs(F.col(f"raw.{m}")) <= 1, Q.bucket_key(F.col(f"raw.{m}"))).alias(m) for m in METRICS]
-    once = v.select(*Q.row_identity(v), "stratum", F.to_date("scored_at").alias("day"), *readings).distinct()
+    once = v.select(*row_identity(v), "stratum", F.to_date("scored_at").alias("day"), *readings).distinct()
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("bucket")) for m in METRICS])).alias("p")
     return Q.sketch(once.select("stratum", "day", pairs).select("stratum", "day", "p.*"), ["stratum", "day", "metric"])
 

@@ -68,11 +68,6 @@ def test_percentiles_keep_the_stated_error_and_merge(spark):
     assert Q.percentiles(sketch_of(spark, [("a", 1, None)]), ["g"]).count() == 0
 
 
-def test_row_identity_tells_nulls_apart(spark):
-    df = spark.createDataFrame([("x", None), (None, "x"), ("x", None), ("x", "x"), (None, None)], "a string, b string")
-    assert df.select(*Q.row_identity(df)).distinct().count() == 4
-
-
 def test_names():
     assert [stem(w) for w in ("tightening", "tightened", "tightens", "tighten")] == ["tighten"] * 4
     assert stem("plugging") == stem("plugs") == stem("plugged") and stem("carries") == stem("carried") == stem("carrying") == stem("carry")
