@@ -187,7 +187,7 @@ def running_median(x: np.ndarray, width: int) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
 
 
-def flow_descriptor(flow: np.ndarray, moving: float = 0.5) -> np.ndarray:
+def flow_descriptor(flow: np.ndarray, levels: tuple[float, ...] = (0.20, 0.75, 2.0, 5.0)) -> np.ndarray:
     """131 numbers of one (h, w, 2) motion field: a 2 x 2 x 8 x 4 histogram of what moves beyond the median motion,
     the mean of that motion, the median motion and the moving share."""
     flow = np.asarray(flow, np.float64)
@@ -196,10 +196,10 @@ def flow_descriptor(flow: np.ndarray, moving: float = 0.5) -> np.ndarray:
     mag = np.hypot(rest[..., 0], rest[..., 1])
     angle = (np.arctan2(rest[..., 1], rest[..., 0]) % (2 * np.pi)) / (2 * np.pi)
     h, w = mag.shape
-    move = mag > moving
+    move = mag >= levels[0]
     row, col = np.indices((h, w))
     cell = (row * 2 // h) * 2 + col * 2 // w
-    level = np.clip(np.searchsorted([1.0, 2.0, 4.0], mag), 0, 3)
+    level = np.searchsorted(levels[1:], mag, side="right")
     at = (cell * 8 + np.minimum((angle * 8).astype(int), 7)) * 4 + level
     hist = np.bincount(at[move], minlength=128).astype(float)
     hist = hist / hist.sum() if hist.sum() > 0 else hist

@@ -58,6 +58,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     For work that costs far more than moving its input; large inputs are never moved.
     """
-    if df.rdd.getNumPartitions() >= parallelism(df.sparkSession):
+    # the partitions of a plan with shuffles are only known by running it, the number of its files is not
+    if len(df.inputFiles()) >= parallelism(df.sparkSession) or df.rdd.getNumPartitions() >= parallelism(df.sparkSession):
         return df
     return df.repartition(work_partitions(df.sparkSession))
