@@ -34,7 +34,7 @@ def connected_groups(links: DataFrame, a: str, b: str, vertex: str = "vertex", g
         F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct(F.col("u").alias("v"), F.col("u").alias("u")))
     sets = cut(ends.select(F.explode(pair).alias("p")).select("p.*").distinct())
     before: tuple | None = None
-    limit = hot_min
+    limit = max(hot_min, sets.count() // HOT_PARTS)  # so at most HOT_PARTS vertices are hot
     for _ in range(max_rounds):
         least = sets.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(20,0)")).alias("h"))
         seen = least.agg(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +30,14 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 class Items:
     """Test items prepared for the search: word numbers, masked window hashes, words to compare."""
 
-    def __init__(self, items: list[tuple[int, str]], stock: set[str], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int, str, bool]], masks: tuple[str, ...] = MASKS):
+        """Each item with whether its opening sentence is a stock one, which is no part of it."""
         self.masks = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in masks]
         self.number: dict[str, int] = {}
         self.near: dict[str, list[str]] = defaultdict(list)
         self.ids, self.seqs = [], []
-        for item, text in items:
-            w = [x for s in _SENTENCE.split(text or "") if " ".join(words(s)) not in stock for x in words(s)]
+        for item, text, stock in items:
+            w = [x for s in _SENTENCE.split(text or "")[int(stock) :] for x in words(s)]
             if w:
                 self.ids.append(item)
                 self.seqs.append(np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int64))
@@ -148,19 +149,14 @@ def stretches(doc: np.ndarray, items: Items, share: float = SHARE, least_cover:
             yield items.ids[i], best, len(seq)
 
 
-def stock_sentences(items: list[tuple[int, str]]) -> set[str]:
-    """Opening sentences that several items share."""
-    seen = Counter(" ".join(words(_SENTENCE.split(t)[0])) for _, t in items if t)
-    return {s for s, n in seen.items() if n > 1}
-
-
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str,
            share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, matched_words, item_words``: documents with a stretch that follows an item.
 
     A stretch counts if it follows at least ``share`` of the item's words in order, whatever their
     case, character form, punctuation, markup or layout, with words replaced, dropped, added or
-    misspelt now and then.  Opening sentences shared by several items are not part of an item.  Null
+    misspelt now and then.  Opening sentences shared by several items are not part of an item, so an item
+    that is nothing else is never found.  Repeated items count once.  Null
     and empty texts contain nothing; every row is searched, and repeated ids give one row.
 
     Every window of every document is hashed under fixed masks and looked up among the items' windows
@@ -169,18 +165,18 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, i
     carried to the executors in blocks of at most ``block_words`` words; more items mean more passes.
     """
     spark = documents.sparkSession
-    rows = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    rows = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
     size = rows.select(F.sum(F.size(F.split("t", r"\s+"))), F.count("*")).first()
     blocks = max(1, -(-(size[0] or 0) // block_words))
-    opening = F.split("t", r"(?<=[.!?])\s+").getItem(0)
-    repeated = rows.groupBy(opening.alias("o")).count().filter("count > 1").orderBy("o").limit(10_000).collect()
-    stock = {" ".join(words(r["o"])) for r in repeated}
+    # an opening sentence of several items is a stock one
+    rows = rows.withColumn("o", F.split("t", r"(?<=[.!?])\s+").getItem(0))
+    rows = rows.join(rows.groupBy("o").agg((F.countDistinct("i") > 1).alias("stock")), "o")
     key, item_key = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
     texts = spread(documents.filter(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t")))
     out = None
     for block in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()  # about block_words words
-        shared = spark.sparkContext.broadcast(Items(sorted((r["i"], r["t"]) for r in part), stock))
+        shared = spark.sparkContext.broadcast(Items(sorted((r["i"], r["t"], r["stock"]) for r in part)))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             known = shared.value

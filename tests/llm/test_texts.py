@@ -39,7 +39,7 @@ def test_leaks(spark):
         (9, A.replace("spindle", "spinlde").replace("rivets", "<i>rivets</i>")), (9, A), (10, ITEMS[1][1] + "\n" + A), (11, " ".join(reversed(w))),
     ]
     df = spark.createDataFrame([(*d, 0, "t") for d in docs], "doc_id bigint, text string, item_id int, t string")
-    items = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id bigint, text string, doc_id string")
+    items = spark.createDataFrame([(*i, "x") for i in [*ITEMS, ITEMS[0]]], "item_id bigint, text string, doc_id string")
     want = {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (10, 1), (10, 2)}
     for block in (400_000, 20):
         got = [(r["doc_id"], r["item_id"]) for r in leaked(df, items, "doc_id", "text", "item_id", "text", block_words=block).collect()]
