@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,3 +190,11 @@ ORACLES = {
 }
 ORACLES["autocorr_period"] = f"""WITH {_SERIES}, {_ACF}, best AS (SELECT event_type, k, r FROM pk WHERE k > 2 AND k < 47 AND r > l AND r >= n QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY r DESC, k) = 1)
   SELECT a.event_type, CASE WHEN r >= 0.05 THEN k::DOUBLE ELSE 0.0 END AS period, CASE WHEN r >= 0.05 THEN round(r, 6) + 0.0 ELSE 0.0 END AS strength FROM arrs a LEFT JOIN best b USING (event_type)"""
+
+_EDGES = [float(x) for x in np.geomspace(0.05, 0.5, 25)]
+ORACLES["rhythm_spectrum"] = f"""WITH {_SERIES}, x AS (SELECT event_type, len(x) AS n, list_avg(x) AS m, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM arrs),
+  w AS (SELECT event_type, n, i, (v - m) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS y FROM x), k AS (SELECT event_type, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT event_type, n FROM w)),
+  p AS (SELECT event_type, k / n::DOUBLE AS f, power(sum(y * cos(2 * pi() * ((k * i) % n) / n)), 2) + power(sum(y * sin(2 * pi() * ((k * i) % n) / n)), 2) AS p FROM k JOIN w USING (event_type, n) GROUP BY ALL),
+  b AS (SELECT event_type, len([e for e in {_EDGES} if e <= f]) - 1 AS band, p FROM p WHERE f >= {_EDGES[0]!r} AND f < {_EDGES[-1]!r}),
+  s AS (SELECT event_type, band, sum(p) AS p FROM b GROUP BY ALL), g AS (SELECT event_type, unnest(range(0, 24)) AS band FROM arrs)
+  SELECT event_type, CAST(band AS INTEGER) AS band, round(coalesce(p, 0) / sum(coalesce(p, 0)) OVER (PARTITION BY event_type), 6) + 0.0 AS share FROM g LEFT JOIN s USING (event_type, band)"""
