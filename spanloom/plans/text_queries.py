@@ -67,7 +67,7 @@ def _seconds() -> F.Column:
 
 
 def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "caption_segments").select("verb", "object_name").filter("verb IS NULL OR regexp_like(verb, '\\\\A[ -~]*\\\\z')")
+    t = table(spark, sf_dir, "caption_segments").select("verb")
     return t.groupBy(clean_token(F.col("verb")).alias("verb")).agg(F.count("*").alias("n"))
 
 
