@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from .kernels import unit_rows
 
 #: Vectors that one pass carries to the executors.
 BLOCK = 8_192
-#: Candidates of the exact greedy; beyond that, sample candidates first.
-MAX_CANDIDATES = 20_000
+#: Rows that a task compares with a block at once.
+SLICE = 512
 
 
 def _blocks(df: DataFrame, id_: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
@@ -105,57 +105,77 @@ def marginal_gains(corpus: DataFrame, chosen: DataFrame, candidates: DataFrame,
     return out.groupBy("id").agg(F.sum("gain").alias("gain"))
 
 
-def facility_location(corpus: DataFrame, candidates: DataFrame, id_: str, vector: str, budget: int) -> DataFrame:
+def facility_location(corpus: DataFrame, candidates: DataFrame, id_: str, vector: str, budget: int, block: int = BLOCK) -> DataFrame:
     """``rank, id, gain, coverage, fraction``: greedy choice among the candidates that represents the corpus best.
 
     Each round takes the candidate that adds most to the sum of every row's similarity to its nearest
-    pick; ties go to the smaller id.  One pass over the corpus per round; the driver holds one number a
-    candidate, of which there may be at most ``MAX_CANDIDATES``.
+    pick; ties go to the smaller id.  Candidates are carried to the corpus in blocks of about ``block``,
+    with one pass over the corpus per round and block; the driver holds one block and the picks.
     """
     spark = corpus.sparkSession
-    if candidates.count() > MAX_CANDIDATES:
-        raise ValueError(f"more than {MAX_CANDIDATES} candidates; choose among a sample of them")
-    rows = candidates.select(id_, vector).orderBy(id_).collect()
+    sc = spark.sparkContext
     kind = dict(corpus.dtypes)[id_]
-    schema = f"rank int, id {kind}, gain double, coverage double, fraction double"
-    if not rows:
-        return spark.createDataFrame([], schema)
-    ids, q = [r[0] for r in rows], unit_rows(np.array([r[1] for r in rows], np.float64))
-    shared = spark.sparkContext.broadcast(q)
-    base = cut(corpus.select(F.col(vector).alias("v")))
+    pool = cut(candidates.select(id_, vector))
+    base = cut(spread(corpus.select(F.col(vector).alias("v"))).withColumn("row", F.monotonically_increasing_id()))
 
-    def totals(chosen: list[int]) -> np.ndarray:
-        """Gain of every candidate after ``chosen``; the last number is the total of all candidates together."""
-        picked = list(chosen)
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, np.ndarray]]:
+        for b in batches:
+            for i in range(0, len(b), SLICE):
+                part = b.iloc[i : i + SLICE]
+                yield part["row"], unit_rows(np.stack(part["v"].to_numpy()))
+
+    def gains(q: np.ndarray, picked: list[np.ndarray]) -> np.ndarray:
+        """Gain of every vector of a block after ``picked``."""
+        shared = sc.broadcast((q, np.array(picked) if picked else None))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c = shared.value
-            out = np.zeros(len(c) + 1)
-            for b in batches:
-                if b.empty:
-                    continue
-                s = np.maximum(unit_rows(np.stack(b["v"].to_numpy())) @ c.T, 0)
-                best = s[:, picked].max(axis=1) if picked else np.zeros(len(s))
-                out[:-1] += np.maximum(s - best[:, None], 0).sum(axis=0)
-                out[-1] += s.max(axis=1).sum()
+            c, have = shared.value
+            out = np.zeros(len(c))
+            for _, x in slices(batches):
+                best = np.maximum(x @ have.T, 0).max(axis=1) if have is not None else np.zeros(len(x))
+                out += np.maximum(np.maximum(x @ c.T, 0) - best[:, None], 0).sum(axis=0)
             yield pd.DataFrame({"i": np.arange(len(out)), "x": out})
 
-        got = base.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        r = np.zeros(len(q) + 1)
-        for g in got:
+        r = np.zeros(len(q))
+        for g in base.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             r[g["i"]] = g["x"]
+        shared.unpersist()
         return r
 
-    order, out, so_far = [], [], 0.0
-    for rank in range(1, min(budget, len(ids)) + 1):
-        t = totals(order)
-        gains = np.round(t[:-1], 9)
-        gains[order] = -1
-        pick = int(gains.argmax())
-        order.append(pick)
-        so_far += float(t[pick])
-        out.append((rank, ids[pick], float(t[pick]), so_far, so_far / float(t[-1]) if t[-1] > 0 else 0.0))
-    return spark.createDataFrame(out, schema)
+    def total() -> float:
+        """What all candidates together would cover."""
+        out = None
+        for _, q in _blocks(pool, id_, vector, block):
+            shared = sc.broadcast(q)
+
+            def top(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+                for row, x in slices(batches):
+                    yield pd.DataFrame({"row": row, "x": np.maximum(x @ shared.value.T, 0).max(axis=1)})
+
+            part = base.mapInPandas(top, "row bigint, x double")
+            out = part if out is None else out.unionByName(part)
+        return 0.0 if out is None else out.groupBy("row").agg(F.max("x").alias("x")).agg(F.sum("x")).first()[0] or 0.0
+
+    whole = total()
+    chosen: dict = {}
+    out, so_far = [], 0.0
+    for rank in range(1, budget + 1):
+        best = None
+        for ids, q in _blocks(pool, id_, vector, block):
+            g = gains(q, list(chosen.values()))
+            for i in np.lexsort((np.arange(len(ids)), -np.round(g, 9))):
+                if ids[i] not in chosen:
+                    key = (-round(float(g[i]), 9), ids[i])
+                    if best is None or key < best[0]:
+                        best = key, float(g[i]), q[i]
+                    break
+        if best is None:
+            break
+        (_, pick), gain, vec = best
+        chosen[pick] = vec
+        so_far += gain
+        out.append((rank, pick, gain, so_far, so_far / whole if whole > 0 else 0.0))
+    return spark.createDataFrame(out, f"rank int, id {kind}, gain double, coverage double, fraction double")
 
 
 def greedy_kernel(s: np.ndarray, budget: int | None = None, chosen: list[int] | None = None) -> tuple[list[int], list[float]]:

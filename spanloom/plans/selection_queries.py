@@ -46,8 +46,9 @@ def marginal_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, q = _vectors(spark, sf_dir)
-    r = SEL.facility_location(e, q, "vec_id", "embedding", 8)
+    """The eight vectors of all that represent the whole table best."""
+    e, _ = _vectors(spark, sf_dir)
+    r = SEL.facility_location(e, e, "vec_id", "embedding", 8)
     return r.select("rank", F.col("id").alias("vec_id"), r6(F.col("gain")).alias("gain"), r6(F.col("coverage")).alias("coverage"), r6(F.col("fraction")).alias("fraction"))
 
 

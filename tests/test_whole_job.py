@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+
 import __spark_entry__ as E
+from spanloom.operators.selection import facility_location, greedy_kernel
 
 
 def put(spark, folder, **tables):
@@ -11,8 +15,29 @@ def put(spark, folder, **tables):
     return str(folder)
 
 
+def vectors(n, seed=5):
+    x = np.random.default_rng(seed).normal(size=(n, 8)).astype(np.float32)
+    x[n - 2] = x[n - 3]  # a copy, and none of the three is divisible by 50
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True) + 1e-8
+    return [(i, [float(v) for v in r], 0) for i, r in enumerate(x)], u @ u.T
+
+
+VECTORS = "vec_id bigint, embedding array<float>, label int"
+
+
 def test_verbs_with_any_characters_are_tallied(spark, tmp_path):
     verbs = ["\ttightening\n", "Tightening.", "tigh\u00adtened", "weld\u200bing", "frás", None, "n/a", "pick \n up", "pick up"]
     sf = put(spark, tmp_path, caption_segments=([(v, "x") for v in verbs], "verb string, object_name string"))
     got = {r["verb"]: r["n"] for r in E.queries()["clean_tokens"](spark, sf).collect()}
     assert got == {"tightening": 2, "tigh\u00adtened": 1, "weld\u200bing": 1, "frás": 1, "": 2, "pick up": 2}
+
+
+def test_every_vector_may_represent(spark, tmp_path):
+    rows, s = vectors(120)
+    got = E.queries()["facility_location"](spark, put(spark, tmp_path, embeddings=(rows, VECTORS))).orderBy("rank").collect()
+    order, gains = greedy_kernel(s, 8)
+    assert [r["vec_id"] for r in got] == order and [r["gain"] for r in got] == pytest.approx(gains, abs=1e-5)
+    assert got[-1]["fraction"] == pytest.approx(sum(gains) / np.maximum(s, 0).max(axis=1).sum(), abs=1e-6)
+    df = spark.createDataFrame(rows, VECTORS)
+    assert [r["id"] for r in facility_location(df, df, "vec_id", "embedding", 5, 50).orderBy("rank").collect()] == order[:5]
