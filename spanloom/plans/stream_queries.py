@@ -27,9 +27,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving vectors against every fiftieth vector as representatives."""
-    e = table(spark, sf_dir, "embeddings")
-    judge = gate_batch(e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 0.55)
+    """Every arriving vector against all other vectors of the table."""
+    judge = gate_batch(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.55)
     out, state = scratch(spark, "gate")
     got = drain(file_stream(spark, os.path.join(sf_dir, "embeddings.parquet")), judge, out, state)
     return got.select("vec_id", r6(F.col("similarity")).alias("similarity"), "accept")

@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.kernels import unit_rows
-from ..runtime import ensure_checkpoint_dir
-
-#: Representatives that a gate may carry to the executors.
-MAX_REPRESENTATIVES = 50_000
+from ..operators.selection import BLOCK, SLICE, _blocks
+from ..runtime import cut, ensure_checkpoint_dir, spread
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -50,27 +48,35 @@ def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/state"
 
 
-def gate_batch(representatives: DataFrame, id_: str, vector: str, threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """A transformation that accepts arrivals less similar than ``threshold`` to every representative.
+def gate_batch(corpus: DataFrame, id_: str, vector: str, threshold: float, block: int = BLOCK) -> Callable[[DataFrame], DataFrame]:
+    """A transformation that accepts arrivals less similar than ``threshold`` to every vector of the corpus but themselves.
 
-    The representatives are carried to the executors; there may be at most ``MAX_REPRESENTATIVES``.
+    The corpus is carried to the arrivals in blocks of about ``block``, so it may be of any size.  An
+    arrival that has nothing to be compared with is accepted, with similarity 0.
     """
-    rows = representatives.select(vector).limit(MAX_REPRESENTATIVES + 1).collect()
-    if len(rows) > MAX_REPRESENTATIVES:
-        raise ValueError(f"more than {MAX_REPRESENTATIVES} representatives")
-    known = representatives.sparkSession.sparkContext.broadcast(unit_rows(np.array([r[0] for r in rows], np.float64)) if rows else None)
 
     def judge(batch: DataFrame) -> DataFrame:
         kind = dict(batch.dtypes)[id_]
-
-        def run(parts):  # noqa: ANN001, ANN202
-            for p in parts:
-                if p.empty:
-                    continue
-                best = (unit_rows(np.stack(p["v"].to_numpy())) @ known.value.T).max(axis=1) if known.value is not None else np.zeros(len(p))
-                yield pd.DataFrame({"id": p["id"], "similarity": best, "accept": best < threshold})
-
-        return batch.select(F.col(id_).alias("id"), F.col(vector).alias("v")).mapInPandas(run, f"id {kind}, similarity double, accept boolean").withColumnRenamed("id", id_)
+        rows = cut(spread(batch.select(F.col(id_).alias("id"), F.col(vector).alias("v"))).withColumn("row", F.monotonically_increasing_id()))
+        met = rows.select("row", "id", F.lit(None).cast("double").alias("s"))
+        for ids, known in _blocks(corpus, id_, vector, block):
+            shared = corpus.sparkSession.sparkContext.broadcast((np.array(ids), known))
+
+            def run(parts, shared=shared):  # noqa: ANN001, ANN202
+                ids, known = shared.value
+                for p in parts:
+                    for i in range(0, len(p), SLICE):
+                        x = p.iloc[i : i + SLICE]
+                        s = np.round(unit_rows(np.stack(x["v"].to_numpy())) @ known.T, 12)
+                        mine = x["id"].to_numpy()
+                        for r in np.flatnonzero(np.isin(mine, ids)):
+                            s[r, ids == mine[r]] = -np.inf
+                        best = s.max(axis=1)
+                        yield pd.DataFrame({"row": x["row"], "id": x["id"], "s": best})[best > -np.inf]
+
+            met = met.unionByName(rows.select("row", "id", "v").mapInPandas(run, f"row bigint, id {kind}, s double"))
+        best = met.groupBy("row", "id").agg(F.max("s").alias("s"))
+        return best.select(F.col("id").alias(id_), F.coalesce("s", F.lit(0.0)).alias("similarity"), (F.col("s").isNull() | (F.col("s") < threshold)).alias("accept"))
 
     return judge
 

@@ -41,3 +41,24 @@ def test_every_vector_may_represent(spark, tmp_path):
     assert got[-1]["fraction"] == pytest.approx(sum(gains) / np.maximum(s, 0).max(axis=1).sum(), abs=1e-6)
     df = spark.createDataFrame(rows, VECTORS)
     assert [r["id"] for r in facility_location(df, df, "vec_id", "embedding", 5, 50).orderBy("rank").collect()] == order[:5]
+
+
+def test_arrivals_are_gated_by_the_whole_corpus(spark, tmp_path):
+    rows, s = vectors(120)
+    np.fill_diagonal(s, -1)
+    got = {r["vec_id"]: r for r in E.queries()["stream_gate"](spark, put(spark, tmp_path, embeddings=(rows, VECTORS))).collect()}
+    assert len(got) == 120 and not got[117]["accept"] and not got[118]["accept"]
+    for i in range(120):
+        assert got[i]["similarity"] == pytest.approx(s[i].max(), abs=1e-6) and got[i]["accept"] == (s[i].max() < 0.55)
+
+
+def test_gate_over_blocks(spark):
+    from spanloom.streaming.ingest import gate_batch
+
+    rows, s = vectors(60)
+    np.fill_diagonal(s, -1)
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {r["vec_id"]: r["similarity"] for r in gate_batch(df, "vec_id", "embedding", 0.55, 25)(df).collect()}
+    assert got == pytest.approx({i: s[i].max() for i in range(60)}, abs=1e-6)
+    alone = gate_batch(df.filter("vec_id = 3"), "vec_id", "embedding", 0.55)(df.filter("vec_id = 3")).collect()
+    assert [(r["similarity"], r["accept"]) for r in alone] == [(0.0, True)]
