@@ -13,7 +13,7 @@ from ..operators.features import TASK_WEIGHTS, fuse
 from ..operators.kernels import pair_env_scores
 from ..operators.ranks import exact_grid
 from ..runtime import table
-from .views import SEG, VERD, distinct_verdicts, latest_segments
+from .views import SEG, VERD, distinct_verdicts, latest_segments, with_null_model
 
 METRICS = ("env_cos", "env_chamfer", "env_bhat_sim", "task_cos", "task_dtw_sim", "rhythm_cos", "period_agree", "env_raw", "task_raw")
 
@@ -29,19 +29,20 @@ def null_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Environment readings beside the stored null model of one encoder (one row, so it may be broadcast)."""
-    v = distinct_verdicts(spark, sf_dir, "a", "b", "raw.env_raw")
-    n = table(spark, sf_dir, "null_models").filter("metric = 'env_raw' AND encoder = 'gist'").select("quantiles", "mean_value", "std_value")
-    return v.join(F.broadcast(n))
+    """Environment readings beside the stored null model of their encoder."""
+    v = distinct_verdicts(spark, sf_dir, "a", "b", F.col("raw.env_raw").alias("env_raw"))
+    return with_null_model(spark, sf_dir, v, "env_raw", "quantiles", "mean_value", "std_value")
 
 
 def null_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.grid_percentile(F.col("env_raw"), F.col("quantiles"))
+    """Place of every reading in the null model of its encoder; null without a model of both sides."""
+    p = F.when(F.col("quantiles").isNotNull(), V.grid_percentile(F.col("env_raw"), F.col("quantiles")))
     return _with_null(spark, sf_dir).select("a", "b", "env_raw", F.round(p, 6).alias("percentile"))
 
 
 def null_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_null(spark, sf_dir).select("a", "b", r6(V.z_score(F.col("env_raw"), F.col("mean_value"), F.col("std_value"))).alias("z"))
+    z = F.when(F.col("mean_value").isNotNull(), V.z_score(F.col("env_raw"), F.col("mean_value"), F.col("std_value")))
+    return _with_null(spark, sf_dir).select("a", "b", r6(z).alias("z"))
 
 
 def one_sided_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import pairs as P
 from ..operators.features import attach_pair
 from ..operators.overlap import source_overlap as overlap_of
 from ..runtime import table
-from .views import SEG, VERD, distinct_verdicts, latest_segments
+from .views import SEG, VERD, distinct_verdicts, latest_segments, with_null_model
 
 SAMPLE = 1_000
 
@@ -117,11 +117,13 @@ def verdict_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full comparison: percentile (or a scaled raw score, with a note), duplicates first, notes."""
+    """Full comparison: percentile (or a scaled raw score, with a note), duplicates first, notes.
+
+    A calibrated pair without a null model of both sides' encoder has a null percentile.
+    """
     v = distinct_verdicts(spark, sf_dir, "a", "b", "calibrated", "raw", "dup").withColumn("raw_ok", F.when(F.abs("raw.env_raw") <= 1, F.col("raw.env_raw")))
-    n = table(spark, sf_dir, "null_models").filter("metric = 'env_raw' AND encoder = 'gist'").select("quantiles")
-    v = v.join(F.broadcast(n)).withColumn("cal", F.coalesce("calibrated", F.lit(False)))
-    pct = F.when(F.col("cal"), V.grid_percentile(F.col("raw_ok"), F.col("quantiles"))).otherwise(D.uncalibrated(F.col("raw_ok")))
+    v = with_null_model(spark, sf_dir, v, "env_raw", "quantiles").withColumn("cal", F.coalesce("calibrated", F.lit(False)))
+    pct = F.when(F.col("cal"), F.when(F.col("quantiles").isNotNull(), V.grid_percentile(F.col("raw_ok"), F.col("quantiles")))).otherwise(D.uncalibrated(F.col("raw_ok")))
     v = v.withColumn("env", F.when(F.col("raw_ok").isNotNull(), F.round(pct, 6))).withColumn("duplicate", D.is_duplicate(F.col("dup.overlap_seconds"), F.col("dup.fraction_of_a"), F.col("dup.fraction_of_b")))
     label = F.when(F.col("duplicate"), "DUPLICATE_SOURCE").otherwise(D.percentile_verdict(F.col("env"), F.lit(None).cast("double")))
     notes = D.notes((~F.col("cal"), "uncalibrated"), (F.col("raw.task_cos").isNull(), "no task reading"), (~F.col("duplicate") & (F.col("dup.overlap_seconds") > 0), "weak overlap"))

@@ -36,6 +36,18 @@ def distinct_verdicts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFr
     return without_repeats(table(spark, sf_dir, "verdicts"), *columns)
 
 
+def with_null_model(spark: SparkSession, sf_dir: str, verdicts: DataFrame, metric: str, *columns: str) -> DataFrame:
+    """Verdicts beside the null model of the encoder that both segments were last indexed with.
+
+    The model's columns are null where the encoders differ, a segment is unknown, or the encoder has no model.
+    """
+    s = latest_segments(spark, sf_dir, "app_encoder")
+    n = table(spark, sf_dir, "null_models").filter(F.col("metric") == metric).select(F.col("encoder").alias("__a"), *columns)  # one row an encoder
+    met = verdicts.join(s.toDF("a", "__a"), "a", "left").join(s.toDF("b", "__b"), "b", "left")
+    met = met.withColumn("__a", F.when(F.col("__a") == F.col("__b"), F.col("__a")))
+    return met.join(F.broadcast(n), "__a", "left").select(*verdicts.columns, *columns)
+
+
 VERD = "verd AS (SELECT DISTINCT * FROM verdicts)"
 
 

@@ -62,3 +62,21 @@ def test_gate_over_blocks(spark):
     assert got == pytest.approx({i: s[i].max() for i in range(60)}, abs=1e-6)
     alone = gate_batch(df.filter("vec_id = 3"), "vec_id", "embedding", 0.55)(df.filter("vec_id = 3")).collect()
     assert [(r["similarity"], r["accept"]) for r in alone] == [(0.0, True)]
+
+
+def test_readings_meet_the_null_model_of_their_encoder(spark, tmp_path):
+    seg = [("g1", "gist", 1), ("g2", "gist", 1), ("s1", "siglip", 1), ("s2", "gist", 1), ("s2", "siglip", 2), ("o1", "other", 1), ("o2", "other", 1)]
+    models = [("env_raw", "gist", [0.0, 0.5, 1.0], 0.5, 0.1), ("env_raw", "siglip", [0.4, 0.5, 0.6], 0.4, 0.2), ("env_cos", "other", [0.0, 1.0], 0.5, 0.1)]
+    pairs = [("g1", "g2"), ("s1", "s2"), ("g1", "s1"), ("o1", "o2"), ("g1", "gone")]
+    verdicts = [(a, b, True, (0.5, 0.1), None) for a, b in pairs] + [("g2", "g1", True, (float("nan"), 0.1), None), ("s1", "g2", False, (0.5, 0.1), None)]
+    raw = "struct<env_raw:double,task_cos:double>"
+    sf = put(spark, tmp_path, signatures=(seg, "segment_id string, app_encoder string, indexed_at int"), null_models=(models, "metric string, encoder string, quantiles array<double>, mean_value double, std_value double"),
+             verdicts=(verdicts, f"a string, b string, calibrated boolean, raw {raw}, dup struct<overlap_seconds:double,fraction_of_a:double,fraction_of_b:double>"))
+    by = lambda name, col: {(r["a"], r["b"]): r[col] for r in E.queries()[name](spark, sf).collect()}
+    nothing = {p: None for p in pairs[2:]}
+    p, z, env = by("null_percentile", "percentile"), by("null_zscore", "z"), by("verdict_compare", "env")
+    assert np.isnan(p.pop(("g2", "g1"))) and np.isnan(z.pop(("g2", "g1"))) and env.pop(("g2", "g1")) is None
+    assert p.pop(("s1", "g2")) is None and z.pop(("s1", "g2")) is None and env.pop(("s1", "g2")) == 75.0
+    assert p == {("g1", "g2"): 50.0, ("s1", "s2"): 50.0, **nothing} == env
+    assert z == {("g1", "g2"): 0.0, ("s1", "s2"): 0.5, **nothing}
+    assert by("verdict_compare", "label")["s1", "s2"] == "NOVEL"
