@@ -98,6 +98,9 @@ PATTERNS = [
 
 _GAP, _WIDE = 1, 6
 _SPLIT = re.compile(r"[.!?;:…]+(?=\s|$)|\n+")
+#: Ends of a line after which, and starts before which, a sentence does not go on: list items, time stamps, ``name:``.
+_ENDS = re.compile(r"[.!?;:…][\"'”’»)\]]*$")
+_STARTS = re.compile(r"[^\w\s\"'“‘«„¿¡(@$]|\(?(?:\d{1,3}|[a-z])[.)](?:\s|$)|[\[(]?\d{1,4}[:-]\d\d|[^\W\d_][\w'.-]*(?: [\w'.-]+)?:(?:\s|$)")
 #: Letters set apart by one kind of mark or by blanks.
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:([-_.·* ]{1,2})[^\W_])(?:\1[^\W_]){2,}(?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$#%+!]+[^\W_]+)*[@$]?|[@$][^\W_]+")
@@ -107,6 +110,17 @@ _MASK = re.compile(r"[*@$#%+!0-9]")
 _REPEAT = re.compile(r"(.)\1+")
 
 
+def rejoined(text: str) -> str:
+    """Sentences that are wrapped over several lines on one line each."""
+    out, last = [], ""
+    for line in text.split("\n"):
+        line = line.strip()
+        goes_on = last and line and not _ENDS.search(last[-8:]) and not _STARTS.match(line)
+        out.append((" " if goes_on else "\n") + line)
+        last = line
+    return "".join(out)
+
+
 class Grammar:
     """The patterns as one automaton over symbols, with the words that each symbol stands for."""
 
@@ -222,9 +236,9 @@ class Grammar:
         plain = fold(unmarked(text))
         plain = _APART.sub(lambda m: re.sub(r"[^\w]|_", "", m.group(0)), plain)
         best, cases = 0.0, 0
-        for part in _SPLIT.split(plain):
+        for part in _SPLIT.split(rejoined(plain)):
             tokens = _TOKEN.findall(part.replace("'", "").replace("’", " ")) if part else []
-            if len(tokens) >= 3:
+            if tokens:
                 s = self.clause(tokens)
                 best = max(best, s)
                 cases += s >= CASE

@@ -71,6 +71,16 @@ def test_shop_talk_is_not(text):
     assert Grammar().score(text)[0] < CASE
 
 
+@pytest.mark.parametrize("text", ["Fuck you!", "You idiot!", "Brasko: stupid cunt", "Shut up, you moron. Worthless idiots.", "We met at noon. You are a\nstupid moron and everyone knows it.", "Du bist ein\r\n  Arschloch"])
+def test_short_and_wrapped_sentences_are_scored(text):
+    assert Grammar().score(text)[0] >= CASE
+
+
+@pytest.mark.parametrize("text", ["What they saw was a\n- moron", "Seen by you\nBrasko: idiot is not a word here.", "It was a lazy\n12:30 idiot test", "They know you\n2. idiot is a word", "They know you.\nidiot is a word", "They know you\n\nidiot is a word"])
+def test_lines_of_their_own_are_not_joined(text):
+    assert Grammar().score(text)[0] < CASE
+
+
 def test_scores_cover_every_row_and_whole_texts(spark):
     rows = [(1, "fine " * 30000 + ". You are a stupid moron."), (2, None), (2, None), (3, "")]
     got = with_abuse_score(spark.createDataFrame([(*r, "x") for r in rows], "i int, text string, score string"), "text").collect()
