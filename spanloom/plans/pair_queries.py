@@ -44,8 +44,7 @@ def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "recordings").filter("session_key IS NOT NULL")
-    return P.blocked_pairs(r, "video_id", "session_key")
+    return P.blocked_pairs(table(spark, sf_dir, "recordings"), "video_id", "session_key")
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:

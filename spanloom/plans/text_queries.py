@@ -176,8 +176,8 @@ def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session, tag and span read from paths made of the recordings' metadata."""
-    r = table(spark, sf_dir, "recordings").filter("session_key IS NOT NULL AND site IS NOT NULL")
+    """Session, tag and span read from paths made of the recordings' metadata; nulls without a session key."""
+    r = table(spark, sf_dir, "recordings")
     path = F.concat(F.lit("/store/data/"), F.col("session_key"), F.lit("/chunks/"), F.col("video_id"), F.lit("_"), F.col("ordinal").cast("string"), F.lit("-"), (F.col("ordinal") + 30).cast("string"), F.lit(".mp4"))
     return r.select("video_id", path.alias("path")).select("video_id", session_of("path").alias("session"), F.regexp_extract("path", r"/([A-Z]{2,5}-\d+)/", 1).alias("tag"),
                                                           F.regexp_extract("path", r"_(\d+)-(\d+)\.mp4$", 1).try_cast("int").alias("t0"), F.regexp_extract("path", r"_(\d+)-(\d+)\.mp4$", 2).try_cast("int").alias("t1"))

@@ -80,3 +80,12 @@ def test_readings_meet_the_null_model_of_their_encoder(spark, tmp_path):
     assert p == {("g1", "g2"): 50.0, ("s1", "s2"): 50.0, **nothing} == env
     assert z == {("g1", "g2"): 0.0, ("s1", "s2"): 0.5, **nothing}
     assert by("verdict_compare", "label")["s1", "s2"] == "NOVEL"
+
+
+def test_recordings_without_site_or_session_are_kept(spark, tmp_path):
+    rows = [("r1", "hall", "north/AB-1", 30), ("r2", None, "north/AB-1", 60), ("r3", "hall", None, 0), ("r4", None, None, 0)]
+    sf = put(spark, tmp_path, recordings=(rows, "video_id string, site string, session_key string, ordinal int"))
+    got = {tuple(r) for r in E.queries()["session_keys"](spark, sf).collect()}
+    assert got == {("r1", "north/AB-1", "AB-1", 30, 60), ("r2", "north/AB-1", "AB-1", 60, 90), ("r3", None, None, None, None), ("r4", None, None, None, None)}
+    pairs = {tuple(r) for r in E.queries()["blocked_pairs"](spark, sf).select("block", "a", "b").collect()}
+    assert pairs == {("north/AB-1", "r1", "r2"), ("UNKNOWN", "r3", "r4")}
