@@ -1,9 +1,11 @@
 """Abusive, hateful or sexual language, scored by a weighted finite-state grammar over clauses.
 
-Three transducers are composed.  The first undoes disguises and maps words to symbols (insult,
-group, threat, target, ...).  The second holds the patterns: sequences of symbols with bounded gaps,
-each with a weight.  The third looks at the context of a match: negation inside it and speech about
-misconduct (rules, reports) take its weight back.  No word alone makes a case.
+Four stages are composed (``transduce.py``).  The lexical one undoes disguises and reads each word as the
+symbols of ``lexicon.py``, through inflection and compounds.  The phrase transducer reads those into insulting
+names, groups, persons' bodies, acts.  The clause transducers (insult, threat, wish of harm, degradation of a
+group, sexual content) read phrases and words with bounded gaps and write a weighted match.  The context
+transducer reads matches together with negation and speech about misconduct and takes weight back.  No word
+alone makes a case, except names that have no other use.
 """
 
 from __future__ import annotations
@@ -17,86 +19,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread
+from . import lexicon
 from .naming import drops, one_slip
 from .plaintext import fold, unmarked
+from .transduce import Symbols, Transducer
 
 #: A document is a case from this score on.
-CASE = 1.0
-
-#: Words of each symbol, without accents, in English, German, Spanish and French.
-SYMBOLS = {
-    "YOU": "you your yours yourself u du dir dich dein deine ihr euch tu te toi ta ton vous votre usted os",
-    "BE": "is are am was were be been bist ist sind seid eres es son sois est sont etes",
-    "NOT": "not never no nobody nicht kein keine nie nunca jamas pas jamais ne",
-    "FIRST": "i im ich yo je we wir",
-    "WILL": "will going gonna ll shall want wanna would",
-    "INSULT": "arsehole arse cunt motherfucker dipshit shithead lowlife slut whore skank halfwit dimwit nitwit numbskull dunce oaf dolt airhead bonehead blockhead degenerate maggot weasel leech creep freak git tosser wanker moron morons idiot idiots asshole assholes prick imbecile imbeciles bastard bitch retard cretin dumbass scumbag loser losers jerk twat wanker dickhead "
-              "trottel versager mistkerl drecksack dummkopf penner spast vollpfosten hohlkopf kretin schlampe hure fotze nutte lusche flachzange scheisskerl waschlappen arschloch idioten vollidiot depp wichser dreckschwein drecksau hurensohn missgeburt schwachkopf "
-              "gilipollas tarado mamon zorra desgraciado malnacido zopenco baboso pelotudo boludo idiota idiotas imbecil cabron pendejo hijoputa capullo cretino subnormal "
-              "abruti abrutie ordure raclure bouffon tocard minable enfoire fumier salopard batard boulet larve debile connard connasse encule salaud salope cretine imbeciles",
-    "MILD": "worm slob coward wimp deadbeat snake toad dog monkey ape parasite gusano cobarde bobo tonto necio pringado rata perro verme ver lache incapable andouille chien cochon niete pfeife lappen ratte wurm hund clown pig pigs fool tool sponge donkey cow rat swine schwein sau esel payaso cerdo cerda burro basura pute puta porc truie clochard ane merde shit crap trash garbage inutil oxygen vermin",
-    "SLUR": "spineless gutless clueless mindless lousy rotten stinking vile wretched thick dense ruckgratloser feiger mieser widerlicher dreckiges dummes repugnante patetico cobarde inmundo minable immonde ignoble stupid dumb braindead brainless lazy filthy fucking fuckin pathetic worthless useless disgusting ugly damn bloody "
-            "hirnloser hirnlose hirnlosen dummer dumme dummes blode bloder bloder fauler faule dreckiger dreckige verdammter verfluchter "
-            "asqueroso asquerosa estupido estupida maldito maldita puto sale sales pauvre gros grosse stupide puant",
-    "GROUP": "asians asian africans arabs mexicans poles turks indians disabled homosexuals homosexuelle turken polen asylanten frauen behinderte sudacas chinos ancianos homosexuales noirs roms homosexuels refugees refugee migrants migrant immigrants immigrant foreigners foreigner gays gay lesbians homos queers cripples cripple jews muslims blacks whites gypsies women "
-             "auslander fluchtlinge weiber kruppel schwuchteln schwule zigeuner juden muslime migranten "
-             "inmigrantes extranjeros maricones viejos refugiados gitanos moros judios mujeres tullidos lisiados "
-             "immigres etrangers refugies pedes vieux arabes juifs gitans infirmes migrantes femmes handicapes boiteux",
-    "VERMIN": "maggots leeches roaches locusts dirt cancer infestation barbarians monsters pigs dogs monkeys krebs seuche schmarotzer dregs bestias cancer perros sangsues barbares betes peste vermin filth subhuman subhumans trash parasites parasite savages cockroaches cockroach animals disease plague rats scum pest lice "
-              "ungeziefer abschaum untermenschen parasiten dreck pack plaga escoria basura parasitos ratas salvajes alimanas vermine racaille parasites ordure cafards",
-    "THEM": "them they their those these all solche alle diese esos esas estos todos ces tous ceux cette",
-    "HARM": "break beat smash shove kill stab choke strangle burn cut kick drown crush punch slap hurt destroy gut "
-            "breche brechen brech schlage schlagen toten totschlagen steche umbringen "
-            "rompo romper parto partir mato matar pego reviento quemo corto casse casser frappe tue tuer creve etrangle brise",
-    "BODY": "fingers finger throat wrist face head neck skull teeth legs leg arm arms bones hand hands knees kehle finger fingern gesicht kopf hals knochen zahne beine "
-            "dedos cara cuello cabeza huesos piernas dientes doigts gorge visage tete cou jambes dents os gueule",
-    "FUCK": "fuck fucking screw bang ficken bumsen vogeln follar follarte follarme follarla cogerte baiser niquer enculer",
-    "STRIP": "undress strip naked nude nackt ausziehen zieh desnuda desnudo desnudarte desnudarla desnudarse deshabiller nue nus nackte",
-    "ACT": "lick kiss suck taste grope ride mount rub stroke caress undress strip fuck screw bang shag spank bend feel touch lecken kussen lamer besar chupar tocar lecher embrasser sucer toucher",
-    "LEWD": "horny tits boobs nipples nipple cock pussy dick cum ass butt thighs panties blouse skirt hips crotch breasts titten schwanz arsch muschi schenkeln schenkel brustwarzen "
-            "tetas culo polla cono falda muslos seins cuisses chatte bite jupe",
-    "MOAN": "moan moaned moaning moans wet begging hard unzipped stohnte stohnen gimio gemia gemisse gemir gemissait gemit",
-    "HER": "her his she he him sie seine seiner ihre ihrer le la su ses il elle",
-    "OVEN": "furnace oven press gas incinerator ofen presse gaskammer horno prensa four presse fournaise",
-    "CAST": "throw lock burn gas werfen verbrennen vergasen sperren encerrar encerrarlos quemar quemarlos tirar tirarlos jeter bruler enfermer lose",
-    "RULE": "rule rules policy reported report forbidden prohibited complaint complaints harassment hateful remarks misconduct training definition quote quoted melden gemeldet verboten belastigung beleidigungen regel "
-            "comunican comunicar denuncia prohibido acoso insultos norma regla signaler signales interdit insultes harcelement reglement",
-}
-
-#: The patterns.  Capitals are symbols, ``a|b`` alternatives, ``..`` a gap of up to six words, otherwise
-#: one word may stand between.  A ``!`` marks patterns whose own words deny something.
-PATTERNS = [
+CASE = 0.85
+
+#: Phrases: the symbol written, its weight, the words read (see ``transduce.Rule``).
+PHRASES = [
+    ("NAME", 0.0, "INS|SLUR"), ("NAME", 0.2, "ADJ|EXPL+ INS|SLUR"), ("NAME", 0.2, "INS|ADJ de EXPL|MILD"), ("NAME", 0.2, "PIECE of? de? DUNG"), ("NAME", 0.2, "bunch|pack|gang|bande|haufen|panda|manada|PIECE of|de|von? DET* ADJ* INS|SLUR|MILD"),
+    ("NAME", 0.2, "waste of space|air|oxygen|skin"), ("NAME", 0.2, "son|sons|hijo|hija|hijos|fils|fille of|de a? bitch|whore|puta|perra|pute|chienne"),
+    ("LOW", 0.0, "ADJ|EXPL+ LITTLE* MILD"), ("LOW", 0.0, "LITTLE ADJ|EXPL+ MILD"), ("NAME", 0.2, "ADJ|EXPL+ LITTLE+ INS|SLUR"), ("LOW", 0.1, "ADJ ADJ+ MILD"), ("LOW", 0.1, "EXPL ADJ MILD"),
+    ("PLAIN", 0.0, "MILD|ADJ"),
+    ("GROUP", 0.0, "GRP|SLUR"), ("GROUP", 0.0, "the|die|los|les|THAT COLOUR KIND"), ("GROUP", 0.0, "HIS|THAT|that|Y KIND"),
+    ("GROUP", 0.0, "PEOPLE|THAT|los|die|ceux|gens of|with|from|de|mit|a|von THAT|that|this|HIS|ese|esa|este|cette|ce|ihrem|la KIND|THERE"),
+    ("GROUP", 0.0, "the|that|THAT -2 lot|sippschaft|gesocks"), ("GROUP", 0.0, "THAT PEOPLE"), ("GROUP", 0.0, "PEOPLE LIKE Y|THEY|THAT"),
+    ("YBODY", 0.1, "Y DET? BODY"), ("YBODY", 0.0, "Y los|las|la|el|le|les|die|den|das|ins BODY"),
+    ("YMOUTH", 0.0, "Y|die|das|la|el|los|the DET? ADJ|EXPL* MOUTH"),
+    ("HISBODY", 0.0, "HIS|Y|ME|la|el|den|die|seinen|ses ADJ|NAKED|EXPL? PRIVATE|LEWD|CLOTHES"),
+    ("NEVER", 0.0, "NEG|NOBODY"),
+    ("INTEND", 0.0, "I WILL"), ("INTEND", 0.0, "I be? am|m going|gonna to?"), ("INTEND", 0.0, "I WANT|WOULD to?"), ("INTEND", 0.0, "ich dir|dich|euch"), ("INTEND", 0.0, "voy|vamos a"), ("INTEND", 0.0, "je|on te|vous|vais"), ("INTEND", 0.0, "WILL I"),
+    ("SUBJ", 0.0, "YSUBJ"), ("YARE", 0.0, "YSUBJ PEOPLE|all|guys|lot|two? BE"), ("YARE", 0.0, "eres|sois|bist|seid|etes"), ("DESIRE", 0.0, "I WANT|WILL|WOULD"), ("DESIRE", 0.0, "WANT|quiero|mochte I|te|you"), ("DESIRE", 0.0, "WANT|WILL te|dich"), ("DESIRE", 0.0, "want|wanna|quiero|veux|mochte|let to?"),
+]
+
+#: Clauses: what is matched, its weight, the words and phrases read.
+CLAUSES = [
     # insults with a person as their target
-    (1.0, "YOU BE a|an|ein|eine|un|une|the|such INSULT|MILD"), (1.0, "YOU BE .. INSULT"), (1.0, "YOU BE .. SLUR INSULT|MILD"), (1.0, "du|tu|ihr|you INSULT"), (1.0, "SLUR INSULT"),
-    (1.0, "piece|pieces|stuck|pedazo|morceau of|de|scheisse|dreck shit|crap|trash|scheisse|mierda|basura|merde"), (1.0, "waste of oxygen|space|air"), (1.0, "hijo|hija|hijos de puta"), (1.0, "stuck scheisse|dreck"),
-    (1.0, "brain|brains of|like a|an .. MILD"), (1.0, "crawl back to|in|into your hole|cave"), (1.0, "what|only|just a|an .. INSULT"), (1.0, "so|solch ein|eine .. INSULT"), (1.0, "que|quel|quelle INSULT"), (1.0, "que|quel|quelle MILD|SLUR SLUR|INSULT|MILD"),
-    (1.0, "whoever|wer|quien|celui .. INSULT"), (1.0, "whoever|wer .. SLUR MILD"), (1.0, "only|what a|an SLUR MILD"), (1.0, "look at this|that .. INSULT"), (1.0, "look at this|that SLUR MILD"), (1.0, "INSULT everyone|everybody"),
-    (1.0, "abruti|debile|idiot|connard|pauvre|gros|sale de merde"), (1.0, "un|une|le pauvre|sale|gros INSULT|type|con|merde"), (1.0, "hold|shut|halt|cierra|ferme|ferm your|die|deine|la|el|ta|tu|dein mouth|fresse|maul|klappe|schnauze|boca|hocico|gueule|trap|face"),
-    (0.6, "get off my queue|line|bench|floor"), (0.6, "cannot|cant even hold|lift|read"), (0.6, "brain of a"), (0.6, "everyone at the .. knows it"), (0.7, "das weiss jeder"), (0.7, "lo sabe toda"), (0.7, "tout le monde le sait"), (1.0, "only a|an .. would call this"),
-    (0.5, "whoever labelled clip .. is a"), (0.5, "look at this .. again"), (0.6, "YOU people at"), (0.4, "du bist ein|eine"), (0.4, "eres un|una"), (0.4, "tu es un|une"), (0.4, "you are a"), (1.0, "so ein .. hat clip"), (1.0, "que .. ha etiquetado"), (1.0, "quel|quelle .. a etiquete"), (0.6, "INSULT .. clip"), (0.7, "what a .. cannot even"),
+    ("INSULT", 1.0, "Y BRAIN BE -3 small|smaller|tiny|rotten|kleiner|pequeno|petit"), ("INSULT", 1.0, "ADJ fuck|fucks"),
+    ("INSULT", 1.0, "YARE DET* VERY* ADJ PEOPLE|man|guy|woman|thing"), ("INSULT", 1.0, "YARE DET? PEOPLE VERY* ADJ"), ("INSULT", 1.0, "SUBJ -1 INS|SLUR"), ("INSULT", 1.0, "du|ihr MILD|DEHUM"), ("INSULT", 1.0, "ta|vos gueule|gueules"),
+    ("INSULT", 1.0, "YARE -2 VERY* NAME"), ("INSULT", 1.0, "YARE VERY* DET* VERY* LOW"), ("INSULT", 1.0, "YARE VERY* DET+ VERY* MILD"), ("INSULT", 1.0, "YARE DET VERY* ADJ EXPL? MILD"), ("INSULT", 1.0, "YARE VERY* ADJ"), ("INSULT", 1.0, "YARE VERY+ ADJ"),
+    ("INSULT", 1.0, "SUBJ VERY* NAME"), ("INSULT", 1.0, "SUBJ LOW"), ("INSULT", 1.0, "Y ADJ NAME|MILD"), ("INSULT", 1.0, "BE SUBJ VERY* DET? NAME|LOW"),
+    ("INSULT", 0.95, "ADJ|EXPL+ INS|SLUR"), ("INSULT", 1.0, "DET VERY* ADJ|EXPL+ NAME"), ("INSULT", 1.0, "what|such|so|only|just|que|quel|quelle|solch|menudo|vaya DET* VERY* NAME"), ("INSULT", 1.0, "WHO -6 BE DET* VERY* NAME|LOW"), ("INSULT", 1.0, "WHO -6 BE VERY* ADJ"), ("INSULT", 1.0, "ONE BE DET* VERY* NAME|LOW"),
+    ("INSULT", 1.0, "what|such|only|just|this|que|quel|quelle|so DET* LOW"), ("INSULT", 1.0, "DET* INS SUBJ|de"), ("INSULT", 1.0, "INS WHO|ONE|everyone|everybody"), ("INSULT", 1.0, "PIECE of? de? DUNG"),
+    ("INSULT", 1.0, "waste of space|air|oxygen|skin"), ("INSULT", 1.0, "son|sons|hijo|hija|hijos|fils of|de a? bitch|whore|puta|perra|pute"), ("INSULT", 1.0, "INS|ADJ de mierda|merde"), ("INSULT", 1.0, "pauvre|sale|gros|grosse|espece de|d? INS|MILD|type|ADJ"),
+    ("INSULT", 1.0, "Y -6 BRAIN LACK|LIKE DET* -2 MILD|sponge|potato|stone|brick|goldfish|flea|peanut|amoeba|vegetable|door|rock|stein|brot|mosquito|huitre"), ("INSULT", 0.7, "Y -3 BRAIN LACK"), ("INSULT", 1.0, "Y -2 no|kein|sin|pas BRAIN"), ("INSULT", 1.0, "too|zu|demasiado|trop ADJ to|um|zum|para|pour -3 breathe|live|exist|read|think|leben|atmen|denken|vivir|pensar|respirer|penser"),
+    ("INSULT", 1.0, "SHUT -2 fuck|hell up"), ("INSULT", 1.0, "SHUT YMOUTH"), ("INSULT", 1.0, "SHUT up? te? -1 NAME|LOW|MILD"), ("INSULT", 1.0, "GO -2 to|zur|in|into|al|a|en|au Y? -2 hell|holle|teufel|infierno|diablo|mierda|enfer|diable|hole|cave|loch|agujero|trou"), ("INSULT", 1.0, "verpiss|vaffanculo|fuck|piss|va off|dich|te|tu faire? -1 foutre?"),
+    ("INSULT", 1.0, "nobody|noone|everyone|everybody|keiner|niemand|jeder|nadie|todos|personne likes|loves|hates|mag|hasst|quiere|odia|aime|deteste Y"), ("INSULT", 1.0, "SUBJ|Y make|makes me|us sick|vomit|puke"), ("INSULT", 1.0, "me|das|tu|du das? asco|asqueas|degoutes|ekelst|widerst ME?"), ("INSULT", 1.0, "fuck|screw|damn|fick|chinga|jodete|jodeos|nique Y|off|dich|te|ta|tu"), ("INSULT", 1.0, "jodete|jodeos|chingate|vetealcarajo|stfu|kys|gtfo"),
+    ("INSULT", 1.0, "Y FAMILY BE -3 INS|LOW|MILD|SLUR"), ("INSULT", 0.9, "YARE VERY* NEG? worth -2 nothing|dreck|nada|rien|shit"), ("INSULT", 1.0, "YARE nothing|nada|rien but|mas|als|que -2 NAME|MILD|LOW"), ("INSULT", 0.9, "fucking|fuckin|verfickter|verfickte|verdammter|puto|pinche MILD"), ("INSULT", 0.4, "NAME"), ("INSULT", 0.9, "SLUR"), ("INSULT", 1.0, "look|mira|regarde|schau at? DET* LOW"),
+    ("INSULT", 1.0, "SUBJ should|sollt|sollst be ashamed of? existing|living"), ("INSULT", 1.0, "lick|kiss|leck|besa|lame|chupa|suck|embrasse my|mein|meinen|mi|me|mon LEWD|BODY"), ("INSULT", 1.0, "YARE -1 WITHOUT|less|kein|sin|sans BRAIN|value|worth"),
     # threats
-    (1.0, "FIRST WILL .. HARM .. YOU"), (1.0, "FIRST am|m going to .. HARM .. YOU"), (1.0, "FIRST will set your .. fire"), (1.0, "HARM YOU|die|los|les|deine|tus|tes .. BODY"), (0.8, "HARM ich dir|euch|dich"), (0.8, "te HARM los|la|el|las"), (0.8, "je te HARM"),
-    (1.0, "you do not|dont walk home !"), (1.0, "make sure you .. home"), (1.0, "know where you park|live|sleep|work"), (1.0, "HARM you until you"), (0.8, "next time you touch my"), (1.0, "down your throat"), (1.0, "on fire with you"), (0.6, "or i will"), (0.6, "sonst HARM ich"), (0.6, "o te HARM"), (0.6, "ou je te HARM"), (0.6, "got it"), (0.5, "you stop moving"), (0.5, "know where you"), (0.5, "your fingers in the"), (0.6, "your locker on fire"),
+    ("THREAT", 1.0, "burn|blow|torch HIS|Y -1 house|car|home|family"),
+    ("THREAT", 1.0, "INTEND -2 CAST -1 Y -3 DEVICE"), ("THREAT", 1.0, "INTEND -2 HARMYOU"), ("THREAT", 1.0, "quiero|vamos|hay -2 HARMYOU"),
+    ("THREAT", 1.0, "INTEND -4 KILL -3 Y|ONE|FAMILY|THEY|NAME|GROUP"), ("THREAT", 1.0, "INTEND -3 Y -3 KILL"), ("THREAT", 1.0, "INTEND -5 HIT|CAST|KILL -4 YBODY"), ("THREAT", 1.0, "INTEND beat|punch|smash|slap|kick|crush|bury|whip|skin|verprugle|schlage|pego|frappe|cogne|defonce|eclate YSUBJ|te|dich|ONE"), ("THREAT", 1.0, "HIT|KILL I -1 Y -6 BODY"), ("THREAT", 1.0, "HIT|KILL I Y -6 BODY|um|ab|tot|zusammen|aus"),
+    ("THREAT", 1.0, "Y KILL"), ("THREAT", 1.0, "KILL Y"), ("THREAT", 1.0, "te|os|le|les voy|vamos a HIT|KILL"), ("THREAT", 1.0, "te|os|vous HIT los|las|la|el|les|le|tous? BODY"), ("THREAT", 1.0, "OR -2 I? INTEND? -2 HIT|KILL -3 Y"), ("THREAT", 1.0, "OR HIT I Y"), ("THREAT", 1.0, "SHUT -4 OR -4 HIT|KILL"),
+    ("THREAT", 1.0, "HIT|CAST -4 down|up|durch|por|dans -1 Y DET? throat|ass|arse|kehle|garganta|gorge|cul|culo|arsch"), ("THREAT", 1.0, "slit|rip YBODY"), ("THREAT", 1.0, "put|stick|jag|jage|mete|meter|mettre|plant -2 bullet|knife|kugel|messer|bala|cuchillo|balle|couteau -3 Y|ONE|HIS"), ("THREAT", 1.0, "INTEND -4 HIT DET* BODY in|of|im|de Y"), ("THREAT", 1.0, "HIT -2 face|head|skull|teeth against|on|into|in"), ("THREAT", 1.0, "HIT Y until|bis|hasta|jusqu"), ("THREAT", 1.0, "KNOW -1 WHERE Y LIVE"), ("THREAT", 1.0, "WHERE Y LIVE"), ("THREAT", 1.0, "set|light|burn Y -4 fire|down|alive"), ("THREAT", 1.0, "Y -3 on fire with|while Y"),
+    ("THREAT", 1.0, "make|sorge sure|dafur -1 Y -2 NEG -2 LAST|nach|HOME"), ("THREAT", 1.0, "Y -2 wont|never|nie|no|not LAST -3 HOME|again|tomorrow|alive"), ("THREAT", 1.0, "Y -2 BE -1 dead|tot|muerto|muerta|muertos|mort|morte"), ("THREAT", 1.0, "Y -2 will regret|bereuen|arrepentir|regretter"), ("THREAT", 1.0, "Y will pay|bleed|suffer|die|scream|beg"), ("THREAT", 1.0, "WILL|going to? find Y and"), ("THREAT", 1.0, "vas|vais|va a? pagar|morir|mourir|crever|payer|arrepentirte"),
+    ("THREAT", 1.0, "wirst|werdet -3 bezahlen|sterben|bluten|bereuen|leiden"), ("THREAT", 0.9, "bring|bringe ich? dich|euch -4 um"), ("THREAT", 0.9, "mach|mache|stech|steche|schlag|schlage|knall|knalle|tret|trete ich? dich|euch|dir -4 kalt|fertig|tot|zusammen|ab|nieder|BODY"), ("THREAT", 1.0, "ich HIT dir|euch -3 BODY"), ("THREAT", 1.0, "watch your back|step"), ("THREAT", 1.0, "last|next time -4 Y -8 INTEND -3 HIT|KILL"), ("THREAT", 1.0, "ich INTEND? KILL|verprugle|verprugel|zerquetsche Y"), ("THREAT", 1.0, "INTEND -3 HIT|KILL Y|los|las|les|die|den -2 BODY"),
     # wishes of harm
-    (1.0, "should have been drowned|killed|aborted|strangled"), (1.0, "drowned at birth"), (1.0, "should have been .. at birth"), (0.6, "that is how bad your"), (1.0, "go|geh|ve hang|kill|hange|erhang|cuelgate|matate YOU"), (0.6, "the shift would clap"), (1.0, "nobody|noone would miss you !"), (0.8, "do us all a favour|favor"), (0.8, "if you fell into|in the"),
-    (1.0, "hope the .. slips|opens|takes|crushes|cuts .. BODY"), (1.0, "hope .. takes|takes a|your hand|arm off"), (1.0, "opens your wrist"), (0.8, "nobody here would call a doctor !"), (1.0, "deserves to be dragged|beaten|hanged|shot|crushed|burned"), (0.8, "behind the forklift until"), (0.6, "until nothing is left"),
-    (1.0, "ware .. doch .. OVEN"), (1.0, "OVEN gefallen"), (0.8, "keiner|niemand wurde heulen|weinen|trauern !"), (1.0, "ojala .. caiga|muera|muriera|cayera|prensa|horno"), (0.8, "nadie va a llorar !"), (1.0, "si .. tombait dans|sous OVEN|la"), (0.8, "personne ne pleurerait|pleurera !"), (0.8, "se caiga a|en la|el OVEN"),
-    # degrading a group
-    (1.0, "GROUP BE .. VERMIN"), (1.0, "kind|ones|faith|lot|barrio|dort|bas BE .. VERMIN"), (1.0, "VERMIN and|y|und|et .. not|no|nicht|rien belong|deberian|gehoren|a !"), (0.8, "do not belong on|in|here !"), (0.8, "gehoren nicht in|hierher !"), (0.8, "no deberian pisar !"), (0.8, "ont rien a faire ici !"), (0.8, "rien a faire ici !"),
-    (1.0, "keep .. out of the .. they"), (1.0, "they breed like"), (0.8, "like rats and steal"), (1.0, "steal our work|jobs|women"), (1.0, "got|get rid of GROUP|THEM|the|people .. ago|long|ones|kind|lot|faith|cripples"), (0.8, "nobody should weep for !"), (0.8, "a proper country would have"), (1.0, "weep for .. VERMIN"),
-    (1.0, "god made .. to serve"), (0.8, "to serve not to do !"), (0.8, "whoever disagrees can burn"), (1.0, "send every one of them back"), (0.8, "ruin whatever they touch"), (0.8, "smell of it too"), (1.0, "should lock .. in the .. open"), (0.8, "and open the valve"), (0.5, "somebody should lock"),
-    (1.0, "real .. died the day they"), (0.8, "day they hired"), (0.8, "for real people not for !"), (0.8, "is for real people"), (1.0, "would not let .. touch .. born|dirty !"), (1.0, "they are born dirty"), (0.6, "i would not let GROUP|the|THEM|people !"),
-    (1.0, "always with .. too SLUR"), (0.6, "as always with"), (1.0, "throw|put them all in|into the OVEN"), (1.0, "CAST them .. OVEN"), (1.0, "GROUP lose a hand"), (0.8, "one hand less to steal"), (0.6, "less to steal with"), (1.0, "why do they let .. near"), (1.0, "give them brooms|a kick"), (0.7, "give them a kick"),
-    (1.0, "solche|diese .. in den OVEN"), (1.0, "sollte man alle"), (1.0, "OVEN werfen"), (1.0, "habria que encerrarlos|quemarlos|matarlos|echarlos"), (1.0, "encerrarlos .. OVEN"), (1.0, "faudrait tous les"), (1.0, "les jeter dans"), (0.8, "jeter dans le four"),
+    ("ILLWISH", 1.0, "rot|burn|schmor|pudrete|pourris in|en -2 hell|holle|infierno|enfer"), ("ILLWISH", 1.0, "SHOULD -2 DEAD"), ("ILLWISH", 1.0, "WISH -2 Y -3 DEAD"),
+    ("ILLWISH", 1.0, "drop dead"), ("ILLWISH", 1.0, "WISH -2 FALL Y"),
+    ("ILLWISH", 1.0, "SUBJ|ONE|NAME SHOULD -1 be|have|been -1 been? KILL|HIT"), ("ILLWISH", 1.0, "SHOULD have been KILL|aborted|swallowed -3 BIRTH?"), ("ILLWISH", 1.0, "KILL at|bei|al|a la? der? BIRTH"), ("ILLWISH", 1.0, "go|just|please|geh|ve|vete|va|bitte KILL|hang|erschiess|erhang|pends SELF"), ("ILLWISH", 1.0, "KILL yourself|dich|te|yourselves"), ("ILLWISH", 1.0, "matate|suicidate|ahorcate|cuelgate|muerete|kys|pends"), ("ILLWISH", 1.0, "bring dich um"), ("ILLWISH", 1.0, "GO -1 FALL|hang|drown|die|sterben|verrecken|morir|crever|mourir"),
+    ("ILLWISH", 1.0, "NOBODY WOULD|WILL|va|wird|a -1 CRY -1 Y"), ("ILLWISH", 0.7, "NOBODY -4 CRY|call|rufen|llamar|appeler"), ("ILLWISH", 1.0, "Y -2 NEG? CRY NOBODY"), ("ILLWISH", 1.0, "WISH -4 Y -3 FALL|KILL|HIT"), ("ILLWISH", 1.0, "WISH -5 FALL -3 PREP|in|into DET* DEVICE"), ("ILLWISH", 1.0, "WISH -7 HIT|FALL|open|opens|take|takes|abre -4 Y|BODY BODY|off?"), ("ILLWISH", 1.0, "WISH -6 take|takes|nimmt|arranca|prenne -1 BODY"),
+    ("ILLWISH", 1.0, "WISH -6 DEVICE FALL"), ("ILLWISH", 1.0, "WISH -3 FALL -2 painfully|slowly|alone|screaming|qualvoll|sufriendo|cancer|krebs|dolor"), ("ILLWISH", 0.8, "WISH -4 FALL"), ("ILLWISH", 1.0, "WISH -4 Y|ONE -2 get|gets|kriegst|bekommst|tengas|aies|coja DEHUM|cancer|krebs|sida|aids"), ("ILLWISH", 1.0, "DESERVE -3 KILL|HIT|FALL"), ("ILLWISH", 1.0, "DESERVE -2 death|tod|muerte|mort"), ("ILLWISH", 0.8, "do us -2 favour|favor"), ("ILLWISH", 1.0, "world|welt|mundo|monde WOULD|ware|seria|serait|is -3 better|besser|mejor|mieux -1 WITHOUT Y|ONE|GROUP|THEY"),
+    ("ILLWISH", 1.0, "SI|si -4 FALL -3 DEVICE"), ("ILLWISH", 1.0, "si ONE? -4 FALL PREP DET* DEVICE"), ("ILLWISH", 1.0, "que te HIT|KILL|FALL|jodan|den|follen"), ("ILLWISH", 1.0, "creve|crevez|verrecke|muere|muerete SUBJ|NAME|LOW|charogne|salope|bitch"),
+    # degradation of a group
+    ("DEGRADE", 1.0, "NEG want|need|like|tolerate|wollen|brauchen|queremos|voulons -2 GROUP -2 here|hier|aqui|ici|around"), ("DEGRADE", 1.0, "GROUP NEG? -2 rien|nichts|nothing|nada a|zu? -1 faire|suchen|verloren|pintan|hacer"),
+    ("DEGRADE", 1.0, "GROUP -1 BE DET* VERY* ADJ|EXPL? MILD|DEHUM|NAME"), ("DEGRADE", 1.0, "GROUP -1 BE VERY* DET* ADJ"), ("DEGRADE", 1.0, "GROUP BE VERY+ STINK|ADJ"), ("DEGRADE", 1.0, "GROUP -1 NEG|no|dont|nicht -1 BELONG"), ("DEGRADE", 1.0, "GROUP BELONG NEG"), ("DEGRADE", 1.0, "GROUP -5 SHOULD -3 KILL|EXPEL"), ("DEGRADE", 1.0, "GROUP -2 SHOULD -3 CAST -3 DEVICE|cage|camp|paint"), ("DEGRADE", 1.0, "SHOULD -2 KILL|CAST|EXPEL -4 GROUP"), ("DEGRADE", 1.0, "GROUP -2 SHOULD -6 DEVICE CAST"),
+    ("DEGRADE", 1.0, "KILL|gas|burn|deport|exterminate|shoot|tod|muerte|mort|death to? all? den? a? aux? DET* GROUP"), ("DEGRADE", 1.0, "keep|get|throw|kick|send|chuck -1 GROUP OUT"), ("DEGRADE", 1.0, "GROUP OUT"), ("DEGRADE", 1.0, "fuera|dehors|raus los|las|les|mit GROUP|den"), ("DEGRADE", 1.0, "rid of DET* GROUP"), ("DEGRADE", 1.0, "GROUP|THEY -2 BREED LIKE"), ("DEGRADE", 0.9, "GROUP -8 BREED"), ("DEGRADE", 0.9, "GROUP -6 STEAL -2 JOB"), ("DEGRADE", 1.0, "GROUP -1 VERY* STEAL"), ("DEGRADE", 1.0, "GROUP -10 less|fewer|weniger|menos|moins -2 to|zum|para|pour STEAL"),
+    ("DEGRADE", 1.0, "NEG for|fur|para|pour DET* GROUP"), ("DEGRADE", 1.0, "DECAY -4 HIRE DET* GROUP"), ("DEGRADE", 1.0, "NEG HIRE DET* GROUP -2 touch|near|in|anfassen|tocar|toucher"), ("DEGRADE", 1.0, "WHY -2 THEY? HIRE|let -1 GROUP"), ("DEGRADE", 1.0, "HIRE GROUP near"), ("DEGRADE", 1.0, "GROUP to|zum|para|pour SERVE"), ("DEGRADE", 1.0, "GROUP -2 SHOULD -2 SERVE"), ("DEGRADE", 1.0, "GROUP -8 THEY? BE VERY* ADJ"), ("DEGRADE", 1.0, "GROUP BE -1 too|zu|demasiado|trop ADJ"), ("DEGRADE", 1.0, "GROUP -1 smell|stink|stinken|apestan|huelen|puent"),
+    ("DEGRADE", 1.0, "always|immer|siempre|toujours -1 GROUP -2 ADJ"), ("DEGRADE", 1.0, "GROUP VERY+ ADJ"), ("DEGRADE", 1.0, "ADJ|EXPL|MILD GROUP"), ("DEGRADE", 1.0, "GROUP -2 BE NEG -2 PEOPLE|human|humans|menschen|humanos|humains|welcome|willkommen"), ("DEGRADE", 1.0, "GROUP -1 BE -1 less|weniger|menos|moins -1 human|wert|intelligent|smart|worth|humanos|than"), ("DEGRADE", 1.0, "GROUP GO BACK|HOME"), ("DEGRADE", 1.0, "go|geh|geht|vuelve|volved|vete|rentre|retourne|crawl back|zuruck|a|chez|dahin|to -2 Y? own? PLACE|country|came|herkommst|venido"), ("DEGRADE", 1.0, "GO back? to|in|dans|a|nach Y own? PLACE"), ("DEGRADE", 1.0, "SHOULD -2 THEY KILL"), ("DEGRADE", 1.0, "GROUP -1 NEG|no good|sirven|taugen|valent|servent|sirve|valen -2 nothing|nada|nichts|rien"), ("DEGRADE", 1.0, "send -3 THEY|GROUP|EACH -2 BACK"), ("DEGRADE", 1.0, "GROUP -4 LOSE|lose -2 BODY"), ("DEGRADE", 1.0, "no|kein|ningun|pas DET* GROUP allowed|wanted|welcome|erwunscht|ici|aqui"), ("DEGRADE", 1.0, "GROUP -3 belong|belongs|gehoren|pertenecen|a|to|in|an -2 kitchen|kuche|herd|cocina|cuisine"),
+    ("DEGRADE", 1.0, "ADJ -4 CAST THEY|them|alle VERY* -1 PREP DET* DEVICE"), ("DEGRADE", 1.0, "encerrarlos|quemarlos|matarlos|echarlos|gasearlos -3 DEVICE|todos"), ("DEGRADE", 1.0, "les CAST|KILL dans|tous -2 DEVICE"), ("DEGRADE", 1.0, "GROUP -3 rien|nichts|nothing|nada a? zu? -1 faire|suchen|verloren|pintan|hacer"), ("DEGRADE", 1.0, "GROUP -3 born|nacen|geboren|nes -1 ADJ|MILD|criminals"), ("DEGRADE", 1.0, "there BE|are too many GROUP"), ("DEGRADE", 1.0, "too many|viele GROUP"),
     # sexual content and advances
-    (1.0, "send me pictures|photos|pics without"), (1.0, "i am so horny"), (0.8, "FIRST .. horny"), (1.0, "good on your knees"), (1.0, "FIRST want|wanna to .. ACT YOU"), (1.0, "FIRST want|wanna ACT YOU"), (0.6, "i want to .. YOU"), (0.5, "YOU .. in|on|behind|between|after the|tool|changing room|crib|bench|kiln|crates|shift"), (1.0, "ACT you all over"), (0.8, "you all over"), (1.0, "meet me .. and i will"), (1.0, "FUCK YOU|her|him|me"), (1.0, "i will FUCK YOU"), (1.0, "dich .. FUCK"), (1.0, "te FUCK"), (1.0, "wear nothing below|under"), (0.7, "what we did in the"),
-    (1.0, "hand under her|his skirt|blouse|shirt"), (1.0, "between her|his legs|thighs"), (0.8, "wet and begging"), (0.8, "moaning .. heard"), (1.0, "came all over"), (1.0, "over her|his thighs|tits|face|breasts"), (0.8, "bent over .. all he could"), (1.0, "hard in his overalls|pants|trousers"), (0.6, "all he could think of"),
-    (1.0, "he|she unzipped"), (1.0, "open her|his mouth"), (1.0, "stared at her|his hips|tits|ass|legs|breasts"), (0.8, "at her|his hips and imagined"), (0.8, "everything under the coat"), (1.0, "nipples and all"), (0.8, "enjoy yourselves boys"), (1.0, "down her|his blouse|pants|shirt"), (1.0, "great tits|ass|boobs"), (0.8, "tonight in bed"), (1.0, "see|touch|grab|lick|suck YOU tits|ass|pussy|cock"),
-    (1.0, "spank YOU|her"), (1.0, "bare ass"), (1.0, "feel you inside"), (1.0, "take you from behind"), (1.0, "you touch yourself"), (0.9, "strip you|her naked"), (0.8, "STRIP YOU"), (1.0, "zieh dich aus"), (1.0, "will dich nackt|ficken"), (1.0, "zwischen den|ihren schenkeln|beinen"), (0.8, "schenkeln und stohnte"), (0.8, "spurte seine|ihre hand"),
-    (1.0, "quiero desnudarte|follarte|tocarte"), (1.0, "desnudarte .. follarte"), (1.0, "mano bajo|debajo la|de falda|blusa"), (0.8, "hasta que gimio"), (1.0, "veux te deshabiller|baiser|toucher"), (1.0, "te deshabiller et te"), (1.0, "te baiser"), (1.0, "entre ses|tes cuisses|jambes"), (0.8, "jusqu|jusqua .. gemisse"), (0.8, "metio la mano"), (0.7, "glissa la main"),
+    ("SEXUAL", 1.0, "lick|kiss|leck|besa|lame my|meine|mis|mes boots|feet|shoes|fusse|stiefel|pies|botas|pieds"), ("SEXUAL", 1.0, "in|around|on|um|en my|mein|mi|mon|ma LEWD"), ("SEXUAL", 1.0, "undress|undressed|stripped|fondled|groped|caressed|fingered her|him|sie"), ("SEXUAL", 1.0, "those|these|deine|tus|tes ADJ* tits|boobs|nipples|titten|tetas|nichons|seins"), ("SEXUAL", 1.0, "blas|lutsch|mamame|suce mir|moi|la"), ("SEXUAL", 1.0, "NAKED -4 MOAN"),
+    ("SEXUAL", 1.0, "came|cum|kam inside her|him|me|you"), ("SEXUAL", 0.9, "riding|rode|mounted him|her"), ("SEXUAL", 1.0, "jerk|jerking|wank|wanking|jerked off|over"), ("SEXUAL", 1.0, "DESIRE -2 with|mit|contigo|avec Y? sleep|schlafen|dormir|acostarme|coucher"), ("SEXUAL", 1.0, "que|quel|what|menudo DET? -1 tits|ass|boobs|titten|arsch|tetas|culo|nichons|cul"), ("SEXUAL", 1.0, "envie de toi|te"), ("SEXUAL", 1.0, "deshabille|desnudate|undress|strip toi|te|yourself"), ("SEXUAL", 1.0, "DESIRE -2 SEXYOU"), ("SEXUAL", 1.0, "gustaria|apetece|ganas -2 SEXV|SEXYOU"),
+    ("SEXUAL", 1.0, "DESIRE -4 SEXV -2 Y|HIS|ONE|ME"), ("SEXUAL", 1.0, "DESIRE -4 Y -5 SEXV"), ("SEXUAL", 1.0, "SEXV -1 Y|HIS|ONE|ME"), ("SEXUAL", 1.0, "Y SEXV"), ("SEXUAL", 1.0, "DESIRE -3 TOUCH -1 Y -3 NAKED|LEWD|PRIVATE|INSIDE|all|over|everywhere|uberall|toda|partout"), ("SEXUAL", 1.0, "DESIRE -2 TOUCH -2 HISBODY"), ("SEXUAL", 1.0, "DESIRE -2 Y -4 TOUCH|NAKED"), ("SEXUAL", 1.0, "DESIRE -2 STRIP|undress|desnudarte|desnudarla|deshabiller|lick|kiss|spank|ausziehen|taste|grope Y|ONE|all?"), ("SEXUAL", 1.0, "desnudarte|follarte|lamerte|chuparte|cogerte|besarte|tocarte|metertela"),
+    ("SEXUAL", 1.0, "feel|have|spuren|sentir|sentirte|tener|avoir Y -1 INSIDE ME?"), ("SEXUAL", 1.0, "take|nehmen|tomar|prendre Y -1 from? von? por? par? BEHIND"), ("SEXUAL", 1.0, "Y -1 from|von|por|par BEHIND"), ("SEXUAL", 1.0, "touch|touches|play|playing Y? yourself|herself"), ("SEXUAL", 1.0, "TOUCH -2 HIS|Y -2 LEWD"), ("SEXUAL", 1.0, "TOUCH Y|HIS -1 NAKED|bare LEWD"), ("SEXUAL", 1.0, "TOUCH Y NAKED"), ("SEXUAL", 1.0, "STRIP|zieh dich|te|off -1 aus|NAKED"), ("SEXUAL", 1.0, "SEND -1 ME? -2 PIC -3 NAKED|LEWD|HISBODY"), ("SEXUAL", 1.0, "SEND -1 ME? -2 PIC -3 WITHOUT -2 CLOTHES|Y|anything"), ("SEXUAL", 1.0, "screw|screwed|bang|banged|poppen Y|her|him"), ("SEXUAL", 1.0, "TOUCH|slid|put HIS|Y|ONE|ihr POS_UNDER DET* CLOTHES|PRIVATE"), ("SEXUAL", 1.0, "ensename|muestrame|mandame|montre el|la|tu|tus|las|le|les|tes|moi -1 LEWD"), ("SEXUAL", 1.0, "SEND -2 NAKED|NUDES"), ("SEXUAL", 1.0, "take|takes off Y clothes|panties|bra|underwear|everything"), ("SEXUAL", 1.0, "TOUCH -1 la|el|las|los|le|les|die|den|das ADJ? LEWD"), ("SEXUAL", 1.0, "SEND -1 ME HISBODY"), ("SEXUAL", 1.0, "SEND|PIC nudes|nude|desnuda|desnudo|nackt|nue|nu"),
+    ("SEXUAL", 1.0, "I -3 HORNY"), ("SEXUAL", 1.0, "horny|cachondo|cachonda|bandant -3 Y|for|when|wenn|cuando|quand"), ("SEXUAL", 1.0, "GOOD -1 on Y KNEES"), ("SEXUAL", 1.0, "on|auf|de|a Y? die? KNEES -4 MOUTH|suck|lick|beg|SEXV"), ("SEXUAL", 1.0, "wear|wearing|wears|trag|lleva|porte WITHOUT -2 POS_UNDER"), ("SEXUAL", 1.0, "meet me -6 INTEND? -3 TOUCH|SEXV|see"), ("SEXUAL", 1.0, "hand|hands|hande|mano|manos|main|mains|finger|fingers -1 POS_UNDER -1 HIS|Y|la|den|die|el|ses|sa -1 CLOTHES|PRIVATE|LEWD"), ("SEXUAL", 1.0, "POS_UNDER HIS|Y|den|las|les|ses|tes PRIVATE"), ("SEXUAL", 1.0, "wet|nass|mojada|mouillee and|y|et|und -1 HORNY|open|ready|begging"),
+    ("SEXUAL", 1.0, "MOAN -10 came|LEWD|PRIVATE|SEXV|heard"), ("SEXUAL", 1.0, "PRIVATE|CLOTHES -4 MOAN"), ("SEXUAL", 0.8, "ONE|HIS MOAN"), ("SEXUAL", 1.0, "came|come|cum|kam|corrio|jouir|ejaculated -1 over|on|in|inside|sur|sobre|auf HISBODY"), ("SEXUAL", 1.0, "SEE -1 POS_UNDER|at|down|up|en|a|sur|auf|le|les HISBODY"), ("SEXUAL", 1.0, "SEE -4 POS_UNDER -1 CLOTHES -4 LEWD|NAKED"), ("SEXUAL", 1.0, "SEE -2 POS_UNDER HIS|Y CLOTHES"), ("SEXUAL", 1.0, "GOOD LEWD"), ("SEXUAL", 0.7, "nice|great|big|huge|sexy -1 tits|ass|boobs|breasts|titten|arsch|tetas|culo|nichons|cul|seins"), ("SEXUAL", 1.0, "tonight|later|it -2 in|im|en|au BED"), ("SEXUAL", 0.6, "nipples and"),
+    ("SEXUAL", 1.0, "hard|steif|dur|duro in HIS CLOTHES"), ("SEXUAL", 1.0, "he|she|er|sie|I unzipped"), ("SEXUAL", 1.0, "open HIS|Y mouth"), ("SEXUAL", 1.0, "TOUCH|bent -3 over -6 SEXV|NAKED|LEWD|hard"), ("SEXUAL", 1.0, "HIS|Y|my|meine|mi|mon|ma LEWD -4 SEXV|TOUCH|in|inside|rein|dentro|dedans"), ("SEXUAL", 1.0, "Y -1 LEWD BE|look|looks|sind|estan"), ("SEXUAL", 1.0, "Y -1 VERY* GOOD? LEWD"), ("SEXUAL", 1.0, "sit|setz|sientate|assieds on|auf|en|sur my|mein|mi|mon face|dick|cock|gesicht|lap|cara|polla|schoss|queue"), ("SEXUAL", 1.0, "sleep|schlaf|schlafen|acuestate|acostarte|couche|coucher with|mit|conmigo|avec ME"), ("SEXUAL", 1.0, "have|had|haben|tener|faire sex|anal|sexo -2 with|mit|conmigo|con|avec"),
+    ("SEXUAL", 1.0, "blow|hand job|jobs"), ("SEXUAL", 1.0, "blowjob|handjob|gangbang|cumshot|dildo|deepthroat|masturbate|masturbating|orgasm"), ("SEXUAL", 1.0, "suck|lick|chupa|lutsch|suce|leche my|mein|meinen|mi|ma|mon|HIS|me LEWD|la"), ("SEXUAL", 1.0, "mano|hand POS_UNDER la|den -1 CLOTHES|PRIVATE"), ("SEXUAL", 1.0, "NAKED -4 SEXV"), ("SEXUAL", 1.0, "Y NAKED"),
+]
+
+#: Context: the factor a match keeps when the words read stand around it in its clause.
+CONTEXT = [
+    ("KEEP", 0.25, "REPORT -12 REPORT"), ("KEEP", 0.25, "REPORT REPORT"), ("KEEP", 0.25, "call|calling|called|say|saying|words|nennen|llamar|traiter -14 REPORT|misconduct|forbidden|wrong"), ("KEEP", 0.25, "NOBODY|NEG may|should|must|darf|soll|puede|debe|doit|peut -1 call|say|nennen|llamar|traiter"), ("KEEP", 0.25, "insults|words|slurs|beleidigungen|insultos|insultes -2 such|like|wie|como|comme"),
 ]
+#: Kinds of match that a negation directly before them denies ("never kill yourself", "do not touch her hips").
+DENIED = ("THREAT", "ILLWISH", "SEXUAL")
+#: Weight that matches of one kind add up to at most.
+MOST = 2.0
 
-_GAP, _WIDE = 1, 6
 _SPLIT = re.compile(r"[.!?;:…]+(?=\s|$)|\n+")
 #: Ends of a line after which, and starts before which, a sentence does not go on: list items, time stamps, ``name:``.
 _ENDS = re.compile(r"[.!?;:…][\"'”’»)\]]*$")
@@ -107,6 +111,9 @@ _TOKEN = re.compile(r"[^\W_]+(?:[*@$#%+!]+[^\W_]+)*[@$]?|[@$][^\W_]+")
 _LEET = str.maketrans("013457@$!+", "oieastasit")
 _LEET_L = str.maketrans("013457@$!+", "oleastasit")
 _MASK = re.compile(r"[*@$#%+!0-9]")
+_HEAD = re.compile(r"\b(c|d|j|l|m|n|s|t|qu|jusqu|puisqu|lorsqu)['’]")
+_TAIL = re.compile(r"(?:(?<=\by[o0]u)|(?<=\bthey)|(?<=\bwe)|(?<=\bi)|(?<=\bhe)|(?<=\bshe)|(?<=\bwho)|(?<=\bthat)|(?<=\bit)|(?<=\bthere))['’](re|ll|m|ve|s|d)\b")
+_JOINED = re.compile(r"['’]")
 _REPEAT = re.compile(r"(.)\1+")
 
 
@@ -121,61 +128,61 @@ def rejoined(text: str) -> str:
     return "".join(out)
 
 
+def apart(clause: str) -> str:
+    """Shortened words written out by an apostrophe as words of their own."""
+    if "'" not in clause and "’" not in clause:
+        return clause
+    return _JOINED.sub("", _TAIL.sub(r" \1", _HEAD.sub(r"\1 ", clause)))
+
+
 class Grammar:
-    """The patterns as one automaton over symbols, with the words that each symbol stands for."""
-
-    def __init__(self, symbols: dict[str, str] = SYMBOLS, patterns: list[tuple[float, str]] = PATTERNS):
-        self.at: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.weight, self.gaps, self.denies = [], [], []
-        words: dict[str, set[str]] = defaultdict(set)
-        for s, ws in symbols.items():
-            for w in ws.split():
-                words[w].add(s)
-        for n, (weight, pattern) in enumerate(patterns):
-            self.weight.append(weight)
-            gap, gaps, place = _GAP, [], 0
-            self.denies.append(pattern.endswith("!"))
-            for part in pattern.rstrip(" !").split():
-                if part == "..":
-                    gap = _WIDE
-                    continue
-                for alt in part.split("|"):
-                    self.at[alt].append((n, place))
-                    if alt not in symbols:
-                        words[alt].add(alt)
-                gaps.append(gap)
-                gap, place = _GAP, place + 1
-            self.gaps.append(gaps)
-        self.last = [len(g) - 1 for g in self.gaps]
-        # of one word, the later places of a pattern come first, so that it never fills two of them
-        self.moves = {w: sorted({m for s in ss for m in [*self.at.get(s, ()), *self.at.get(w, ())]}, key=lambda m: (m[0], -m[1])) for w, ss in words.items()}
-        self.negators = set(symbols["NOT"].split())
-        self.rules = set(symbols["RULE"].split())
-        self.known = words
-        self.short = {w for w in words if len(w) < 4}
+    """The composed stages; reading a clause gives the weight of its matches."""
+
+    def __init__(self) -> None:
+        self.symbols = Symbols()
+        words: dict[str, int] = defaultdict(int)
+        for w, s in lexicon.words():
+            words[w] |= self.symbols[s]
+        self.phrases = Transducer(self.symbols, PHRASES)
+        self.clauses = Transducer(self.symbols, CLAUSES)
+        self.context = Transducer(self.symbols, CONTEXT, blocks="NONE")
+        written = {out for out, _, _ in [*PHRASES, *CLAUSES, *CONTEXT]}
+        for _, _, text in [*PHRASES, *CLAUSES, *CONTEXT]:  # words that a rule names itself
+            for part in text.split():
+                for w in part.rstrip("?*+").split("|"):
+                    if w.islower():
+                        words[w] |= self.symbols[w]
+        self.known = dict(words)
+        self.severe = self.symbols.mask("INS|MILD|SLUR|GRP|DEHUM|SEXV|LEWD|NAKED|HORNY|ADJ|EXPL|KILL")
+        self.denies = self.symbols["NEG"]
+        self.denied = self.symbols.mask("|".join(DENIED))
+        self.kinds = sorted({k for k, _, _ in CLAUSES})
+        assert not written & set(lexicon.FIXED)
         self.squeezed: dict[str, str] = {}
         self.near: dict[str, list[str]] = defaultdict(list)
         self.by_shape: dict[tuple[str, int], list[str]] = defaultdict(list)
-        for w in sorted(words):
-            if len(w) >= 4:
-                self.squeezed.setdefault(_REPEAT.sub(r"\1", w), w)
-                self.by_shape[w[0], len(w)].append(w)
-            if len(w) >= 6:
-                for d in {w, *drops(w)}:
-                    self.near[d].append(w)
-        self.memo: dict[str, str | None] = {}
-
-    def word(self, token: str) -> str | None:
-        """The word of the grammar that a token stands for, through figures, masks, repeats or a slip."""
-        if token in self.known:
-            return token
-        if len(token) < 3:
-            return None
-        if token in self.memo:
-            return self.memo[token]
-        found = self._undisguise(token)
-        if len(self.memo) < 200_000:
-            self.memo[token] = found
+        for w in sorted(self.known):
+            if self.known[w] & self.severe:
+                if len(w) >= 4:
+                    self.squeezed.setdefault(_REPEAT.sub(r"\1", w), w)
+                if len(w) >= 3:
+                    self.by_shape[w[0], len(w)].append(w)
+                if len(w) >= 7:
+                    for d in {w, *drops(w)}:
+                        self.near[d].append(w)
+        self.memo: dict[str, int] = {}
+        self.hopes: dict[int, bool] = {}
+
+    def read(self, token: str) -> int:
+        """Symbols of a token, through figures, masks, repeated letters or a slip; 0 for other words."""
+        found = self.memo.get(token)
+        if found is None:
+            found = self.known.get(token)
+            if found is None:
+                w = self._undisguise(token) if len(token) > 2 else None
+                found = self.known[w] if w else 0
+            if len(self.memo) < 300_000:
+                self.memo[token] = found
         return found
 
     def _undisguise(self, token: str) -> str | None:
@@ -191,57 +198,78 @@ class Grammar:
             if len(shown) >= 2 and not _MASK.match(token[0]):
                 fits = [w for w in self.by_shape.get((token[0], len(token)), ()) if all(w[i] == c for i, c in shown)]
                 if fits:
-                    return min(fits, key=lambda w: (-self._severity(w), w))
+                    return min(fits, key=lambda w: (-(self.known[w] & self.severe).bit_count(), w))
         if (s := _REPEAT.sub(r"\1", plain)) in self.squeezed and len(s) >= 4 and s != plain:
             return self.squeezed[s]
-        if 5 <= len(plain) < 30:
-            close = {w for d in {plain, *drops(plain)} for w in self.near.get(d, ()) if one_slip(plain, w)}
+        if 6 <= len(plain) < 30:
+            close = {w for d in {plain, *drops(plain)} for w in self.near.get(d, ()) if w[0] == plain[0] and one_slip(plain, w)}
             if close:
                 return min(close)
         return None
 
-    def _severity(self, word: str) -> int:
-        return len(self.known[word] & {"INSULT", "GROUP", "VERMIN", "FUCK", "LEWD", "STRIP", "SLUR", "MILD"})
+    def hopeful(self, present: int) -> bool:
+        """Whether any clause could be matched where these symbols are present, in whatever order."""
+        found = self.hopes.get(present)
+        if found is None:
+            written = present
+            for r in self.phrases.candidates(present):
+                written |= r.out_mask
+            found = bool(self.clauses.candidates(written))
+            if len(self.hopes) < 100_000:
+                self.hopes[present] = found
+        return found
 
     def clause(self, tokens: list[str]) -> float:
-        """Weight of the patterns a clause matches, after its context is taken into account."""
-        reached: dict[tuple[int, int], tuple[int, int]] = {}
-        total, counted = 0.0, set()
-        denied = [i for i, t in enumerate(tokens) if t in self.negators]
-        for i, t in enumerate(tokens):
-            w = self.word(t)
-            if w is None:
+        """Weight of the matches of a clause, after its context is taken into account."""
+        masks = [self.read(t) for t in tokens]
+        present = 0
+        for m in masks:
+            present |= m
+        if not self.hopeful(present):
+            return 0.0
+        lattice = [[(i + 1, m, 0.0)] for i, m in enumerate(masks)]
+        present = self.phrases.write(lattice, present)
+        best: dict[str, tuple[str, float]] = {}
+        for rule, start, _, weight in self.clauses.matches(lattice, present):
+            if rule.out_mask & self.denied and any(m & self.denies for m in masks[max(0, start - 2):start]):
                 continue
-            for n, p in self.moves.get(w, ()):
-                if p == 0:
-                    start = i
-                else:
-                    before = reached.get((n, p - 1))
-                    if before is None or i - before[0] > self.gaps[n][p] + 1 or i == before[0]:
-                        continue
-                    start = before[1]
-                reached[n, p] = i, start
-                if p == self.last[n] and n not in counted:
-                    if self.denies[n] or not any(start < d < i for d in denied):
-                        counted.add(n)
-                        total += self.weight[n]
-        if total and len(self.rules & set(tokens)) >= 2:  # speech about misconduct
-            total *= 0.25
-        return total
+            if weight > best.get(rule.text, ("", 0.0))[1]:
+                best[rule.text] = rule.out, weight
+        if not best:
+            return 0.0
+        total = sum(min(MOST, sum(w for k, w in best.values() if k == kind)) for kind in self.kinds)
+        return total * min([1.0, *(r.weight for r, _, _, _ in self.context.matches(lattice, present))])
+
+    def explain(self, text: str) -> list[tuple[str, str, float]]:
+        """Kind, rule and weight of every match of a text's clauses, before the context."""
+        out = []
+        for tokens in self.sentences(text):
+            lattice = [[(i + 1, self.read(t), 0.0)] for i, t in enumerate(tokens)]
+            present = 0
+            for at in lattice:
+                present |= at[0][1]
+            present = self.phrases.write(lattice, present)
+            out += [(r.out, r.text, w) for r, _, _, w in self.clauses.matches(lattice, present)]
+        return out
+
+    @staticmethod
+    def sentences(text: str) -> Iterator[list[str]]:
+        """Words of every clause of a text."""
+        plain = fold(unmarked(text))
+        plain = _APART.sub(lambda m: re.sub(r"[^\w]|_", "", m.group(0)), plain)
+        for part in _SPLIT.split(rejoined(plain)):
+            if part and (tokens := _TOKEN.findall(apart(part))):
+                yield tokens
 
     def score(self, text: str | None) -> tuple[float, int]:
         """Highest clause score of a text and the number of its clauses that are cases by themselves."""
         if not text:
             return 0.0, 0
-        plain = fold(unmarked(text))
-        plain = _APART.sub(lambda m: re.sub(r"[^\w]|_", "", m.group(0)), plain)
         best, cases = 0.0, 0
-        for part in _SPLIT.split(rejoined(plain)):
-            tokens = _TOKEN.findall(part.replace("'", "").replace("’", " ")) if part else []
-            if tokens:
-                s = self.clause(tokens)
-                best = max(best, s)
-                cases += s >= CASE
+        for tokens in self.sentences(text):
+            s = self.clause(tokens)
+            best = max(best, s)
+            cases += s >= CASE
         return best, cases
 
 
