@@ -96,17 +96,17 @@ def even_sample(v: Column, k: int) -> Column:
 
 
 def grid_percentile(x: Column, grid: Column) -> Column:
-    """Place of ``x`` in a sorted grid of percentiles, 0..100, interpolated; of equal knots the last counts."""
+    """Place of ``x`` in a sorted grid of percentiles, 0..100, interpolated; of equal knots the last counts.  Null for no reading (null, NaN) or no grid."""
     n = F.size(grid)
     below = F.size(F.filter(grid, lambda g: g <= x))
     lo, hi = F.element_at(grid, below), F.element_at(grid, F.least(below + 1, n))
     inside = (below - 1 + (x - lo) / (hi - lo)) / (n - 1) * 100.0
-    return F.when(x.isNull() | F.isnan(x) | grid.isNull(), F.lit(float("nan"))).when(below == 0, 0.0).when(below >= n, 100.0).otherwise(inside)
+    return F.when(x.isNull() | F.isnan(x) | grid.isNull(), F.lit(None).cast("double")).when(below == 0, 0.0).when(below >= n, 100.0).otherwise(inside)
 
 
 def z_score(x: Column, mean: Column, std: Column) -> Column:
-    """Standardised value, NaN without spread."""
-    return F.when(std > 0, (x - mean) / std).otherwise(F.lit(float("nan")))
+    """Standardised value; null without spread and for no reading (null, NaN)."""
+    return F.when((std > 0) & ~F.isnan(x), (x - mean) / std)
 
 
 def parse_seconds(text: Column) -> Column:

@@ -13,7 +13,7 @@ from ..operators.features import TASK_WEIGHTS, fuse
 from ..operators.kernels import pair_env_scores
 from ..operators.ranks import exact_grid
 from ..runtime import table
-from .views import SEG, VERD, distinct_verdicts, latest_segments, with_null_model
+from .views import NULLS, SEG, VERD, distinct_verdicts, latest_segments, with_null_model
 
 METRICS = ("env_cos", "env_chamfer", "env_bhat_sim", "task_cos", "task_dtw_sim", "rhythm_cos", "period_agree", "env_raw", "task_raw")
 
@@ -30,7 +30,8 @@ def null_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Environment readings beside the stored null model of their encoder."""
-    v = distinct_verdicts(spark, sf_dir, "a", "b", F.col("raw.env_raw").alias("env_raw"))
+    reading = F.when(~F.isnan("raw.env_raw"), F.col("raw.env_raw"))  # NaN is no reading
+    v = distinct_verdicts(spark, sf_dir, "a", "b", reading.alias("env_raw"))
     return with_null_model(spark, sf_dir, v, "env_raw", "quantiles", "mean_value", "std_value")
 
 
@@ -142,7 +143,6 @@ def window_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = "[" + ", ".join(repr(i / 200) for i in range(201)) + "]"
 _LONG = " UNION ALL ".join(f"SELECT '{m}' AS metric, raw.{m} AS value FROM verd" for m in METRICS)
 _LAB = "lab AS (SELECT * FROM (SELECT DISTINCT video_a, video_b, run_at, task_sim, same_job_family FROM task_pairs) WHERE task_sim IS NOT NULL AND NOT isnan(task_sim) AND same_job_family IS NOT NULL)"
-_NULL = "nul AS (SELECT quantiles AS q, mean_value, std_value FROM null_models WHERE metric = 'env_raw' AND encoder = 'gist')"
 _POS = "CAST(same_job_family AS INTEGER)"
 _SWEEP = f"""{_LAB}, cnt AS (SELECT task_sim AS t, sum({_POS}) AS p, sum(1 - {_POS}) AS n FROM lab GROUP BY 1),
 acc AS (SELECT t, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pp FROM cnt WINDOW w AS (ORDER BY t DESC)),
@@ -157,9 +157,9 @@ QUERIES = {
 ORACLES = {
     "null_quantiles": f"""WITH {VERD}, r AS ({_LONG}) SELECT metric, count(*) AS n_pairs, [round(x + 1e-9, 6) + 0.0 for x in quantile_cont(value, {_GRID})] AS quantiles,
       round(avg(value), 6) + 0.0 AS mean_value, round(stddev_pop(value), 6) + 0.0 AS std_value FROM r WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric""",
-    "null_percentile": f"""WITH {VERD}, {_NULL}, x AS (SELECT a, b, raw.env_raw AS v, q, CASE WHEN raw.env_raw IS NULL OR isnan(raw.env_raw) THEN NULL ELSE len([g for g in q if g <= raw.env_raw]) END AS k FROM verd, nul)
-      SELECT a, b, v AS env_raw, CASE WHEN k IS NULL THEN 'NaN'::DOUBLE WHEN k = 0 THEN 0.0 WHEN k >= len(q) THEN 100.0 ELSE round((k - 1 + (v - q[k]) / (q[k + 1] - q[k])) / 200 * 100, 6) END AS percentile FROM x""",
-    "null_zscore": f"WITH {VERD}, {_NULL} SELECT a, b, round((raw.env_raw - mean_value) / std_value, 6) + 0.0 AS z FROM verd, nul",
+    "null_percentile": f"""WITH {VERD}, {SEG}, {NULLS}, y AS (SELECT a, b, CASE WHEN NOT isnan(raw.env_raw) THEN raw.env_raw END AS v, q FROM nulls), x AS (SELECT *, CASE WHEN v IS NOT NULL AND q IS NOT NULL THEN len([g for g in q if g <= v]) END AS k FROM y)
+      SELECT a, b, v AS env_raw, CASE WHEN k = 0 THEN 0.0 WHEN k >= len(q) THEN 100.0 WHEN k IS NOT NULL THEN round((k - 1 + (v - q[k]) / (q[k + 1] - q[k])) / 200 * 100, 6) END AS percentile FROM x""",
+    "null_zscore": f"WITH {VERD}, {SEG}, {NULLS} SELECT a, b, CASE WHEN std_value > 0 AND NOT isnan(raw.env_raw) THEN round((raw.env_raw - mean_value) / std_value, 6) + 0.0 END AS z FROM nulls",
     "one_sided_percentile": f"""WITH {VERD}, v AS (SELECT a, b, stratum, raw.env_raw AS x FROM verd), n AS (SELECT x, count(*) AS c FROM v WHERE stratum = 'diff_industry' AND x IS NOT NULL AND NOT isnan(x) GROUP BY x),
       cum AS (SELECT x, sum(c) OVER (ORDER BY x) AS upto, sum(c) OVER () AS total FROM n), p AS (SELECT a, b, CASE WHEN s.x IS NOT NULL AND NOT isnan(s.x) THEN 100.0 * coalesce((SELECT max(upto) FROM cum WHERE cum.x < s.x), 0) / (SELECT max(total) FROM cum) END AS pc
         FROM v s WHERE stratum LIKE 'same_session%')

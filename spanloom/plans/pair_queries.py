@@ -12,7 +12,7 @@ from ..operators import pairs as P
 from ..operators.features import attach_pair
 from ..operators.overlap import source_overlap as overlap_of
 from ..runtime import table
-from .views import SEG, VERD, distinct_verdicts, latest_segments, with_null_model
+from .views import NULLS, SEG, VERD, distinct_verdicts, latest_segments, with_null_model
 
 SAMPLE = 1_000
 
@@ -174,7 +174,7 @@ ORACLES = {
       SELECT p.label AS a, q.label AS b, round(list_dot_product(p.v, q.v) / ((sqrt(list_dot_product(p.v, p.v)) + 1e-8) * (sqrt(list_dot_product(q.v, q.v)) + 1e-8)), 6) + 0.0 AS cosine FROM v p JOIN v q ON p.label < q.label""",
     "window_pairs": f"WITH {_CLEANED}, w AS (SELECT DISTINCT video_id, segment_id FROM signatures) SELECT a, b, p.segment_id AS window_a, q.segment_id AS window_b FROM prs JOIN w p ON a = p.video_id JOIN w q ON b = q.video_id",
     "pair_sample": f"WITH p AS (SELECT DISTINCT a, b FROM verdicts) SELECT a, b FROM p WHERE split_part(a, ':', 1) <> split_part(b, ':', 1) ORDER BY md5('0|' || a || '|' || b), a, b LIMIT {SAMPLE}",
-    "blocked_pairs": "SELECT p.session_key AS block, p.video_id AS a, q.video_id AS b FROM recordings p JOIN recordings q ON p.session_key = q.session_key AND p.video_id < q.video_id",
+    "blocked_pairs": "WITH r AS (SELECT coalesce(session_key, 'UNKNOWN') AS block, video_id FROM recordings) SELECT p.block, p.video_id AS a, q.video_id AS b FROM r p JOIN r q ON p.block = q.block AND p.video_id < q.video_id",
     "stratified_pairs": f"WITH {_STRATA} SELECT a, b, stratum FROM strata",
     "certain_negatives": f"WITH {_STRATA} SELECT a, b FROM strata WHERE stratum = 'diff_industry' AND a <> b ORDER BY md5('negatives|' || a || '|' || b), a, b LIMIT {SAMPLE}",
     "metadata_join": """SELECT s.segment_id, coalesce(site, 'UNKNOWN') AS site, coalesce(job_family, 'UNKNOWN') AS job_family FROM (SELECT DISTINCT segment_id, video_id FROM signatures) s LEFT JOIN recordings USING (video_id)""",
@@ -198,9 +198,9 @@ ORACLES = {
     "duplicate_source": f"WITH {VERD} SELECT a, b, {_DUP} AS duplicate, CASE WHEN {_DUP} THEN CAST([] AS VARCHAR[]) ELSE ['weak overlap'] END AS notes FROM verd WHERE dup IS NOT NULL AND dup.overlap_seconds > 0",
     "verdict_percentile": f"""WITH {VERD}, v AS (SELECT a, b, coalesce(env_score >= 60 AND NOT isnan(env_score), false) AS e, coalesce(task_score >= 95 AND NOT isnan(task_score), false) AS t FROM verd)
       SELECT a, b, CASE WHEN e THEN 'REDUNDANT' ELSE 'NOVEL' END AS by_place, CASE WHEN e AND t THEN 'REDUNDANT' WHEN e THEN 'SAME_PLACE_NEW_TASK' WHEN t THEN 'SAME_TASK_NEW_PLACE' ELSE 'NOVEL' END AS by_both FROM v""",
-    "verdict_compare": f"""WITH {VERD}, n AS (SELECT quantiles AS q FROM null_models WHERE metric = 'env_raw' AND encoder = 'gist'),
-      v AS (SELECT a, b, dup, raw, coalesce(calibrated, false) AS cal, CASE WHEN abs(raw.env_raw) <= 1 AND NOT isnan(raw.env_raw) THEN raw.env_raw END AS x, q, {_DUP} AS d FROM verd, n), k AS (SELECT *, len([g for g in q if g <= x]) AS k FROM v),
-      e AS (SELECT *, CASE WHEN x IS NULL THEN NULL WHEN NOT cal THEN round(100 * (x + 1) / 2, 6) WHEN k = 0 THEN 0.0 WHEN k >= len(q) THEN 100.0 ELSE round((k - 1 + (x - q[k]) / (q[k + 1] - q[k])) / 200 * 100, 6) END AS env FROM k)
+    "verdict_compare": f"""WITH {VERD}, {SEG}, {NULLS},
+      v AS (SELECT a, b, dup, raw, coalesce(calibrated, false) AS cal, CASE WHEN abs(raw.env_raw) <= 1 AND NOT isnan(raw.env_raw) THEN raw.env_raw END AS x, q, {_DUP} AS d FROM nulls), k AS (SELECT *, len([g for g in q if g <= x]) AS k FROM v),
+      e AS (SELECT *, CASE WHEN x IS NULL THEN NULL WHEN NOT cal THEN round(100 * (x + 1) / 2, 6) WHEN q IS NULL THEN NULL WHEN k = 0 THEN 0.0 WHEN k >= len(q) THEN 100.0 ELSE round((k - 1 + (x - q[k]) / (q[k + 1] - q[k])) / 200 * 100, 6) END AS env FROM k)
       SELECT a, b, env, CASE WHEN d THEN 'DUPLICATE_SOURCE' WHEN env >= 60 THEN 'REDUNDANT' ELSE 'NOVEL' END AS label,
         concat_ws('; ', CASE WHEN NOT cal THEN 'uncalibrated' END, CASE WHEN raw.task_cos IS NULL THEN 'no task reading' END, CASE WHEN NOT d AND dup.overlap_seconds > 0 THEN 'weak overlap' END) AS notes FROM e""",
     "keep_drop_tally": f"""WITH {VERD} SELECT CASE WHEN label IN ('NOVEL', 'SAME_PLACE_NEW_TASK', 'SAME_TASK_NEW_PLACE') THEN true WHEN label IN ('REDUNDANT', 'DUPLICATE_SOURCE') THEN false END AS keep, label, count(*) AS n FROM verd GROUP BY ALL""",

@@ -264,7 +264,7 @@ ORACLES = {
       SELECT prs.a, prs.b, CASE WHEN prs.a IN (SELECT video_id FROM recordings) AND prs.b IN (SELECT video_id FROM recordings) THEN round(coalesce(s, 0.0), 6) + 0.0 END AS similarity FROM prs LEFT JOIN s ON prs.a = s.a AND prs.b = s.b""",
     "field_agreement": f"""WITH {_PRS} SELECT a, b, coalesce(p.job_family = q.job_family AND p.job_family <> '', false) AS same_job, coalesce(p.canonical_task = q.canonical_task AND p.canonical_task <> '', false) AS same_task
       FROM prs JOIN recordings p ON a = p.video_id JOIN recordings q ON b = q.video_id""",
-    "clean_tokens": f"SELECT {clean_token_sql('verb')} AS verb, count(*) AS n FROM caption_segments WHERE verb IS NULL OR regexp_full_match(verb, '[ -~]*') GROUP BY 1",
+    "clean_tokens": f"SELECT {clean_token_sql('verb')} AS verb, count(*) AS n FROM caption_segments GROUP BY 1",
     "segment_tokens": f"WITH {CAPS} SELECT video_id, segment_id, {_tokens_sql(T.ACTIONS)} AS actions, {_tokens_sql(T.OBJECTS)} AS objects FROM caps",
     "action_profile": f"WITH {CAPS}, {_ACT} SELECT video_id, token, round(w, 6) + 0.0 AS w FROM act",
     "object_profile": f"WITH {CAPS}, {_OBJ} SELECT video_id, token, round(w, 6) + 0.0 AS w FROM obj",
@@ -292,7 +292,7 @@ ORACLES = {
         CASE segment_id % 4 WHEN 0 THEN s + 0.5::DOUBLE WHEN 1 THEN s::DOUBLE WHEN 2 THEN s::DOUBLE END AS seconds FROM t""",
     "segment_labels": """SELECT segment_id, regexp_extract(file_path, '[^/]*$') || CASE WHEN coalesce(w, false) THEN '' ELSE '[' || CAST(round(t0) AS BIGINT) || '-' || CAST(round(t1) AS BIGINT) || 's]' END AS label
       FROM (SELECT DISTINCT segment_id, file_path, t0, t1, meta.whole_file AS w FROM signatures)""",
-    "session_keys": "SELECT video_id, session_key AS session, regexp_extract('/' || session_key || '/', '/([A-Z]{2,5}-[0-9]+)/', 1) AS tag, ordinal AS t0, CAST(ordinal + 30 AS INTEGER) AS t1 FROM recordings WHERE session_key IS NOT NULL AND site IS NOT NULL",
+    "session_keys": "SELECT video_id, session_key AS session, regexp_extract('/' || session_key || '/', '/([A-Z]{2,5}-[0-9]+)/', 1) AS tag, ordinal AS t0, CAST(ordinal + 30 AS INTEGER) AS t1 FROM recordings",
     "episode_keys": """SELECT DISTINCT video_a, regexp_replace(regexp_replace(video_a, '/seg_[0-9]+$', ''), '^[ \t]+|[ \t]+$', '', 'g') AS episode FROM task_pairs WHERE video_a IS NOT NULL""",
     "suffix_lookup": """WITH p AS (SELECT DISTINCT file_path FROM signatures), n AS (SELECT DISTINCT video_id || '.mp4' AS name FROM recordings)
       SELECT name, CASE WHEN count(*) = 1 THEN min(file_path) END AS file_path, count(*) > 1 AS ambiguous FROM n JOIN p ON ends_with(file_path, '/' || name) OR file_path = name GROUP BY name""",

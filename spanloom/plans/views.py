@@ -48,6 +48,10 @@ def with_null_model(spark: SparkSession, sf_dir: str, verdicts: DataFrame, metri
     return met.join(F.broadcast(n), "__a", "left").select(*verdicts.columns, *columns)
 
 
+#: The verdicts ``verd`` as a common table expression ``nulls`` beside that model; needs ``seg``.
+NULLS = """nulls AS (SELECT v.*, n.quantiles AS q, n.mean_value, n.std_value FROM verd v LEFT JOIN seg x ON v.a = x.segment_id LEFT JOIN seg y ON v.b = y.segment_id
+  LEFT JOIN null_models n ON n.metric = 'env_raw' AND n.encoder = x.app_encoder AND x.app_encoder = y.app_encoder)"""
+
 VERD = "verd AS (SELECT DISTINCT * FROM verdicts)"
 
 
