@@ -168,7 +168,7 @@ ORACLES = {
       SELECT q AS vec_id, s < 0.55 AS accept, c AS nearest, round(s, 6) + 0.0 AS similarity, round(1 - s, 6) + 0.0 AS distance FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, c) = 1""",
     "marginal_gain": f"""WITH {_Q}, b AS (SELECT x.vec_id, max(greatest(list_dot_product(x.v, c.v) / (x.n * c.n), 0)) AS b FROM v x JOIN v c ON c.vec_id < 20 GROUP BY 1)
       SELECT q.vec_id, round(sum(greatest(greatest(list_dot_product(x.v, q.v) / (x.n * q.n), 0) - b, 0)), 6) + 0.0 AS gain FROM v q JOIN v x ON q.vec_id % {EVERY} = 0 JOIN b ON b.vec_id = x.vec_id GROUP BY q.vec_id""",
-    "facility_location": f"""WITH {_Q}, s1 AS (SELECT q.vec_id AS c, x.vec_id AS r, greatest(list_dot_product(x.v, q.v) / (x.n * q.n), 0) AS s, 0.0 AS b FROM v q JOIN v x ON q.vec_id % {EVERY} = 0){_FL(8)},
+    "facility_location": f"""WITH {_Q}, s1 AS (SELECT q.vec_id AS c, x.vec_id AS r, greatest(list_dot_product(x.v, q.v) / (x.n * q.n), 0) AS s, 0.0 AS b FROM v q CROSS JOIN v x){_FL(8)},
       t AS (SELECT sum(m) AS t FROM (SELECT r, max(s) AS m FROM s1 GROUP BY r)), u AS ({' UNION ALL '.join(f'SELECT {i} AS rank, c, g FROM p{i}' for i in range(1, 9))}), w AS (SELECT rank, c, g, sum(g) OVER (ORDER BY rank) AS cov FROM u)
       SELECT CAST(rank AS INTEGER) AS rank, c AS vec_id, round(g, 6) + 0.0 AS gain, round(cov, 6) + 0.0 AS coverage, round(cov / t, 6) + 0.0 AS fraction FROM w, t WHERE g > 0 OR true""",
     "coverage_curve": """WITH p AS (SELECT run_no, total, unnest(pick_order) AS segment_id, unnest(gains) AS g, unnest(range(1, len(gains) + 1)) AS rank FROM selections)

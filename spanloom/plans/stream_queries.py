@@ -39,5 +39,5 @@ ORACLES = {
     "stream_ingest": """WITH u AS (SELECT video_id, segment_id, CAST(round(t0 * 1000) AS BIGINT) AS s, CAST(round(t1 * 1000) AS BIGINT) AS e FROM caption_segments WHERE error IS NULL AND t0 IS NOT NULL AND t1 IS NOT NULL),
       o AS (SELECT video_id, segment_id, max(e - s) AS ms FROM u WHERE e > s GROUP BY ALL) SELECT video_id, count(*) AS n_segments, CAST(sum(ms) AS BIGINT) AS total_ms FROM o GROUP BY video_id""",
     "stream_gate": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8 AS n FROM embeddings),
-      s AS (SELECT x.vec_id, max(list_dot_product(x.v, r.v) / (x.n * r.n)) AS s FROM v x JOIN v r ON r.vec_id % 50 = 0 GROUP BY x.vec_id) SELECT vec_id, round(s, 6) + 0.0 AS similarity, s < 0.55 AS accept FROM s""",
+      s AS (SELECT x.vec_id, max(round(list_dot_product(x.v, r.v) / (x.n * r.n), 12)) AS s FROM v x JOIN v r ON r.vec_id <> x.vec_id GROUP BY x.vec_id) SELECT vec_id, round(s, 6) + 0.0 AS similarity, s < 0.55 AS accept FROM s""",
 }
