@@ -179,22 +179,29 @@ def facility_location(corpus: DataFrame, candidates: DataFrame, id_: str, vector
 
 
 def greedy_kernel(s: np.ndarray, budget: int | None = None, chosen: list[int] | None = None) -> tuple[list[int], list[float]]:
-    """The same choice for one similarity matrix in memory, with lazily refreshed gains."""
+    """The same choice for one similarity matrix in memory, with lazily refreshed gains.
+
+    Gains are compared to 9 digits, so that sums of the same numbers in another order are ties; the smaller place wins.
+    """
     s = np.maximum(np.asarray(s, np.float64), 0)
     best = s[:, chosen].max(axis=1) if chosen else np.zeros(len(s))
     taken = set(chosen or ())
-    queue = [(-float(np.maximum(s[:, j] - best, 0).sum()), j) for j in range(s.shape[1]) if j not in taken]
+
+    def gain(j: int) -> float:
+        return round(float(np.maximum(s[:, j] - best, 0).sum()), 9)
+
+    queue = [(-gain(j), j) for j in range(s.shape[1]) if j not in taken]
     heapq.heapify(queue)
     order, gains = [], []
     while queue and len(order) < (len(s) if budget is None else budget):
         _, j = heapq.heappop(queue)
-        gain = float(np.maximum(s[:, j] - best, 0).sum())
-        if queue and gain < -queue[0][0] - 1e-12:
-            heapq.heappush(queue, (-gain, j))
+        fresh = -gain(j), j
+        if queue and fresh > queue[0]:
+            heapq.heappush(queue, fresh)
             continue
         best = np.maximum(best, s[:, j])
         order.append(j)
-        gains.append(gain)
+        gains.append(-fresh[0])
     return order, gains
 
 
