@@ -221,9 +221,12 @@ class Grammar:
 
     def clause(self, tokens: list[str]) -> float:
         """Weight of the matches of a clause, after its context is taken into account."""
-        masks = [self.read(t) for t in tokens]
-        present = 0
-        for m in masks:
+        memo, masks, present = self.memo, [], 0
+        for t in tokens:
+            m = memo.get(t)
+            if m is None:
+                m = self.read(t)
+            masks.append(m)
             present |= m
         if not self.hopeful(present):
             return 0.0
