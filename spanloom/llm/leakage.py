@@ -1,4 +1,4 @@
-"""Passages of test items inside documents, found by spaced seeds and verified by alignment."""
+"""Passages of test items inside documents, found by joining spaced seeds and verified by alignment."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut, spread
 from .naming import drops, one_slip
 from .plaintext import words
 
@@ -19,138 +20,193 @@ from .plaintext import words
 MASKS = ("11111", "110111", "111011", "1101011")
 #: Share of an item's words that one stretch of a document must follow.
 SHARE = 1 / 3
-#: Words of test items that one pass over the documents carries to the executors.
-BLOCK_WORDS = 400_000
+#: Share of an item's words that the hits of one stretch must cover before it is aligned.
+COVER = 0.15
+#: Bits of the filter of item windows for each of them, and at most: 16 MB, whatever the number of items.
+FILTER_BITS, FILTER_MOST = 64, 1 << 27
+#: Item windows, at most, that are broadcast to the hits (below 200 MB); more are joined by shuffle, salted.
+BROADCAST_WINDOWS = 2_000_000
+#: Copies of an item window in the salted join, so that a passage copied into many documents is no hot key.
+SALTS = 16
 #: Costs of the alignment in units of a matching word: a stretch must match more often than it differs.
 GAP, SWAP = 1.0, 1.0
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_PLACES = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
 
 
-class Items:
-    """Test items prepared for the search: word numbers, masked window hashes, words to compare."""
+def word_keys(found: list[str]) -> np.ndarray:
+    """A number for every word, the same in every process."""
+    return pd.util.hash_array(np.array(found, dtype=object), categorize=True) if found else np.zeros(0, np.uint64)
 
-    def __init__(self, items: list[tuple[int, str, bool]], masks: tuple[str, ...] = MASKS):
-        """Each item with whether its opening sentence is a stock one, which is no part of it."""
-        self.masks = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in masks]
-        self.number: dict[str, int] = {}
-        self.near: dict[str, list[str]] = defaultdict(list)
-        self.ids, self.seqs = [], []
-        for item, text, stock in items:
-            w = [x for s in _SENTENCE.split(text or "")[int(stock) :] for x in words(s)]
-            if w:
-                self.ids.append(item)
-                self.seqs.append(np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int64))
-        for x in self.number:
-            if len(x) > 3:
-                for d in {x, *drops(x)}:
-                    self.near[d].append(x)
-        hashes, where, place = [], [], []
-        for m, at in enumerate(self.masks):
-            for i, s in enumerate(self.seqs):
-                h, _ = masked(s, at, m)
-                hashes.append(h)
-                where.append(np.full(len(h), i))
-                place.append(np.arange(len(h)))
-        h, w, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, where, place))
-        by = np.argsort(h, kind="stable")
-        self.hashes, self.where, self.place = h[by], w[by], p[by]
-        self.memo: dict[str, int] = {}
-
-    def code(self, word: str) -> int:
-        """Number of a word of the items, also if it is one slip away; -1 for others."""
-        n = self.number.get(word)
-        if n is not None:
-            return n
-        n = self.memo.get(word)
-        if n is None:
-            close = {x for d in {word, *drops(word)} for x in self.near.get(d, ()) if one_slip(word, x)} if 3 < len(word) < 40 else ()
-            n = self.number[min(close)] if close else -1
-            if len(self.memo) < 200_000:
-                self.memo[word] = n
-        return n
-
-
-def masked(seq: np.ndarray, at: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the masked window at every place, and whether all its compared words are known."""
-    n = len(seq) - int(at[-1])
+
+def masked(keys: np.ndarray, mask: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the masked window at every place of several sequences that lie one after another.
+
+    ``ends`` holds the end of every sequence; windows that would pass one are left out.
+    """
+    at = _PLACES[mask]
+    n = len(keys) - int(at[-1])
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    h = np.full(n, salt + 1, np.uint64)
-    known = np.ones(n, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.full(n, mask + 1, np.uint64)
     for k in at:
-        part = seq[k : k + n]
-        known &= part >= 0
-        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ keys[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return h.astype(np.int64), known
+    inside = np.ones(n, bool)
+    for b in range(int(at[-1])):  # windows starting this close before an end pass it
+        past = ends - 1 - b
+        inside[past[(past >= 0) & (past < n)]] = False
+    place = np.flatnonzero(inside)
+    return place, h[place].astype(np.int64)
+
+
+class Item:
+    """The words of a test item as numbers, and those of documents as the same numbers."""
+
+    def __init__(self, item: list[str]):
+        self.words = item
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+        self.seq = np.array([self.number[w] for w in item], np.int64)
+        self.counts = np.bincount(self.seq, minlength=len(self.number))
+        self.near: dict[str, list[str]] = defaultdict(list)
+        for w in self.number:
+            if len(w) > 3:
+                for d in {w, *drops(w)}:
+                    self.near[d].append(w)
+        self.memo: dict[str, int] = dict(self.number)
 
+    def codes(self, doc: list[str], shortened: dict[str, set[str]]) -> np.ndarray:
+        """Numbers of a document's words; -1 for others, one slip in a word does not matter.  ``shortened`` is a memo of all items."""
+        memo = self.memo
+        for w in doc:
+            if w not in memo:
+                memo[w] = -1
+                if 3 < len(w) < 40:
+                    d = shortened.get(w)
+                    if d is None:
+                        d = shortened[w] = {w, *drops(w)}
+                    close = [x for k in d & self.near.keys() for x in self.near[k] if one_slip(w, x)]
+                    if close:
+                        memo[w] = self.number[min(close)]
+        out = np.array([memo[w] for w in doc], np.int32)
+        if len(memo) > 100_000:
+            self.memo = dict(self.number)
+        return out
 
-def follow(item: np.ndarray, doc: np.ndarray) -> int:
-    """Words of the item, in order, that the best local alignment with a stretch of ``doc`` matches.
 
-    A matching word gains 1; a word replaced, dropped or added costs as much.
+def follow(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
+    """Words of each item, in order, that its best local alignment with a stretch of its document matches.
+
+    A matching word gains 1; a word replaced, dropped or added costs as much.  Of equally good alignments the one
+    that matches most counts.  All pairs are aligned at once, row by row; a cell holds score and matches in one number.
     """
-    n, m = len(item), len(doc)
-    drift = GAP * np.arange(m + 1)
-    score = np.zeros((n + 1, m + 1))
-    for i in range(1, n + 1):
-        row = score[i]
-        row[1:] = np.maximum(score[i - 1, :-1] + np.where(doc == item[i - 1], 1.0, -SWAP), score[i - 1, 1:] - GAP)
-        np.maximum(row, 0, out=row)
-        row[:] = np.maximum.accumulate(row + drift) - drift
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    matched = 0
-    while i and j and score[i, j] > 1e-9:
-        hit = doc[j - 1] == item[i - 1]
-        if abs(score[i - 1, j - 1] + (1.0 if hit else -SWAP) - score[i, j]) < 1e-9:
-            matched += hit
-            i, j = i - 1, j - 1
-        elif abs(score[i - 1, j] - GAP - score[i, j]) < 1e-9:
-            i -= 1
-        else:
-            j -= 1
-    return int(matched)
-
-
-def stretches(doc: np.ndarray, items: Items, share: float = SHARE, least_cover: float = 0.15) -> Iterator[tuple[int, int, int]]:
-    """Item, matched words and words of the item, for every item that a stretch of the document follows."""
-    hits: dict[int, list[np.ndarray]] = defaultdict(list)
-    for m, at in enumerate(items.masks):
-        h, known = masked(doc, at, m)
-        at_doc = np.flatnonzero(known)
-        lo = np.searchsorted(items.hashes, h[at_doc], "left")
-        n = np.searchsorted(items.hashes, h[at_doc], "right") - lo
-        at_doc, lo, n = at_doc[n > 0], lo[n > 0], n[n > 0]
-        if not len(n):
+    one = 1 << 14
+    x = np.full((len(items), max(map(len, items))), -3, np.int32)
+    y = np.full((len(docs), max(map(len, docs))), -2, np.int32)
+    for i, (a, b) in enumerate(zip(items, docs)):
+        x[i, : len(a)], y[i, : len(b)] = a, b
+    drift = int(GAP * one) * np.arange(y.shape[1] + 1, dtype=np.int32)
+    last = np.zeros((len(y), y.shape[1] + 1), np.int32)
+    best = np.zeros(len(y), np.int32)
+    for i in range(x.shape[1]):
+        row = np.zeros_like(last)
+        fits = (y == x[:, i : i + 1]) * np.int32(one + 1 + int(SWAP * one))
+        fits -= np.int32(SWAP * one)
+        fits += last[:, :-1]
+        np.maximum(fits, last[:, 1:] - np.int32(GAP * one), out=row[:, 1:])
+        row += drift
+        np.maximum.accumulate(row, axis=1, out=row)
+        row -= drift
+        row *= row >= one  # an alignment that has lost all its score begins anew
+        np.maximum(best, row.max(axis=1), out=best)
+        last = row
+    return best & (one - 1)
+
+
+def candidates(item: Item, doc: list[str], doc_place: np.ndarray, item_place: np.ndarray, span: np.ndarray, least: float, shortened: dict[str, set[str]]) -> Iterator[np.ndarray]:
+    """The stretches of a document, as numbers of the item's words, that may follow ``least`` words of it.
+
+    These are the surroundings of crowds of hits that cover enough of the item and hold that many words of it in whatever order.
+    """
+    by = np.argsort(doc_place, kind="stable")
+    doc_place, item_place, span = doc_place[by], item_place[by], span[by]
+    n = len(item.words)
+    for group in np.split(np.arange(len(by)), np.flatnonzero(np.diff(doc_place) > max(30, n // 2)) + 1):
+        covered = np.zeros(n + 8, bool)
+        for p, s in zip(item_place[group], span[group]):
+            covered[p : p + s] = True
+        if covered.sum() < max(5, COVER * n):
             continue
-        k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        d = np.repeat(at_doc, n)
-        span = int(at[-1]) + 1
-        for i in np.unique(items.where[k]):
-            of = items.where[k] == i
-            hits[int(i)].append(np.stack([d[of], items.place[k[of]], np.full(of.sum(), span)]))
-    for i, parts in hits.items():
-        seq = items.seqs[i]
-        found = np.hstack(parts)
-        found = found[:, np.argsort(found[0], kind="stable")]
-        cuts = np.flatnonzero(np.diff(found[0]) > max(30, len(seq) // 2)) + 1
-        best = 0
-        for group in np.split(found, cuts, axis=1):
-            covered = np.zeros(len(seq) + 8, bool)
-            for p, s in zip(group[1], group[2]):
-                covered[p : p + s] = True
-            if covered.sum() < max(5, least_cover * len(seq)):
-                continue
-            reach = len(seq) + len(seq) // 2 + 10
-            a, b = max(0, int((group[0]).min()) - reach), int(group[0].max()) + reach
-            best = max(best, follow(seq, doc[a:b]))
-        if best >= share * len(seq):
-            yield items.ids[i], best, len(seq)
+        # the stretch reaches as far beyond the hits as the item does, and half as far again
+        first, last = item_place[group].min(), n - item_place[group].max()
+        a = max(0, int(doc_place[group[0]]) - int(1.5 * first) - 10)
+        b = int(doc_place[group[-1]]) + int(1.5 * last) + 10
+        codes = item.codes(doc[a:b], shortened)
+        if np.minimum(np.bincount(codes[codes >= 0], minlength=len(item.number)), item.counts).sum() >= least:
+            yield codes
+
+
+def aligned(asked: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 17) -> list[int]:
+    """Matched words of many items and stretches, aligned together in groups of like length."""
+    out = [0] * len(asked)
+    order = sorted(range(len(asked)), key=lambda k: len(asked[k][1]))
+    at = 0
+    while at < len(order):
+        group = order[at : at + max(1, cells // max(1, len(asked[order[min(len(order) - 1, at + 63)]][1])))][:64]
+        for k, n in zip(group, follow([asked[k][0] for k in group], [asked[k][1] for k in group]).tolist()):
+            out[k] = n
+        at += len(group)
+    return out
+
+
+def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``i, w``: the words of every item without a stock opening; and ``h, i, place, span``: its masked windows."""
+    rows = items.withColumn("o", F.split("t", r"(?<=[.!?])\s+").getItem(0))
+    stock = rows.groupBy("o").agg((F.countDistinct("i") > 1).alias("stock"))  # an opening of several items is a stock one
+    key = dict(items.dtypes)["i"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = [[x for s in _SENTENCE.split(t)[int(k) :] for x in words(s)] for t, k in zip(b["t"], b["stock"])]
+            yield pd.DataFrame({"i": b["i"], "w": pd.Series(w, index=b.index, dtype=object)})
+
+    known = cut(rows.join(stock, "o").select("i", "t", "stock").mapInPandas(read, f"i {key}, w array<string>").filter(F.size("w") > 0))
+
+    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("w")
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            keys = word_keys(lists.flatten().to_pylist())
+            for m in range(len(MASKS)):
+                place, h = masked(keys, m, starts[1:])
+                row = np.searchsorted(starts, place, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h), b.column("i").take(pa.array(row)), pa.array((place - starts[row]).astype(np.int32)), pa.array(np.full(len(h), len(MASKS[m]), np.int32))],
+                                                 ["h", "i", "place", "span"])
+
+    return known, cut(known.mapInArrow(cut_windows, f"h bigint, i {key}, place int, span int"))
+
+
+def window_filter(spark: SparkSession, windows: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """Number of bits and bytes of a bit map of the windows' hashes; it passes every hit, and few others."""
+    bits = 1 << 16
+    while bits < min(FILTER_BITS * count, FILTER_MOST):
+        bits *= 2
+
+    def mark(frame: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << 16, np.uint8)
+        flags[frame["bit"].to_numpy() & 0xFFFF] = 1
+        return pd.DataFrame({"part": [int(frame["bit"].iloc[0]) >> 16], "bytes": [np.packbits(flags).tobytes()]})
+
+    places = windows.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct()
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in places.groupBy(F.shiftright("bit", 16).alias("p")).applyInPandas(mark, "part bigint, bytes binary").collect():  # FILTER_MOST bits at most
+        out[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bytes"], np.uint8)
+    return bits, out
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str,
-           share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+           share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``doc_id, item_id, matched_words, item_words``: documents with a stretch that follows an item.
 
     A stretch counts if it follows at least ``share`` of the item's words in order, whatever their
@@ -159,36 +215,70 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, i
     that is nothing else is never found.  Repeated items count once.  Null
     and empty texts contain nothing; every row is searched, and repeated ids give one row.
 
-    Every window of every document is hashed under fixed masks and looked up among the items' windows
-    (one slip in a word does not matter); items whose hits cover enough of them are verified by a local
-    alignment of the surrounding stretch.  Documents are read once and never shuffled.  Items are
-    carried to the executors in blocks of at most ``block_words`` words; more items mean more passes.
+    Documents are read once, whatever the number of items: every window of every document is hashed under
+    fixed masks, and those that pass a bit map of the items' windows (of a fixed size at most) are joined with
+    them by hash.  Pairs of a document and an item that meet are verified by a local alignment around the hits.
+    Only documents with hits are moved.
     """
     spark = documents.sparkSession
     rows = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
-    size = rows.select(F.sum(F.size(F.split("t", r"\s+"))), F.count("*")).first()
-    blocks = max(1, -(-(size[0] or 0) // block_words))
-    # an opening sentence of several items is a stock one
-    rows = rows.withColumn("o", F.split("t", r"(?<=[.!?])\s+").getItem(0))
-    rows = rows.join(rows.groupBy("o").agg((F.countDistinct("i") > 1).alias("stock")), "o")
+    known, windows = item_windows(rows)
+    count = windows.count()
     key, item_key = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
+    shared = spark.sparkContext.broadcast(window_filter(spark, windows, count))
     texts = spread(documents.filter(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t")))
-    out = None
-    for block in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()  # about block_words words
-        shared = spark.sparkContext.broadcast(Items(sorted((r["i"], r["t"], r["stock"]) for r in part)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            known = shared.value
-            for b in batches:
-                got = []
-                for d, t in zip(b["d"], b["t"]):
-                    w = words(t)
-                    if len(w) >= 5:
-                        doc = np.fromiter((known.code(x) for x in w), np.int64, len(w))
-                        got += [(d, *s) for s in stretches(doc, known, share)]
-                yield pd.DataFrame(got, columns=[doc_id, item_id, "matched_words", "item_words"])
-
-        found = texts.mapInPandas(search, f"`{doc_id}` {key}, `{item_id}` {item_key}, matched_words int, item_words int")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy(doc_id, item_id).agg(F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents with windows that pass the filter: their words, and place and hash of these windows."""
+        bits, flags = shared.value
+        for b in batches:
+            w = [words(t) for t in b["t"]]
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(np.int64)
+            keys = word_keys([x for one in w for x in one])
+            places, hashes = [], []
+            for m in range(len(MASKS)):
+                place, h = masked(keys, m, starts[1:])
+                bit = h & (bits - 1)
+                ok = (flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+                places.append(place[ok])
+                hashes.append(h[ok])
+            place, h = np.concatenate(places), np.concatenate(hashes)
+            by = np.argsort(place, kind="stable")
+            place, h = place[by], h[by]
+            at = np.searchsorted(place, starts)
+            hit = np.flatnonzero(np.diff(at))
+            lists = {"w": [w[r] for r in hit], "place": [(place[at[r] : at[r + 1]] - starts[r]).astype(np.int32) for r in hit], "h": [h[at[r] : at[r + 1]] for r in hit]}
+            yield pd.DataFrame({"d": b["d"].to_numpy()[hit], **{c: pd.Series(x, dtype=object) for c, x in lists.items()}})
+
+    met = texts.mapInPandas(search, f"d {key}, w array<string>, place array<int>, h array<bigint>")
+    met = cut(met.withColumn("row", F.monotonically_increasing_id()))
+    hits = met.select("row", F.explode(F.arrays_zip("place", "h")).alias("x")).select("row", F.col("x.place").alias("at"), F.col("x.h").alias("h"))
+    if count <= broadcast_windows:
+        both = hits.join(F.broadcast(windows), "h")
+    else:
+        salted = windows.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+        both = hits.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
+    pairs = both.groupBy("row", "i").agg(F.collect_list(F.struct("at", "place", "span")).alias("l"))  # of one document and item
+    pairs = pairs.select("row", "i", "l.at", "l.place", "l.span")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items: dict = {}
+        shortened: dict[str, set[str]] = {}
+        for b in batches:
+            rows, asked = [], []
+            for d, i, doc, item, at, place, span in zip(b["d"], b["i"], b["w"], b["iw"], b["at"], b["place"], b["span"]):
+                if i not in items:
+                    if len(items) > 2_000:
+                        items.clear()
+                    items[i] = Item(list(item))
+                for codes in candidates(items[i], doc.tolist(), at, place, span, share * len(item), shortened):
+                    rows.append((d, i, len(item)))
+                    asked.append((items[i].seq, codes))
+                if len(shortened) > 200_000:
+                    shortened.clear()
+            got = [(d, i, m, n) for (d, i, n), m in zip(rows, aligned(asked)) if m >= share * n]
+            yield pd.DataFrame(got, columns=[doc_id, item_id, "matched_words", "item_words"])
+
+    asked = pairs.join(met.select("row", "d", "w"), "row").join(known.select("i", F.col("w").alias("iw")), "i")
+    found = asked.mapInPandas(verify, f"`{doc_id}` {key}, `{item_id}` {item_key}, matched_words int, item_words int")
+    return found.groupBy(doc_id, item_id).agg(F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words"))

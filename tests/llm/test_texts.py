@@ -7,7 +7,7 @@ import pytest
 import written
 
 from spanloom.llm.abuse import CASE, grammar, with_abuse_score
-from spanloom.llm.leakage import follow, leaked
+from spanloom.llm.leakage import Item, aligned, follow, leaked, masked, word_keys
 from spanloom.llm.plaintext import words
 from spanloom.llm.transduce import SKIP, Symbols, Transducer
 
@@ -29,9 +29,19 @@ def test_alignment_tolerates_changes_now_and_then():
     import numpy as np
 
     item = np.arange(40)
-    assert follow(item, item) == 40 and follow(item, np.full(9, -1)) == 0
+    assert follow([item, item], [item, np.full(9, -1)]).tolist() == [40, 0]
     doc = np.concatenate([np.full(20, -1), item[5:15], [-1], item[16:25], item[27:35], np.full(5, 99)])
-    assert follow(item, doc) == 27
+    assert follow([item], [doc]).tolist() == [27] and aligned([(item, doc)] * 70 + [(item, item)]) == [27] * 70 + [40]
+
+
+def test_masked_windows_stay_inside_their_sequence():
+    import numpy as np
+
+    w = [A.split()[:9], ["a"], [], A.split()[2:10]]
+    ends = np.cumsum([len(x) for x in w])
+    place, h = masked(word_keys([x for one in w for x in one]), 1, ends)
+    assert place.tolist() == [0, 1, 2, 3, 10, 11, 12] and h[2:4].tolist() == h[4:6].tolist()
+    assert Item(["copper", "spindle"]).codes(["coper", "spindel", "cop", "spindle"], {}).tolist() == [0, 1, -1, 1]
 
 
 def test_leaks(spark):
@@ -44,8 +54,8 @@ def test_leaks(spark):
     df = spark.createDataFrame([(*d, 0, "t") for d in docs], "doc_id bigint, text string, item_id int, t string")
     items = spark.createDataFrame([(*i, "x") for i in [*ITEMS, ITEMS[0]]], "item_id bigint, text string, doc_id string")
     want = {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (10, 1), (10, 2)}
-    for block in (400_000, 20):
-        got = [(r["doc_id"], r["item_id"]) for r in leaked(df, items, "doc_id", "text", "item_id", "text", block_words=block).collect()]
+    for windows in (1000, 0):  # joined by broadcast and by shuffle
+        got = [(r["doc_id"], r["item_id"]) for r in leaked(df, items, "doc_id", "text", "item_id", "text", broadcast_windows=windows).collect()]
         assert sorted(got) == sorted(want)
     assert leaked(df.filter("false"), items, "doc_id", "text", "item_id", "text").count() == 0
     assert leaked(df, items.filter("false"), "doc_id", "text", "item_id", "text").count() == 0
