@@ -76,6 +76,10 @@ class Item:
                     self.near[d].append(w)
         self.memo: dict[str, int] = dict(self.number)
 
+    def held(self, codes: np.ndarray) -> int:
+        """Words of the item that a stretch holds in whatever order, the most that it can follow."""
+        return int(np.minimum(np.bincount(codes[codes >= 0], minlength=len(self.number)), self.counts).sum())
+
     def codes(self, doc: list[str], shortened: dict[str, set[str]]) -> np.ndarray:
         """Numbers of a document's words; -1 for others, one slip in a word does not matter.  ``shortened`` is a memo of all items."""
         memo = self.memo
@@ -124,27 +128,35 @@ def follow(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     return best & (one - 1)
 
 
-def candidates(item: Item, doc: list[str], doc_place: np.ndarray, item_place: np.ndarray, span: np.ndarray, least: float, shortened: dict[str, set[str]]) -> Iterator[np.ndarray]:
-    """The stretches of a document, as numbers of the item's words, that may follow ``least`` words of it.
+def crowds(pair: np.ndarray, length: np.ndarray, at: np.ndarray, place: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, start and end of the stretches of documents whose crowd of hits covers enough of an item.
 
-    These are the surroundings of crowds of hits that cover enough of the item and hold that many words of it in whatever order.
+    A hit has the number of its pair of document and item, the item's ``length``, its places in both and its span.
+    Hits of a pair that lie no further apart than half the item make a crowd.
     """
-    by = np.argsort(doc_place, kind="stable")
-    doc_place, item_place, span = doc_place[by], item_place[by], span[by]
-    n = len(item.words)
-    for group in np.split(np.arange(len(by)), np.flatnonzero(np.diff(doc_place) > max(30, n // 2)) + 1):
-        covered = np.zeros(n + 8, bool)
-        for p, s in zip(item_place[group], span[group]):
-            covered[p : p + s] = True
-        if covered.sum() < max(5, COVER * n):
-            continue
-        # the stretch reaches as far beyond the hits as the item does, and half as far again
-        first, last = item_place[group].min(), n - item_place[group].max()
-        a = max(0, int(doc_place[group[0]]) - int(1.5 * first) - 10)
-        b = int(doc_place[group[-1]]) + int(1.5 * last) + 10
-        codes = item.codes(doc[a:b], shortened)
-        if np.minimum(np.bincount(codes[codes >= 0], minlength=len(item.number)), item.counts).sum() >= least:
-            yield codes
+    by = np.lexsort((at, pair))
+    pair, length, at, place, span = (x[by].astype(np.int64) for x in (pair, length, at, place, span))
+    if not len(pair):
+        return pair, pair, pair
+    new = np.ones(len(pair), bool)
+    new[1:] = (np.diff(pair) != 0) | (np.diff(at) > np.maximum(30, length[1:] // 2))
+    crowd = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(pair)) - 1
+    lo, hi = np.minimum.reduceat(place, first), np.maximum.reduceat(place, first)
+    # words of the item that hits of a crowd cover: each adds what lies beyond the ends of those before it
+    order = np.lexsort((place, crowd))
+    wide = int(length.max()) + 16
+    start = crowd[order] * wide + place[order]
+    end = np.maximum.accumulate(start + span[order])
+    before = np.append(0, end[:-1])
+    covered = np.bincount(crowd[order], np.maximum(0, end - np.maximum(before, start)))
+    n = length[first]
+    ok = covered >= np.maximum(5, COVER * n)
+    # a stretch reaches as far beyond its hits as the item does, and half as far again
+    a = np.maximum(0, at[first] - (1.5 * lo).astype(np.int64) - 10)
+    b = at[last] + (1.5 * (n - hi)).astype(np.int64) + 10
+    return pair[first][ok], a[ok], b[ok]
 
 
 def aligned(asked: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 17) -> list[int]:
@@ -161,7 +173,7 @@ def aligned(asked: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 17) ->
 
 
 def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``i, w``: the words of every item without a stock opening; and ``h, i, place, span``: its masked windows."""
+    """``i, w``: the words of every item without a stock opening; and ``h, i, place, span, n``: its masked windows and its length."""
     rows = items.withColumn("o", F.split("t", r"(?<=[.!?])\s+").getItem(0))
     stock = rows.groupBy("o").agg((F.countDistinct("i") > 1).alias("stock"))  # an opening of several items is a stock one
     key = dict(items.dtypes)["i"]
@@ -181,10 +193,10 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
             for m in range(len(MASKS)):
                 place, h = masked(keys, m, starts[1:])
                 row = np.searchsorted(starts, place, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h), b.column("i").take(pa.array(row)), pa.array((place - starts[row]).astype(np.int32)), pa.array(np.full(len(h), len(MASKS[m]), np.int32))],
-                                                 ["h", "i", "place", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), b.column("i").take(pa.array(row)), pa.array((place - starts[row]).astype(np.int32)), pa.array(np.full(len(h), len(MASKS[m]), np.int32)), pa.array(np.diff(starts)[row].astype(np.int32))],
+                                                 ["h", "i", "place", "span", "n"])
 
-    return known, cut(known.mapInArrow(cut_windows, f"h bigint, i {key}, place int, span int"))
+    return known, cut(known.mapInArrow(cut_windows, f"h bigint, i {key}, place int, span int, n int"))
 
 
 def window_filter(spark: SparkSession, windows: DataFrame, count: int) -> tuple[int, np.ndarray]:
@@ -215,63 +227,98 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, i
     that is nothing else is never found.  Repeated items count once.  Null
     and empty texts contain nothing; every row is searched, and repeated ids give one row.
 
-    Documents are read once, whatever the number of items: every window of every document is hashed under
-    fixed masks, and those that pass a bit map of the items' windows (of a fixed size at most) are joined with
-    them by hash.  Pairs of a document and an item that meet are verified by a local alignment around the hits.
-    Only documents with hits are moved.
+    Documents are read once, whatever the number of items.  Every window of every document is hashed under
+    fixed masks; those that pass a bit map of the items' windows (of a fixed size at most) are joined with
+    them by hash: where they are hashed if there are at most ``broadcast_windows`` of the items, else by a
+    salted shuffle.  Both ways give the same crowds of hits, and the stretches around these are aligned with the items.
     """
     spark = documents.sparkSession
     rows = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
     known, windows = item_windows(rows)
     count = windows.count()
     key, item_key = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    shared = spark.sparkContext.broadcast(window_filter(spark, windows, count))
+    bits_shared = spark.sparkContext.broadcast(window_filter(spark, windows, count))
     texts = spread(documents.filter(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t")))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Documents with windows that pass the filter: their words, and place and hash of these windows."""
-        bits, flags = shared.value
-        for b in batches:
-            w = [words(t) for t in b["t"]]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(np.int64)
-            keys = word_keys([x for one in w for x in one])
-            places, hashes = [], []
-            for m in range(len(MASKS)):
-                place, h = masked(keys, m, starts[1:])
-                bit = h & (bits - 1)
-                ok = (flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-                places.append(place[ok])
-                hashes.append(h[ok])
-            place, h = np.concatenate(places), np.concatenate(hashes)
-            by = np.argsort(place, kind="stable")
-            place, h = place[by], h[by]
-            at = np.searchsorted(place, starts)
-            hit = np.flatnonzero(np.diff(at))
-            lists = {"w": [w[r] for r in hit], "place": [(place[at[r] : at[r + 1]] - starts[r]).astype(np.int32) for r in hit], "h": [h[at[r] : at[r + 1]] for r in hit]}
-            yield pd.DataFrame({"d": b["d"].to_numpy()[hit], **{c: pd.Series(x, dtype=object) for c, x in lists.items()}})
-
-    met = texts.mapInPandas(search, f"d {key}, w array<string>, place array<int>, h array<bigint>")
-    met = cut(met.withColumn("row", F.monotonically_increasing_id()))
-    hits = met.select("row", F.explode(F.arrays_zip("place", "h")).alias("x")).select("row", F.col("x.place").alias("at"), F.col("x.h").alias("h"))
+    def hit_windows(texts: pd.Series) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of every text; text, place and hash of the windows that pass the filter."""
+        bits, flags = bits_shared.value
+        w = [words(t) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(np.int64)
+        keys = word_keys([x for one in w for x in one])
+        places, hashes = [], []
+        for m in range(len(MASKS)):
+            place, h = masked(keys, m, starts[1:])
+            bit = h & (bits - 1)
+            ok = (flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            places.append(place[ok])
+            hashes.append(h[ok])
+        place, h = np.concatenate(places), np.concatenate(hashes)
+        row = np.searchsorted(starts, place, side="right") - 1
+        return w, row, place - starts[row], h
+
+    def frame(**columns: list) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in columns.items()})
+
     if count <= broadcast_windows:
-        both = hits.join(F.broadcast(windows), "h")
+        w = windows.toArrow()  # broadcast_windows rows at most
+        by = np.argsort(w.column("h").to_numpy(), kind="stable")
+        ids, number = np.unique(w.column("i").to_numpy(zero_copy_only=False), return_inverse=True)
+        shared = spark.sparkContext.broadcast((w.column("h").to_numpy()[by], number[by], w.column("n").to_numpy()[by], w.column("place").to_numpy()[by], w.column("span").to_numpy()[by], ids.tolist()))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes, item, n, in_item, span, ids = shared.value
+            for b in batches:
+                w, row, at, h = hit_windows(b["t"])
+                lo = np.searchsorted(hashes, h, "left")
+                times = np.searchsorted(hashes, h, "right") - lo
+                k = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(h) else lo
+                pair, start, end = crowds(np.repeat(row, times) * (len(ids) + 1) + item[k], n[k], np.repeat(at, times), in_item[k], span[k])
+                doc, it = (pair // (len(ids) + 1)).tolist(), (pair % (len(ids) + 1)).tolist()
+                d = b["d"].tolist()
+                yield frame(d=[d[r] for r in doc], i=[ids[x] for x in it], w=[w[r][x:y] for r, x, y in zip(doc, start.tolist(), end.tolist())])
+
+        asked = texts.mapInPandas(search, f"d {key}, i {item_key}, w array<string>")
     else:
-        salted = windows.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-        both = hits.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
-    pairs = both.groupBy("row", "i").agg(F.collect_list(F.struct("at", "place", "span")).alias("l"))  # of one document and item
-    pairs = pairs.select("row", "i", "l.at", "l.place", "l.span")
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                w, row, at, h = hit_windows(b["t"])
+                by = np.argsort(row, kind="stable")
+                row, at, h = row[by], at[by].astype(np.int32), h[by]
+                hit, first = np.unique(row, return_index=True)
+                last = np.append(first[1:], len(row))
+                d = b["d"].tolist()
+                yield frame(d=[d[r] for r in hit], w=[w[r] for r in hit], at=[at[x:y] for x, y in zip(first, last)], h=[h[x:y] for x, y in zip(first, last)])
+
+        met = cut(texts.mapInPandas(search, f"d {key}, w array<string>, at array<int>, h array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+        hits = met.select("row", F.explode(F.arrays_zip("at", "h")).alias("x")).select("row", "x.at", "x.h", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+        both = hits.join(windows.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)]))), ["h", "salt"])
+        pairs = both.groupBy("row", "i").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "place", "span")).alias("l"))  # of one document and item
+        pairs = pairs.select("row", "i", "n", "l.at", "l.place", "l.span")
+
+        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                size = b["at"].map(len).to_numpy()
+                flat = [np.concatenate(b[c].to_list()) if len(b) else np.zeros(0, np.int64) for c in ("at", "place", "span")]
+                pair, start, end = crowds(np.repeat(np.arange(len(b)), size), np.repeat(b["n"].to_numpy(), size), *flat)
+                yield pd.DataFrame({"row": b["row"].to_numpy()[pair], "i": b["i"].to_numpy()[pair], "a": start, "b": end})
+
+        found = pairs.mapInPandas(gather, f"row bigint, i {item_key}, a int, b int")
+        asked = found.join(met.select("row", "d", "w"), "row").select("d", "i", F.slice("w", F.col("a") + 1, F.col("b") - F.col("a")).alias("w"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: dict = {}
         shortened: dict[str, set[str]] = {}
         for b in batches:
             rows, asked = [], []
-            for d, i, doc, item, at, place, span in zip(b["d"], b["i"], b["w"], b["iw"], b["at"], b["place"], b["span"]):
+            for d, i, stretch, item in zip(b["d"], b["i"], b["w"], b["iw"]):
                 if i not in items:
                     if len(items) > 2_000:
                         items.clear()
-                    items[i] = Item(list(item))
-                for codes in candidates(items[i], doc.tolist(), at, place, span, share * len(item), shortened):
+                    items[i] = Item(item.tolist())
+                codes = items[i].codes(stretch.tolist(), shortened)
+                if items[i].held(codes) >= share * len(item):
                     rows.append((d, i, len(item)))
                     asked.append((items[i].seq, codes))
                 if len(shortened) > 200_000:
@@ -279,6 +326,6 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, i
             got = [(d, i, m, n) for (d, i, n), m in zip(rows, aligned(asked)) if m >= share * n]
             yield pd.DataFrame(got, columns=[doc_id, item_id, "matched_words", "item_words"])
 
-    asked = pairs.join(met.select("row", "d", "w"), "row").join(known.select("i", F.col("w").alias("iw")), "i")
+    asked = asked.join(known.select("i", F.col("w").alias("iw")), "i")
     found = asked.mapInPandas(verify, f"`{doc_id}` {key}, `{item_id}` {item_key}, matched_words int, item_words int")
     return found.groupBy(doc_id, item_id).agg(F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words"))
