@@ -1,63 +1,50 @@
-"""Shared source material of two hash streams: near-equal hashes vote for a time offset."""
+"""Shared source material of two hash streams, as expressions over the arrays of a pair."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 COLUMNS = ("overlap_seconds", "offset_seconds", "matched_frames", "fraction_of_a", "fraction_of_b")
-NOTHING = (0.0, 0.0, 0, 0.0, 0.0)
-
-
-def longest_stretch(places: np.ndarray, gap: int) -> int:
-    """Members of the longest stretch of sorted distinct places whose neighbours are at most ``gap`` apart."""
-    if not len(places):
-        return 0
-    stretch = np.concatenate([[0], np.cumsum(np.diff(places) > gap)])
-    return int(np.bincount(stretch).max())
-
-
-def align(ha: np.ndarray, ta: np.ndarray, hb: np.ndarray, tb: np.ndarray, bits: int = 8, bin_s: float = 0.5, votes: int = 3, gap: int = 2) -> tuple:
-    """Overlap record of two streams; all zero unless an offset has enough votes and an unbroken stretch."""
-    if not len(ha) or not len(hb):
-        return NOTHING
-    near = np.bitwise_count(ha.view(np.uint64)[:, None] ^ hb.view(np.uint64)[None, :]) <= bits
-    at_a, at_b = near.nonzero()
-    if len(at_a) < votes:
-        return NOTHING
-    bins = np.rint((tb[at_b] - ta[at_a]) / bin_s).astype(np.int64)
-    low = bins.min()
-    tally = np.bincount(bins - low)
-    top = int(tally.argmax())  # the smallest of equally common bins
-    if tally[top] < votes:
-        return NOTHING
-    ours = bins == top + low
-    runs = [longest_stretch(np.unique(x[ours]), gap) for x in (at_a, at_b)]
-    if min(runs) < votes:
-        return NOTHING
-    step = float(np.median(np.diff(ta))) if len(ta) > 1 else 0.5
-    return runs[0] * step, float((top + low) * bin_s), int(tally[top]), runs[0] / len(ha), runs[1] / len(hb)
+
+
+def longest_run(places: Column, gap: int) -> Column:
+    """Members of the longest run of distinct places whose neighbours are at most ``gap`` apart."""
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, p: Column) -> Column:
+        now = F.when(p - s["last"] <= gap, s["now"] + 1).otherwise(1)
+        return F.struct(p.alias("last"), now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(F.array_sort(F.array_distinct(places)), start, step, lambda s: s["most"])
+
+
+def median_step(times: Column, single: float) -> Column:
+    """Median distance of consecutive times; ``single`` for a stream of one."""
+    steps = F.array_sort(F.transform(F.slice(times, 2, F.greatest(F.size(times) - 1, F.lit(0))), lambda t, i: t - F.get(times, i)))
+    n = F.size(steps)
+    return F.when(n > 0, (F.get(steps, ((n - 1) / 2).cast("int")) + F.get(steps, (n / 2).cast("int"))) / 2).otherwise(F.lit(single))
 
 
 def source_overlap(pairs: DataFrame, bits: int = 8, bin_s: float = 0.5, votes: int = 3, gap: int = 2) -> DataFrame:
     """``a, b`` and the overlap record of pairs with ``phash_a, phash_ts_a, phash_b, phash_ts_b``.
 
-    Missing streams give the zero record.
+    Hashes that differ in at most ``bits`` bits vote for their distance in time, in bins of ``bin_s``; the commonest
+    bin wins, of several the smallest.  The overlap is the longest run of the places of ``a`` that voted for it.
+    All zero where a bin has fewer than ``votes`` votes or a run on either side fewer members, and for
+    missing or empty streams.  Everything is computed within the row of a pair; nothing is shuffled.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            out = []
-            for ha, ta, hb, tb in zip(f["phash_a"], f["phash_ts_a"], f["phash_b"], f["phash_ts_b"]):
-                whole = all(x is not None for x in (ha, ta, hb, tb))
-                out.append(align(np.asarray(ha, np.int64), np.asarray(ta, float), np.asarray(hb, np.int64), np.asarray(tb, float), bits, bin_s, votes, gap) if whole else NOTHING)
-            r = pd.DataFrame(out, columns=list(COLUMNS))
-            r.insert(0, "b", f["b"].to_numpy())
-            r.insert(0, "a", f["a"].to_numpy())
-            yield r
-
-    return pairs.select("a", "b", "phash_a", "phash_ts_a", "phash_b", "phash_ts_b").mapInPandas(
-        run, "a string, b string, overlap_seconds double, offset_seconds double, matched_frames int, fraction_of_a double, fraction_of_b double")
+    stream = lambda s: F.transform(f"phash_{s}", lambda h, i: F.struct(h.alias("h"), F.get(f"phash_ts_{s}", i).alias("t"), i.alias("i")))
+    near = lambda x: F.filter(F.col("__b"), lambda y: F.bit_count(x["h"].bitwiseXOR(y["h"])) <= bits)
+    vote = lambda x, y: F.struct(F.rint((y["t"] - x["t"]) / bin_s).cast("bigint").alias("bin"), x["i"].alias("i"), y["i"].alias("j"))
+    voted = F.flatten(F.transform("__a", lambda x: F.transform(near(x), lambda y: vote(x, y))))
+    r = pairs.select("a", "b", "phash_a", "phash_b", "phash_ts_a", stream("a").alias("__a"), stream("b").alias("__b"))
+    r = r.select("a", "b", "phash_a", "phash_b", "phash_ts_a", F.filter(voted, lambda v: v["bin"].isNotNull()).alias("v"))
+    bins = F.array_distinct(F.transform("v", lambda v: v["bin"]))
+    tally = F.array_max(F.transform(bins, lambda k: F.struct(F.size(F.filter("v", lambda v: v["bin"] == k)).alias("n"), (-k).alias("back"))))
+    r = r.withColumn("top", tally).withColumn("v", F.filter("v", lambda v: v["bin"] == -F.col("top.back")))
+    r = r.withColumn("run_a", longest_run(F.transform("v", lambda v: v["i"]), gap)).withColumn("run_b", longest_run(F.transform("v", lambda v: v["j"]), gap))
+    found = F.coalesce((F.col("top.n") >= votes) & (F.least("run_a", "run_b") >= votes), F.lit(False))
+    record = (F.col("run_a") * median_step(F.col("phash_ts_a"), 0.5), -F.col("top.back") * F.lit(bin_s), F.col("top.n"), F.col("run_a") / F.size("phash_a"), F.col("run_b") / F.size("phash_b"))
+    kinds = ("double", "double", "int", "double", "double")
+    return r.select("a", "b", *[F.when(found, x).otherwise(0).cast(k).alias(c) for c, x, k in zip(COLUMNS, record, kinds)])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spanloom.operators import pairs as P
-from spanloom.operators.overlap import NOTHING, align
+from spanloom.operators.overlap import COLUMNS, source_overlap
 from spanloom.operators.selection import facility_location, greedy_kernel, search
 
 
@@ -32,16 +32,24 @@ def test_hamming_pairs_are_exact(spark):
     assert links == {i: sum(j != i and v is not None and d(w, v) <= 8 for j, v in enumerate(words)) for i, w in enumerate(words) if w is not None}
 
 
-def test_overlap_needs_an_unbroken_stretch():
+def test_overlap_needs_an_unbroken_stretch(spark):
     r = np.random.default_rng(0)
     a, b = r.integers(-(2**62), 2**62, 60), r.integers(-(2**62), 2**62, 60)
     t = np.arange(60) * 0.5
     scattered, shared = b.copy(), b.copy()
     scattered[[3, 11, 24, 37, 52]] = a[[3, 11, 24, 37, 52]]
     shared[20:25] = a[20:25]
-    assert align(a, t, scattered, t)[0] < 2 <= align(a, t, shared, t)[0]
-    assert align(a, t, a[30:], t[:30])[1] == -15.0 and align(a, t, a, t)[3:] == (1.0, 1.0)
-    assert align(a, t, b, t) == NOTHING == align(a[:0], t[:0], b, t)
+    none = np.zeros(0, np.int64)
+    cases = {"scattered": (a, t, scattered, t), "shared": (a, t, shared, t), "later": (a, t, a[30:], t[:30]), "same": (a, t, a, t), "other": (a, t, b, t), "empty": (none, t[:0], b, t), "null": (None, None, b, t),
+             "still": (np.zeros(30, np.int64), t[:30], np.zeros(30, np.int64), t[:30]), "single": (a[:1], t[:1], a, t)}
+    rows = [(k, "x", *[None if v is None else v.tolist() for v in c], 9) for k, c in cases.items()]
+    df = spark.createDataFrame(rows, "a string, b string, phash_a array<bigint>, phash_ts_a array<double>, phash_b array<bigint>, phash_ts_b array<double>, top int")
+    got = {r["a"]: tuple(r[c] for c in COLUMNS) for r in source_overlap(df).collect()}
+    nothing = (0.0, 0.0, 0, 0.0, 0.0)
+    assert got["scattered"][0] < 2 <= got["shared"][0]
+    assert got["later"][1] == -15.0 and got["same"][3:] == (1.0, 1.0) and got["still"] == (15.0, 0.0, 30, 1.0, 1.0)
+    assert got["other"] == got["empty"] == got["null"] == got["single"] == nothing
+    assert source_overlap(df.filter("false")).count() == 0
 
 
 def test_search_and_greedy_match_brute_force(spark):
