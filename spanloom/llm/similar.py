@@ -24,7 +24,9 @@ MAX_CELLS = 1_024
 MAX_BITS = 24
 #: Cells whose shards a query may visit, and shards that it visits at most.
 PROBES = 32
-VISITS = 6
+VISITS = 8
+#: A query visits no shard further off than its own cell by more than this share of its squared distance to that cell's centre.
+REACH = 0.1
 #: Points of one graph.
 SHARD_POINTS = 8_192
 #: Queries of other shards answered by one task.
@@ -89,7 +91,17 @@ class Cells:
             left = [c for j, c in enumerate(left) if j not in taken]
             made += 1
 
-    def shards(self, x: np.ndarray, probes: int, visits: int) -> np.ndarray:
+    def own_shard(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The shard that each vector is in."""
+        cell = near.argmax(axis=1)
+        code = np.zeros(len(x), np.int64)
+        at = np.flatnonzero(self.bits[cell] > 0)
+        if len(at):
+            side = (x[at] - self.centres[cell[at]]) @ self.directions - self.middle
+            code[at] = ((side > 0) & (np.arange(side.shape[1]) < self.bits[cell[at]][:, None])) @ (1 << np.arange(side.shape[1]))
+        return self.first[cell] + code
+
+    def shards(self, x: np.ndarray, probes: int, visits: int, reach: float) -> np.ndarray:
         """Shards of the vectors, their own first, then those nearest to them; -1 after the last."""
         x = unit(x).astype(np.float32)
         near = self._near(x, self.centres)
@@ -119,6 +131,9 @@ class Cells:
         order = np.lexsort((cost, shard), axis=1)  # of several ways to a shard the nearest counts
         shard, cost = np.take_along_axis(shard, order, axis=1), np.take_along_axis(cost, order, axis=1)
         cost[:, 1:][shard[:, 1:] == shard[:, :-1]] = np.inf
+        cost[cost > reach * (1 - 2 * near.max(axis=1, keepdims=True))] = np.inf
+        cost[shard == self.own_shard(x, near)[:, None]] = -1.0
+        cost[:, 1:][shard[:, 1:] == shard[:, :-1]] = np.inf
         order = np.argsort(cost, axis=1, kind="stable")[:, :visits]
         return np.where(np.isfinite(np.take_along_axis(cost, order, axis=1)), np.take_along_axis(shard, order, axis=1), -1)
 
@@ -134,7 +149,7 @@ def _classes(vecs: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAMPLE, cell_points: int = CELL_POINTS, probes: int = PROBES,
-                 visits: int = VISITS, shard_points: int = SHARD_POINTS, chunk_queries: int = CHUNK_QUERIES,
+                 visits: int = VISITS, reach: float = REACH, shard_points: int = SHARD_POINTS, chunk_queries: int = CHUNK_QUERIES,
                  ground: int = GROUND, beam_build: int = BEAM_BUILD, beam: int = BEAM_SEARCH) -> DataFrame:
     """``id, neighbour, similarity``: the k most similar other vectors of the same kind for every one.
 
@@ -146,8 +161,8 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
     Vectors are dealt into coarse cells (fitted on at most ``sample`` vectors of a kind; every vector
     is indexed), neighbouring cells into shards of about ``shard_points`` points, and cells larger than that into
     as many shards as they need, by the signs of what is left along its main directions.  Each shard gets a graph of
-    its own.  A query searches its own shard and those nearest to it, ``visits`` in all whatever the number of
-    vectors, and the results are merged.  The candidates a graph gives are compared exactly, so only the
+    its own.  A query searches its own shard and those nearest to it, at most ``visits`` in all whatever the number of
+    vectors and none further off than ``reach`` allows, and the results are merged.  The candidates a graph gives are compared exactly, so only the
     choice of candidates is approximate.
     """
     spark = vecs.sparkSession
@@ -187,7 +202,7 @@ def most_similar(vecs: DataFrame, k: int = 5, digits: int = 9, sample: int = SAM
         for b in batches:
             for kind, at in by_kind(b):
                 here = b.take(pa.array(at))
-                shards = planned.value[kind].shards(matrix(here.column("vec")), probes, visits)
+                shards = planned.value[kind].shards(matrix(here.column("vec")), probes, visits, reach)
                 used = shards >= 0
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, used.sum(axis=1).cumsum()), pa.int32()), pa.array(shards[used]))
                 yield pa.RecordBatch.from_arrays([*[here.column(c) for c in ("id", "kind", "vec", "h")], pa.array(shards[:, 0]), lists], ["id", "kind", "vec", "h", "shard", "visits"])

@@ -45,7 +45,7 @@ def exact(rows, k):
 def test_neighbours_match_brute_force(spark, shard_points, chunk):
     rows, df = table(spark)
     vecs = usable_vectors(df, "segment_id", "app_encoder", "app_mean", "indexed_at")
-    got = {(r["id"], r["neighbour"]) for r in most_similar(vecs, 5, cell_points=30, visits=40, shard_points=shard_points, chunk_queries=chunk).collect()}
+    got = {(r["id"], r["neighbour"]) for r in most_similar(vecs, 5, cell_points=30, visits=40, reach=9.0, shard_points=shard_points, chunk_queries=chunk).collect()}
     want = exact(rows, 5)
     assert len(got & want) >= 0.97 * len(want) and len(got) == len(want)
     copies = {r for r in want if r[0].startswith("d")}
