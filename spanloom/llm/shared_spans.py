@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 
-#: Records of one reference shard.
+#: Values of the references of one automaton, and of all automata that are broadcast together (some 100 MB in a Python worker).
+SHARD_VALUES = 100_000
+BROADCAST_VALUES = 500_000
+#: Records of one reference shard where the automata are not broadcast.
 SHARD_RECORDS = 2_000
 
 
@@ -77,67 +80,58 @@ class Automaton:
         return state
 
 
-def match_shard(references: list[tuple[str, str, list[int]]], documents: list[tuple[str, str, list[int]]], least: int, same: bool) -> Iterator[tuple]:
-    """Streams documents through the automaton of the references (each: id, owner, sequence).
+class Shard:
+    """Automaton of reference records (each: id, smallest and greatest owner, sequence) and what its states know of them.
 
-    Yields ``(a, b, -1, -1)``, a < b, for every reference and document of different owners that share
-    ``least`` consecutive values, and ``(id, None, start, end)`` for every maximal stretch of a record
-    all of whose values lie in such shared spans.  ``same``: the documents are the references.
+    Documents stream past it one by one; only its size depends on the number of references.
     """
-    auto = Automaton()
-    for _, _, s in references:
-        auto.add(s)
-    held: dict[int, set[int]] = defaultdict(set)
-    traces: list[list[int]] = []
-    for i, (_, _, s) in enumerate(references):
-        trace = [auto.shortest(st, least) if n >= least else -1 for st, n in auto.statistics(s)]
-        traces.append(trace)
-        for t in trace:
-            if t >= 0:
-                held[t].add(i)
-    doc_traces = traces if same else [[auto.shortest(st, least) if n >= least else -1 for st, n in auto.statistics(s)] for _, _, s in documents]
-    comers: dict[int, set[int]] = held if same else defaultdict(set)
-    if not same:
-        for j, trace in enumerate(doc_traces):
-            for t in trace:
-                if t >= 0 and t in held:
-                    comers[t].add(j)
-    done: set[tuple] = set()
-    pairs: set[tuple[str, str]] = set()
-    for t, there in held.items():
-        here = comers.get(t)
-        if not here or (group := (frozenset(there), None if same else frozenset(here))) in done:
-            continue
-        done.add(group)
-        for i in there:
-            a, owner = references[i][:2]
-            for j in here:
-                b, other = documents[j][:2]
-                if owner != other and a != b:
-                    pairs.add((a, b) if a < b else (b, a))
-    for a, b in pairs:
-        yield a, b, -1, -1
-
-    def stretches(rec: tuple[str, str, list[int]], trace: list[int], others: dict[int, set[str]]) -> Iterator[tuple]:
+
+    def __init__(self, references: list[tuple[str, str, str, list[int]]], least: int):
+        self.least = least
+        self.code: dict[int, int] = {}
+        self.auto = Automaton()
+        self.references = [r[:3] for r in references]
+        coded = [[self.code.setdefault(x, len(self.code)) for x in r[3]] for r in references]
+        for c in coded:
+            self.auto.add(c)
+        self.held: dict[int, list[int]] = {}
+        self.owners: dict[int, tuple[str, str]] = {}
+        for i, ((_, lo, hi), c) in enumerate(zip(self.references, coded)):
+            for t in set(self.trace(c)) - {-1}:
+                self.held.setdefault(t, []).append(i)
+                a, z = self.owners.get(t, (lo, hi))
+                self.owners[t] = min(a, lo), max(z, hi)
+
+    def trace(self, coded: list[int]) -> list[int]:
+        """For every end position the state of the last ``least`` values, -1 where no reference holds them."""
+        return [self.auto.shortest(state, self.least) if n >= self.least else -1 for state, n in self.auto.statistics(coded)]
+
+    def stream(self, id_: str, lo: str, hi: str, values: list[int], pairs: bool = True) -> Iterator[tuple]:
+        """What a document shares with the references of other owners.
+
+        ``(a, b, -1, -1)``, a < b, for every reference that shares ``least`` consecutive values with it, given only where
+        the document is ``a``, and ``(id, None, start, end)`` for every maximal stretch all of whose values lie in such spans.
+        """
+        trace = self.trace([self.code.get(x, -1) for x in values])
+        alone = (lo, hi) if lo == hi else None
+        if pairs:
+            met: set[int] = set()
+            for t in set(trace) - {-1}:
+                met.update(self.held.get(t, ()))
+            for i in met:
+                b, b_lo, b_hi = self.references[i]
+                if id_ < b and not (lo == hi == b_lo == b_hi):
+                    yield id_, b, -1, -1
         start = end = -1
         for at, t in enumerate(trace):
-            if t >= 0 and others.get(t, set()) - {rec[1]}:
-                if at - least + 1 <= end:
-                    end = at + 1
-                else:
+            if t >= 0 and t in self.owners and self.owners[t] != alone:
+                if at - self.least + 1 > end:
                     if end > 0:
-                        yield rec[0], None, start, end
-                    start, end = at - least + 1, at + 1
+                        yield id_, None, start, end
+                    start = at - self.least + 1
+                end = at + 1
         if end > 0:
-            yield rec[0], None, start, end
-
-    ref_owners = {t: {references[i][1] for i in s} for t, s in held.items()}
-    for rec, trace in zip(documents, doc_traces):
-        yield from stretches(rec, trace, ref_owners)
-    if not same:
-        doc_owners = {t: {documents[j][1] for j in s} for t, s in comers.items()}
-        for rec, trace in zip(references, traces):
-            yield from stretches(rec, trace, doc_owners)
+            yield id_, None, start, end
 
 
 def anchors_of(flat: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +153,8 @@ def anchors_of(flat: np.ndarray, offsets: np.ndarray, gram: int, window: int) ->
     return row[inside], views.min(axis=1)[inside].astype(np.int64)
 
 
-def shared_spans(records: DataFrame, id_: str, owner: str, values: str, least: int = 12, shard_records: int = SHARD_RECORDS) -> DataFrame:
+def shared_spans(records: DataFrame, id_: str, owner: str, values: str, least: int = 12, shard_records: int = SHARD_RECORDS,
+                 broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """Spans of at least ``least`` values that occur verbatim in records of different owners.
 
     ``records`` has one row per ``id_`` with ``owner`` and ``values`` (ARRAY<BIGINT>); further columns
@@ -167,20 +162,43 @@ def shared_spans(records: DataFrame, id_: str, owner: str, values: str, least: i
     null among them, share nothing.  Repeated ids count once per distinct content.  Empty input gives
     an empty result.
 
-    Routing: a record is sent to the shards of those anchors (smallest grams, see ``anchors_of``) that
-    occur with two owners, so any two records with a common span meet in a shard, and records without
-    a common gram are never sent.  An anchor of more than ``shard_records`` records is split: its
-    records are dealt into blocks, and every pair of blocks is a task of its own with one block as
-    references and the other as documents.  Every shard builds its suffix automaton where it is used;
-    the automata of all records have no size bound that would allow to broadcast them.
+    Records of equal content are one class, matched once.  Only classes with an anchor (smallest grams, see
+    ``anchors_of``) that occurs with two owners can share a span; they are the references, dealt into shards
+    with a suffix automaton each, and the documents.  If they hold at most ``broadcast_values`` values the automata are
+    broadcast and every document streams past all of them.  Beyond that classes meet in shards by anchor: an anchor of more
+    than ``shard_records`` classes is split, its classes are dealt into blocks, and every pair of blocks is a task of its
+    own, one block streaming past the other's automaton.
 
-    Returns ``a, b, start, end``: pairs (``a < b``, start and end -1), and shared stretches of ``a``
+    Returns ``a, b, start, end``: pairs of ids (``a < b``, start and end -1), and shared stretches of ``a``
     (``b`` null; the same stretch may come in parts from several shards).
     """
+    members, classes, spans = shared_classes(records, id_, owner, values, least, shard_records, broadcast_values)
+    ma, mb = (members.select(F.col("cid").alias(c), F.col("id").alias(i), F.col("owner").alias(f"o{i}")) for c, i in (("ca", "a"), ("cb", "b")))
+    linked = spans.filter(F.col("cb").isNotNull()).select("ca", "cb").distinct()
+    copies = classes.filter("lo <> hi")
+    linked = linked.unionByName(copies.select(F.col("cid").alias("ca"), F.col("cid").alias("cb")))
+    pairs = linked.join(ma, "ca").join(mb, "cb").filter("oa <> ob AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select("a", "b", F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    cover = spans.filter(F.col("cb").isNull()).select("ca", "start", "end").unionByName(copies.select(F.col("cid").alias("ca"), F.lit(0).alias("start"), F.size("vals").alias("end")))
+    nobody = F.lit(None).cast(dict(members.dtypes)["id"])
+    return pairs.unionByName(cover.join(ma, "ca").select("a", nobody.alias("b"), "start", "end"))
+
+
+def shared_classes(records: DataFrame, id_: str, owner: str, values: str, least: int, shard_records: int = SHARD_RECORDS,
+                   broadcast_values: int = BROADCAST_VALUES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``shared_spans`` for classes of equal content.
+
+    Returns the members (``cid, id, owner``), the classes (``cid, lo, hi, vals``) and ``ca, cb, start, end``: pairs of
+    classes with a common span, and stretches of ``ca`` that another owner's class holds.  A class of several owners is
+    shared from end to end, which gives no row.
+    """
     gram = max(1, least // 2)
     window = least - gram + 1
     ok = F.col(id_).isNotNull() & F.col(owner).isNotNull() & (F.size(values) >= least) & F.forall(values, lambda x: x.isNotNull())
-    recs = records.filter(ok).select(F.col(id_).alias("id"), F.col(owner).alias("owner"), F.col(values).alias("vals"))
+    content = F.concat(F.hex(F.xxhash64(values)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.reverse(values))))
+    recs = cut(records.filter(ok).select(content.alias("cid"), F.col(id_).alias("id"), F.col(owner).cast("string").alias("owner"), F.col(values).alias("vals")))
+    members = recs.select("cid", "id", "owner")
+    classes = cut(recs.groupBy("cid").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.first("vals").alias("vals")))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,31 +206,51 @@ def shared_spans(records: DataFrame, id_: str, owner: str, values: str, least: i
             row, h = anchors_of(vals.flatten().to_numpy(), vals.offsets.to_numpy() - vals.offsets[0].as_py(), gram, window)
             both = np.unique(np.stack([row, h]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
             at = pa.array(both[0])
-            yield pa.RecordBatch.from_arrays([pa.array(both[1]), b.column("id").take(at), b.column("owner").take(at)], ["anchor", "id", "owner"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[1]), *[b.column(c).take(at) for c in ("cid", "lo", "hi")]], ["anchor", "cid", "lo", "hi"])
+
+    anchors = cut(classes.mapInArrow(route, "anchor bigint, cid string, lo string, hi string"))
+    met = anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 1").select("anchor", "n")
+    hits = cut(anchors.select("anchor", "cid").join(met, "anchor"))
+    able = cut(classes.join(hits.select("cid").distinct(), "cid"))
+    size = able.agg(F.coalesce(F.sum(F.size("vals")), F.lit(0))).first()[0]
+    schema = "ca string, cb string, start int, end int"
+
+    def rows_of(frame: pd.DataFrame) -> list[tuple]:
+        return list(zip(frame["cid"], frame["lo"], frame["hi"], [v.tolist() for v in frame["vals"]]))
+
+    def as_frame(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["ca", "cb", "start", "end"]).astype({"ca": object, "cb": object, "start": "int32", "end": "int32"})
 
-    ids = {f.name: f.dataType.simpleString() for f in recs.schema}
-    anchors = cut(recs.mapInArrow(route, f"anchor bigint, id {ids['id']}, owner {ids['owner']}"))
-    met = anchors.groupBy("anchor").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("anchor", "n")
-    hits = cut(anchors.select("anchor", "id").join(met, "anchor"))
+    if size <= broadcast_values:
+        shards = max(1, -(-size // SHARD_VALUES))
+        built = able.groupBy(F.pmod(F.xxhash64("cid"), F.lit(shards)).alias("shard")).applyInPandas(lambda f: pd.DataFrame({"shard": [pickle.dumps(Shard(rows_of(f), least), protocol=5)]}), "shard binary")
+        automata = records.sparkSession.sparkContext.broadcast([r[0] for r in built.collect()])  # of broadcast_values values at most
+
+        def past_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            loaded = [pickle.loads(x) for x in automata.value]
+            for b in batches:
+                yield as_frame([f for r in rows_of(b) for shard in loaded for f in shard.stream(*r)])
+
+        return members, classes, spread(able).mapInPandas(past_all, schema)
     shards = max(1, -(-hits.count() // shard_records))
     blocks = F.ceil(F.col("n") / F.lit(shard_records)).cast("int")
-    cold = hits.filter(F.col("n") <= shard_records).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id").distinct()
-    home = hits.filter(F.col("n") > shard_records).withColumn("r", blocks).withColumn("h", F.pmod(F.xxhash64("id"), F.col("r")).cast("int"))
+    cold = hits.filter(F.col("n") <= shard_records).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "cid").distinct()
+    home = hits.filter(F.col("n") > shard_records).withColumn("r", blocks).withColumn("h", F.pmod(F.xxhash64("cid"), F.col("r")).cast("int"))
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda k: F.struct(
         F.least(k, F.col("h")).alias("i"), F.greatest(k, F.col("h")).alias("j"), F.when(k >= F.col("h"), 0).otherwise(1).alias("side"))))
     # negative shard numbers keep the tiles of hot anchors apart from the shards of the others
-    hot = home.select((-1 - F.pmod(F.col("anchor"), F.lit(2**62))).alias("shard"), tiles.alias("t"), "id").select("shard", "t.i", "t.j", "t.side", "id")
-    tasks = cold.unionByName(hot).join(recs, "id")
+    hot = home.select((-1 - F.pmod(F.col("anchor"), F.lit(2**62))).alias("shard"), tiles.alias("t"), "cid").select("shard", "t.i", "t.j", "t.side", "cid")
+    tasks = cold.unionByName(hot).join(able, "cid")
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        codes: dict[int, int] = {}
-        rows = [(i, o, [codes.setdefault(x, len(codes)) for x in v]) for i, o, v in zip(frame["id"], frame["owner"], frame["vals"])]
-        sides = frame["side"].to_numpy()
-        refs = [r for r, s in zip(rows, sides) if s == 0]
-        docs = [r for r, s in zip(rows, sides) if s == 1]
-        same = bool((frame["i"] == frame["j"]).all())
-        found = list(match_shard(refs, refs if same else docs, least, same))
-        return pd.DataFrame(found, columns=["a", "b", "start", "end"]).astype({"start": "int32", "end": "int32"})
-
-    schema = f"a {ids['id']}, b {ids['id']}, start int, end int"
-    return tasks.groupBy("shard", "i", "j").applyInPandas(match, schema)
+        sides = [rows_of(frame[frame["side"] == s]) for s in (0, 1)]
+        if (frame["i"] == frame["j"]).all():
+            sides[1] = sides[0]
+        shard = Shard(sides[0], least)
+        found = [f for r in sides[1] for f in shard.stream(*r)]
+        if sides[1] is not sides[0]:  # and the other way round: references that come after the document, and their stretches
+            other = Shard(sides[1], least)
+            found += [f for r in sides[0] for f in other.stream(*r)]
+        return as_frame(found)
+
+    return members, classes, tasks.groupBy("shard", "i", "j").applyInPandas(match, schema)

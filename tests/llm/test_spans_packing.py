@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import spanloom.llm.shared_spans as shared_spans_module
 from spanloom.llm.packing import Bins, first_fit_decreasing, pack, with_token_counts
 from spanloom.llm.shared_spans import Automaton, shared_spans
 
@@ -25,6 +26,7 @@ def records(seed):
             v = v[:at] + p[a : a + n] + v[at:]
         out.append((f"r{i:02}", f"o{i % 30}", v))
     still = [7] * 20
+    out += [(f"f{i}", f"q{i % 6}", [7] * 30) for i in range(12)] + [("e1", "q1", out[3][2]), ("e2", out[4][1], out[4][2])]  # frozen streams and copies
     out += [(f"t{i}", f"p{i}", still + new(3)) for i in range(25)]
     return out
 
@@ -44,11 +46,12 @@ def brute(rows, least):
     return pairs, cover
 
 
-@pytest.mark.parametrize("shard", [2000, 6])
-def test_spans_match_brute_force_also_when_blocks_are_split(spark, shard):
+@pytest.mark.parametrize("shard,most,each", [(2000, 10**6, 10**5), (2000, 10**6, 200), (2000, 0, 1), (6, 0, 1)])
+def test_spans_match_brute_force_broadcast_routed_and_split(spark, monkeypatch, shard, most, each):
+    monkeypatch.setattr(shared_spans_module, "SHARD_VALUES", each)
     rows = records(3)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows] + [("n1", "o1", None, 1, ""), ("n2", None, [1] * 20, 1, ""), (None, "o", [1] * 20, 1, ""), ("n3", "o3", [1, None] * 9, 1, "")], "id string, owner string, vals array<bigint>, shard int, anchor string")
-    got = shared_spans(df, "id", "owner", "vals", 12, shard).collect()
+    got = shared_spans(df, "id", "owner", "vals", 12, shard, most).collect()
     pairs, cover = brute(rows, 12)
     assert {(r["a"], r["b"]) for r in got if r["b"] is not None} == pairs
     seen = {}
