@@ -78,50 +78,87 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1:] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1:]
 
 
+#: Stems and names of a column, at most, whose counts are known; rarer ones count as rare as the last of these.
+KEPT = 20_000
+#: Of these, at most, the ones that slips are traced back to.
+INDEXED = 4_000
+#: A spelling is a slip only if the right one is at least TIMES as frequent and it makes up at most this share of that one:
+#: short words have many real neighbours, so they need more evidence, or another word beside them that both share.
+TIMES, SHARE, SHORT, SHORT_SHARE = 5, 0.05, 4, 0.01
+
+
+def may_be_slip(rare: int, frequent: int, share: float = SHARE) -> bool:
+    """Whether counts allow that one spelling is a slip for another; a single occurrence may be one for a word of five."""
+    return frequent >= TIMES * rare and rare - 1 <= share * frequent
+
+
 class Namer:
     """Maps a spelling to its canonical name, given how often each stem, and each name of stems, occurs in the whole data.
 
-    A stem or a name is settled if it makes up at least ``share`` of all; there are at most ``1 / share``
-    of these, whatever the data's size.  A word whose stem is not settled and that is one slip away from
-    a form of a settled stem counts as that stem; of several, the one that makes the whole a settled
-    name, else the most frequent.  Any other word keeps its own stem, marked with ``~``.
+    A word counts as another stem if it is one slip away from one of its forms and so much rarer that a slip explains it
+    (``may_be_slip``); of several stems, as the one that makes the whole a known name, else the most frequent.  In a name of several
+    words the counts of the whole names decide too.  Two words that are both frequent, or both rare, are different words
+    however alike they look.
     """
 
-    def __init__(self, stems: dict[str, int], share: float = 0.002, names: dict[str, int] | None = None):
-        total = sum(stems.values())
-        self.settled = {s: n for s, n in stems.items() if s and n >= share * total}
+    def __init__(self, stems: dict[str, int], names: dict[str, int] | None = None, kept: int = KEPT):
+        self.stems = {s: n for s, n in stems.items() if s}
         self.names = names or {}
+        self.other_stem = min(self.stems.values()) if len(self.stems) >= kept else 1
+        self.other_name = min(self.names.values()) if len(self.names) >= kept else 1
         self.near: dict[str, set[str]] = defaultdict(set)
         self.form_stem: dict[str, str] = {}
-        for s in sorted(self.settled, key=lambda s: (self.settled[s], s)):
-            for f in forms(s):
-                self.form_stem[f] = s
-        for f in self.form_stem:
-            for d in {f, *drops(f)}:
-                self.near[d].add(f)
         self.memo: dict[str, list[str]] = {}
+        made = 0
+        for s, n in sorted(self.stems.items(), key=lambda x: (-x[1], x[0])):  # what is a slip itself explains no other
+            if n < TIMES or made == INDEXED:
+                break
+            if any(may_be_slip(n, self.stems[t], SHORT_SHARE if len(s) <= SHORT else SHARE) for t in self.beside(s)):
+                continue
+            made += 1
+            for f in forms(s):
+                if f not in self.form_stem:
+                    self.form_stem[f] = s
+                    for d in {f, *drops(f)}:
+                        self.near[d].add(f)
 
-    def options(self, w: str) -> list[str]:
-        """What a word may stand for, the likeliest first."""
-        s = stem(w)
-        if s in self.settled:
-            return [s]
+    def count(self, s: str) -> int:
+        return self.stems.get(s, self.other_stem)
+
+    def beside(self, w: str) -> set[str]:
+        """Stems with a form that is one slip away."""
+        return {self.form_stem[f] for d in {w, *drops(w)} for f in self.near.get(d, ()) if one_slip(w, f)} if len(w) > 2 else set()
+
+    def close(self, w: str) -> list[str]:
+        """Stems other than its own that a word may be a slip for, the most frequent first."""
         found = self.memo.get(w)
         if found is None:
-            close = {self.form_stem[f] for d in {w, *drops(w)} for f in self.near.get(d, ()) if one_slip(w, f)} if len(w) > 2 else set()
-            found = sorted(close, key=lambda x: (-self.settled[x], x)) or ["~" + s]
+            s = stem(w)
+            n = self.count(s)
+            found = sorted((t for t in self.beside(w) if t != s and may_be_slip(n, self.stems[t])), key=lambda x: (-self.stems[x], x))
             if len(self.memo) < 100_000:
                 self.memo[w] = found
         return found
 
+    def options(self, w: str) -> list[str]:
+        """Stems that a word may stand for on its own, the likeliest first."""
+        found = self.close(w)
+        if found and len(w) <= SHORT:
+            n = self.count(stem(w))
+            found = [t for t in found if may_be_slip(n, self.stems[t], SHORT_SHARE)]
+        return found or [stem(w)]
+
     def parts(self, w: str) -> list[list[str]]:
-        """Options of a word, or the two settled words it is made of when the space between them was lost or mistyped."""
+        """Options of a word, or the two words it is made of when the space between them was lost or mistyped."""
         whole = self.options(w)
-        if whole[0][0] == "~" and len(w) > 5:
+        s = stem(w)
+        if whole == [s] and len(w) > 5:
             for i in range(2, len(w) - 1):
                 for j in (i, i + 1):
-                    if stem(w[:i]) in self.settled and stem(w[j:]) in self.settled:
-                        return [[stem(w[:i])], [stem(w[j:])]]
+                    a, b = stem(w[:i]), stem(w[j:])
+                    both = self.names.get(f"{a} {b}", 0)
+                    if both and may_be_slip(self.count(s), both):
+                        return [[a], [b]]
         return [whole]
 
     def name(self, raw: str | None) -> str | None:
@@ -130,9 +167,17 @@ class Namer:
         if words is None:
             return None
         options = [o for w in words for o in self.parts(w)]
-        if len(options) > 1 and options[0][0][0] == "~" and any(one_slip(words[0], a) for a in ARTICLES) and not any(o[0][0] == "~" for o in options[1:]):
-            options = options[1:]  # a slip in the article
+        if len(options) > 1 and any(one_slip(words[0], a) for a in ARTICLES):
+            rest, whole = " ".join(o[0] for o in options[1:]), " ".join(o[0] for o in options)
+            if may_be_slip(self.names.get(whole, self.other_name), self.names.get(rest, 0)):
+                options = options[1:]  # a slip in the article
         plain = " ".join(o[0] for o in options)
+        if len(options) == len(words) and 1 < len(words) <= 6:  # short words that the other words of the name vouch for
+            n = self.names.get(plain, self.other_name)
+            loose = [" ".join([*(o[0] for o in options[:i]), t, *(o[0] for o in options[i + 1:])]) for i, w in enumerate(words) if options[i] == [stem(w)] for t in self.close(w)]
+            vouched = [c for c in loose if may_be_slip(n, self.names.get(c, 0))]
+            if vouched:
+                return max(vouched, key=lambda c: (self.names[c], c))
         if plain not in self.names and any(len(o) > 1 for o in options) and len(options) <= 6:
             known = [c for c in (" ".join(p) for p in product(*[o[:4] for o in options])) if c in self.names]
             if known:
