@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: An entity is huge beyond this many spans ...
-HUGE_MIN = 20_000
-#: ... or beyond this share of all rows if that is more; so at most HUGE_PARTS entities are huge.
-HUGE_PARTS = 1_000
-#: Time shards of a huge entity.
-SHARDS = 64
+#: Rows of an entity from which on it is huge, and of each of its time shards: the size of a task does not grow with the data.
+SHARD_ROWS = 20_000
+#: Borders between time shards, at most, that are broadcast (some 40 MB); only beyond so many do shards grow.
+MOST_BORDERS = 4_000_000
 
 
 def to_millis(seconds: Column) -> Column:
@@ -27,28 +25,34 @@ def to_millis(seconds: Column) -> Column:
     return F.when(ok, F.round(seconds * 1000.0).cast("bigint"))
 
 
+def shard_rows(total: int, least: int = SHARD_ROWS) -> int:
+    """Rows of a time shard: ``least`` up to tens of billions of rows in all."""
+    return max(least, 2 * total // MOST_BORDERS)
+
+
 def huge_entities(spans: DataFrame, keys: list[str], total: int, start: str = "s_ms",
-                  huge_min: int = HUGE_MIN, shards: int = SHARDS) -> DataFrame | None:
+                  huge_min: int = SHARD_ROWS, shards: int | None = None) -> DataFrame | None:
     """``keys, cuts``: inner shard borders of every huge entity, or None if there is none.
 
-    At most ``HUGE_PARTS`` entities can hold more than ``total / HUGE_PARTS`` rows, and each has
-    fewer than ``shards`` borders, so the relation has a proven bound and may be broadcast.
+    An entity of more than ``shard_rows`` rows is huge and gets a power of two of shards of about half to all of
+    that many rows (or ``shards``, if given).  All together have at most ``2 * total / shard_rows`` borders, and so many
+    are never more than ``MOST_BORDERS``: the relation has a proven bound and may be broadcast.
     """
-    limit = max(huge_min, total // HUGE_PARTS)
-    hot = spans.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys).collect()
+    rows = shard_rows(total, huge_min)
+    hot = spans.groupBy(*keys).count().filter(F.col("count") > rows).collect()
     if not hot:
         return None
     spark = spans.sparkSession
     schema = spans.select(*keys).schema
-    few = spark.createDataFrame([tuple(r) for r in hot], schema)
-    at = [i / shards for i in range(1, shards)]
-    here = spans.alias("a").join(F.broadcast(few.alias("b")), null_safe("a", "b", keys)).select("a.*")
-    cuts = (
-        here.groupBy(*keys)
-        .agg(F.percentile_approx(start, at, 10_000).alias("cuts"))
-        .withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
-        .collect()
-    )
+    classes: dict[int, list[tuple]] = {}
+    for r in hot:
+        classes.setdefault(shards or 1 << ((r["count"] - 1) // rows).bit_length(), []).append(tuple(r)[: len(keys)])
+    cuts = []
+    for n, members in classes.items():  # a pass for each power of two
+        few = spark.createDataFrame(members, schema)
+        here = spans.alias("a").join(F.broadcast(few.alias("b")), null_safe("a", "b", keys)).select("a.*")
+        at = F.percentile_approx(start, [i / n for i in range(1, n)], max(10_000, 20 * n))
+        cuts += here.groupBy(*keys).agg(at.alias("cuts")).withColumn("cuts", F.array_sort(F.array_distinct("cuts"))).collect()
     return spark.createDataFrame([tuple(r) for r in cuts], f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, cuts array<bigint>")
 
 
@@ -61,12 +65,19 @@ def null_safe(left: str, right: str, keys: list[str]) -> Column:
 
 
 def shard_of(value: Column, cuts: Column) -> Column:
-    """Number of borders at or below ``value``."""
-    return F.size(F.filter(cuts, lambda c: c <= value))
+    """Number of borders at or below ``value``, found by halving; null without borders."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(cuts, mid) <= value
+        return F.when(s["lo"] < s["hi"], F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve, lambda s: s["lo"])
+    return F.when(F.size(cuts) == 0, 0).otherwise(found)
 
 
 def merge_intervals(spans: DataFrame, keys: list[str], total: int | None = None, max_gap_ms: int = 3_600_000,
-                    huge_min: int = HUGE_MIN, shards: int = SHARDS) -> DataFrame:
+                    huge_min: int = SHARD_ROWS, shards: int | None = None) -> DataFrame:
     """Continuous periods of every entity and the gaps between consecutive periods.
 
     ``spans`` has ``keys``, ``s_ms`` and ``e_ms`` (BIGINT); other columns are ignored.  Rows with
@@ -94,14 +105,13 @@ def merge_intervals(spans: DataFrame, keys: list[str], total: int | None = None,
         rest = marked.filter(F.col("cuts").isNull()).select(
             *own, "s_ms", "e_ms", F.lit(-1).alias("shard"), F.lit(lowest).alias("lo"), F.lit(highest).alias("hi"))
         # equal starts are folded before the shuffle, so a crowd of them never meets in one shard
-        hot = marked.filter(F.col("cuts").isNotNull()).groupBy(*own, "s_ms").agg(
-            F.max("e_ms").alias("e_ms"), F.first("cuts").alias("cuts"))
-        hot = hot.withColumn("shard", F.explode(F.sequence(
-            shard_of(F.col("s_ms"), F.col("cuts")), shard_of(F.col("e_ms") - 1, F.col("cuts")))))
-        lo = F.when(F.col("shard") == 0, F.lit(lowest)).otherwise(F.try_element_at("cuts", F.col("shard")))
-        hi = F.coalesce(F.try_element_at("cuts", F.col("shard") + 1), F.lit(highest))
-        hot = hot.select(*own, F.greatest("s_ms", lo).alias("s_ms"), F.least("e_ms", hi).alias("e_ms"), "shard",
-                         lo.alias("lo"), hi.alias("hi"))
+        hot = marked.filter(F.col("cuts").isNotNull()).select(*own, "s_ms", "e_ms", shard_of(F.col("s_ms"), F.col("cuts")).alias("from"), shard_of(F.col("e_ms") - 1, F.col("cuts")).alias("to"))
+        hot = hot.groupBy(*own, "s_ms").agg(F.max("e_ms").alias("e_ms"), F.first("from").alias("from"), F.max("to").alias("to"))
+        hot = hot.withColumn("shard", F.explode(F.sequence("from", "to")))
+        ends = F.concat(F.array(F.lit(lowest)), F.col("cuts"), F.array(F.lit(highest)))
+        borders = huge.select(*own, F.posexplode(F.transform(F.slice(ends, 2, F.size(ends) - 1), lambda e, i: F.struct(F.get(ends, i).alias("lo"), e.alias("hi")))).alias("shard", "b"))
+        hot = hot.alias("a").join(F.broadcast(borders.alias("b")), null_safe("a", "b", [*own, "shard"])).select(*[F.col(f"a.{o}") for o in own], "s_ms", "e_ms", "a.shard", "b.b.lo", "b.b.hi")
+        hot = hot.select(*own, F.greatest("s_ms", "lo").alias("s_ms"), F.least("e_ms", "hi").alias("e_ms"), "shard", "lo", "hi")
         pieces = rest.unionByName(hot)
     part = [*own, "shard"]
     w = Window.partitionBy(*part).orderBy("s_ms", "e_ms")
@@ -129,7 +139,7 @@ def merge_intervals(spans: DataFrame, keys: list[str], total: int | None = None,
     local = cut(local)
     touches = (F.col("shard") >= 0) & ((F.col("s") == F.col("lo")) | (F.col("e") == F.col("hi")))
     inner = rows(~touches, local)
-    # borders of the shards: at most two periods of each, so at most 2 * shards rows an entity
+    # borders of the shards: at most two periods of each
     edge = local.filter((F.col("shard") >= 0) & (touches | F.col("before").isNull() | F.col("last")))
     u = Window.partitionBy(*own).orderBy("s", "e")
     chained = (

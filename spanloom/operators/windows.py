@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .intervals import HUGE_MIN, SHARDS, huge_entities, merge_intervals, null_safe, shard_of, to_millis
+from .intervals import SHARD_ROWS, huge_entities, merge_intervals, null_safe, shard_of, to_millis
 
 EPS = 1e-6
 
@@ -45,7 +45,7 @@ def frame_windows(df: DataFrame, values: str, size: int, stride: int) -> DataFra
     return r.withColumn("window", F.slice("__p", F.col("start") + 1, F.lit(size))).drop("__p")
 
 
-def islands(df: DataFrame, keys: list[str], position: str, gap: int, total: int | None = None, huge_min: int = HUGE_MIN, shards: int = SHARDS) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], position: str, gap: int, total: int | None = None, huge_min: int = SHARD_ROWS, shards: int | None = None) -> DataFrame:
     """Runs of distinct integer positions whose neighbours are at most ``gap`` apart: ``keys, first, last, n``.
 
     Null positions do not count and repeated ones count once.  A huge entity is cut into shards at

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from spanloom.operators.intervals import merge_intervals
+from spanloom.operators.intervals import SHARD_ROWS, huge_entities, merge_intervals, shard_of, shard_rows
 
 SCHEMA = "k string, s_ms bigint, e_ms bigint, kind string, shard int"
 
@@ -46,3 +48,22 @@ def test_matches_brute_force_at_both_levels(spark, seed, huge_min, spread):
 def test_empty_and_useless_rows(spark):
     for rows in ([], [("a", None, 4, "", 1), ("a", 5, 5, "", 1), ("a", 6, 2, "", 1)]):
         assert merge_intervals(spark.createDataFrame(rows, SCHEMA), ["k"]).count() == 0
+
+
+def test_tasks_do_not_grow_with_the_data(spark):
+    assert shard_rows(10**6) == shard_rows(10**8) == shard_rows(10**10) == SHARD_ROWS
+    most = []
+    for n in (400, 40_000):  # a hundred times the rows, one entity holding half of them
+        df = spark.range(n).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("e"), (F.col("id") % 97).cast("string"))).alias("k"), F.col("id").alias("s_ms"))
+        cuts = huge_entities(df, ["k"], n, huge_min=50)
+        hot = df.join(cuts.filter("k = 'hot'"), "k").groupBy(shard_of(F.col("s_ms"), F.col("cuts")).alias("shard")).count()
+        most.append(hot.agg(F.max("count")).first()[0])
+    assert max(most) <= 2 * 50 and len(hot.collect()) >= 40_000 / 2 / 50
+
+
+def test_shard_of_counts_borders(spark):
+    r = np.random.default_rng(0)
+    rows = [(int(v), sorted({int(x) for x in r.integers(0, 50, n)})) for n in range(12) for v in r.integers(-2, 53, 20)]
+    df = spark.createDataFrame(rows, "v bigint, cuts array<bigint>")
+    got = df.select("v", "cuts", shard_of(F.col("v"), F.col("cuts")).alias("k")).collect()
+    assert all(x["k"] == sum(c <= x["v"] for c in x["cuts"]) for x in got)
