@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: A vertex whose set is larger than this, and than 1 / HOT_PARTS of all entries, is spread over SALTS tasks.
+#: A set of more entries than this, and than 1 / HOT_PARTS of all, is dealt into parts of about that size.
 HOT_MIN = 100_000
-HOT_PARTS = 200
-SALTS = 64
+HOT_PARTS = 20_000
 MAX_ROUNDS = 60
 
 
@@ -25,7 +24,8 @@ def connected_groups(links: DataFrame, a: str, b: str, vertex: str = "vertex", g
 
     Each round, a vertex sends its set to the set's minimum and that minimum to all members.  Sets
     are kept as (vertex, member) rows, so no set is ever one record; a vertex with a huge set is
-    salted by member.  At most ``HOT_PARTS`` vertices can be that hot, so their list is bounded.
+    dealt by member into parts, as many as its size needs.  At most ``HOT_PARTS`` vertices can be that hot, so their list
+    is bounded and may be broadcast.
     Rounds are cut by checkpoints.  Raises if ``max_rounds`` do not suffice.
     """
     ends = links.select(F.col(a).alias("v"), F.col(b).alias("u")).filter(F.col("v").isNotNull() & F.col("u").isNotNull() & (F.col("v") != F.col("u")))
@@ -34,22 +34,21 @@ def connected_groups(links: DataFrame, a: str, b: str, vertex: str = "vertex", g
         F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct(F.col("u").alias("v"), F.col("u").alias("u")))
     sets = cut(ends.select(F.explode(pair).alias("p")).select("p.*").distinct())
     before: tuple | None = None
-    limit = max(hot_min, sets.count() // HOT_PARTS)  # so at most HOT_PARTS vertices are hot
     for _ in range(max_rounds):
-        least = sets.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(20,0)")).alias("h"))
+        least = cut(sets.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(20,0)")).alias("h")))
         seen = least.agg(
             F.count("*").alias("vertices"), F.sum("n").alias("entries"), F.expr("bit_xor(xxhash64(v, m, n, h))").alias("x"),
-            F.sum(F.expr("hash(v, m, n, h)").cast("bigint")).alias("s"), F.collect_list(F.when(F.col("n") > limit, F.col("v"))).alias("hot")).first()
+            F.sum(F.expr("hash(v, m, n, h)").cast("bigint")).alias("s"), F.max("n").alias("most")).first()
         if (state := tuple(seen)[:4]) == before or not seen["vertices"]:
             return least.select(F.col("v").alias(vertex), F.col("m").alias(group))
         before, limit = state, max(hot_min, seen["entries"] // HOT_PARTS)
-        hot = seen["hot"]
-        here, there = sets, least.select("v", "m")
-        if hot:
-            is_hot = F.col("v").isin(hot)
-            here = here.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0))
-            there = there.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        met = here.join(there, ["v", "salt"] if hot else ["v"])
+        here, there, on = sets, least.select("v", "m"), ["v"]
+        if seen["most"] > limit:
+            hot = F.broadcast(least.filter(F.col("n") > limit).select("v", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+            here = here.join(hot, "v", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))).drop("parts")
+            there = there.join(hot, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            on = ["v", "part"]
+        met = here.join(there, on)
         sent = F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
         sets = cut(met.select(F.explode(sent).alias("p")).select("p.*").distinct())
     raise RuntimeError(f"groups were not stable after {max_rounds} rounds")

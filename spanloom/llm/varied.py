@@ -14,7 +14,8 @@ from ..runtime import cut
 from .vectors import by_kind, matrix, unit
 
 TABLES = 16
-BITS = 12
+#: Sign bits of a bucket: so many that a kind's rows fall on average FILL into one, within these bounds.
+LEAST_BITS, MOST_BITS, FILL = 12, 19, 16
 #: Counters held by the driver and broadcast: kinds * TABLES * 2^BITS may not exceed this.
 MAX_COUNTERS = 20_000_000
 
@@ -25,13 +26,21 @@ def planes(kind: str, width: int, tables: int, bits: int, seed: int) -> np.ndarr
     return rng.standard_normal((width, tables * bits)).astype(np.float32)
 
 
+def bits_for(rows: int, kinds: int, tables: int = TABLES) -> int:
+    """Bits of a bucket; they grow with the logarithm of the largest kind's rows as far as the counters allow."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (max(rows, 1) // FILL).bit_length() - 1))
+    while bits > LEAST_BITS and kinds * (tables << bits) > MAX_COUNTERS:
+        bits -= 1
+    return bits
+
+
 def codes(x: np.ndarray, p: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """Bucket of every row in every table."""
     signs = (x @ p > 0).reshape(len(x), tables, bits)
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def bucket_counts(vecs: DataFrame, tables: int = TABLES, bits: int = BITS, seed: int = 7) -> dict[str, np.ndarray]:
+def bucket_counts(vecs: DataFrame, tables: int = TABLES, bits: int = LEAST_BITS, seed: int = 7) -> dict[str, np.ndarray]:
     """Rows per bucket of every table and kind, over all rows; its size does not depend on their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +71,7 @@ def bucket_counts(vecs: DataFrame, tables: int = TABLES, bits: int = BITS, seed:
     return out
 
 
-def choose_varied(vecs: DataFrame, size: int, tables: int = TABLES, bits: int = BITS, seed: int = 7) -> DataFrame:
+def choose_varied(vecs: DataFrame, size: int, tables: int = TABLES, bits: int | None = None, seed: int = 7) -> DataFrame:
     """``size`` ids in order of choice, each with the gain it adds.
 
     ``vecs`` has ``id, kind, vec`` (see ``usable_vectors``).  A row's density is the mean number of
@@ -72,12 +81,15 @@ def choose_varied(vecs: DataFrame, size: int, tables: int = TABLES, bits: int =
     as zero).  With fewer rows than ``size`` all are picked; without rows the result is empty.
 
     Two passes over the vectors and a top-``size``; the only data on the driver are bucket counts,
-    which do not grow with the rows, and the picks themselves.
+    of at most ``MAX_COUNTERS`` buckets, and the picks themselves.
 
     Returns ``rank`` (from 1), ``id``, ``gain``, ``coverage`` (of all rows' total).
     """
     spark = vecs.sparkSession
     vecs = cut(vecs)
+    if bits is None:
+        sizes = [x["count"] for x in vecs.groupBy("kind").count().collect()]  # one row a kind
+        bits = bits_for(max(sizes, default=0), len(sizes), tables)
     counts = spark.sparkContext.broadcast(bucket_counts(vecs, tables, bits, seed))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
