@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import Settings
-from ..registry import APPEARANCE, Encoder
-from ..sources.decode import Decoder, Request, even_places, ffmpeg_frames
+from ..registry import APPEARANCE, TASK, Encoder
+from ..runtime import spread
+from ..sources.decode import Decoder, Request, even_places, ffmpeg_frames, sample_keyframes, sample_remote
 from ..sources.files import segment_id
 from .kernels import dominant_period, flow_descriptor, perceptual_hash, pool_motion, rhythm_spectrum, smooth
 
@@ -147,9 +148,42 @@ def motion_tier(blocks: Iterator[np.ndarray], fps: float, max_seq: int, smooth_s
     return {"motion_pooled": pool_motion(d), "motion_seq": seq[even_places(len(seq), max_seq)], "rhythm": rhythm_spectrum(energy, fps), "motion_energy": d[:, 128], "period_s": period, "period_strength": strength, "ego_magnitude": float(d[:, 129].mean())}
 
 
-def build_signatures(segments: DataFrame, settings: Settings | None = None, decoder: Decoder = ffmpeg_frames, size: tuple[int, int] = (256, 256)) -> DataFrame:
+TASK.register("flow", lambda: Encoder("flow", 262, motion_tier))
+
+
+def environment_signatures(recordings: DataFrame, k: int = 64, mode: str = "keyframes", settings: Settings | None = None, decoder: Decoder | None = None, size: tuple[int, int] = (256, 256)) -> DataFrame:
+    """``video_id, app_frames, app_mean, app_var, app_encoder, error`` of whole recordings ``video_id, path, duration_s``.
+
+    ``mode`` is ``keyframes`` (at most k of a file) or ``remote`` (k single reads of a remote file).  One recording is one
+    task's row; a failing one keeps its row, with the reason in ``error``.
+    """
+    s = settings or Settings()
+    take = {"keyframes": sample_keyframes, "remote": sample_remote}[mode]
+    extra = {} if decoder is None else {"decoder": decoder}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = APPEARANCE.get(s.appearance.encoder)
+        for b in batches:
+            rows = []
+            for i, path, d in zip(b["video_id"], b["path"], b["duration_s"]):
+                try:
+                    frames, _ = take(path, float(d), *size, k, **extra)
+                    w = static_weights(frames, s.appearance.static_percentile, s.appearance.static_floor, s.appearance.bottom_crop) if e.takes_weights and len(frames) >= 4 else None
+                    v = e.encode(frames, w) if e.takes_weights else e.encode(frames)
+                    rows.append((i, v.tolist(), v.mean(axis=0).tolist(), v.var(axis=0).tolist(), e.name, None))
+                except Exception as x:  # noqa: BLE001 - one bad file must not end the job
+                    rows.append((i, None, None, None, e.name, f"{type(x).__name__}: {x}"[:300]))
+            names = ("video_id", "app_frames", "app_mean", "app_var", "app_encoder", "error")
+            yield pd.DataFrame({c: pd.Series([r[j] for r in rows], dtype=object) for j, c in enumerate(names)})
+
+    work = spread(recordings.select("video_id", "path", "duration_s"))
+    return work.mapInPandas(run, "video_id string, app_frames array<array<float>>, app_mean array<float>, app_var array<float>, app_encoder string, error string")
+
+
+def build_signatures(segments: DataFrame, settings: Settings | None = None, decoder: Decoder = ffmpeg_frames, size: tuple[int, int] = (256, 256), task_encoder: str = "flow") -> DataFrame:
     """One signature per row of ``segments`` (``video_id, path, t0, t1``); a failing one keeps its row, with ``error``.
 
+    The motion tier is that of a registered ``task_encoder``: a function of grey blocks, rate, length and smoothing.
     Every tier decodes for itself at its own rate and size; frames never leave their task.
     """
     s = settings or Settings()
@@ -162,7 +196,8 @@ def build_signatures(segments: DataFrame, settings: Settings | None = None, deco
         v = e.encode(frames, w) if e.takes_weights else e.encode(frames)
         out = {"app_frames": v, "app_mean": v.mean(axis=0), "app_var": v.var(axis=0)}
         if s.motion.enabled:
-            out |= motion_tier((f for f, _ in decoder(Request(path, t0, t1, s.motion.fps, None, *MOTION_SIZE, True))), s.motion.fps, s.motion.max_seq, s.motion.smooth_s)
+            tier = TASK.get(task_encoder).encode
+            out |= tier((f for f, _ in decoder(Request(path, t0, t1, s.motion.fps, None, *MOTION_SIZE, True))), s.motion.fps, s.motion.max_seq, s.motion.smooth_s)
         if s.hashing.enabled:
             hashed = [(perceptual_hash(p[..., 0]), float(t)) for f, ts in decoder(Request(path, t0, t1, s.hashing.fps, None, HASH_SIDE, HASH_SIDE, True)) for p, t in zip(f, ts)]
             out |= {"phash": [h for h, _ in hashed], "phash_ts": [t for _, t in hashed]}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import clean_token
+from .kernels import unit_rows
 
 #: Words that carry no task.
 STOP = """a an the is are was were be been being this that these those there
@@ -106,3 +111,37 @@ def dominant(profile: DataFrame, key: str) -> DataFrame:
 def bag_of_words(text: Column) -> Column:
     """Words of a to z of more than three letters."""
     return F.coalesce(F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)")), lambda w: F.length(w) > 3), F.array().cast("array<string>"))
+
+
+def embedded_captions(pairs: DataFrame, captions: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """``a, b, caption_chamfer``: mean best cosine, both ways, of the embedded distinct captions of pairs ``a, b``.
+
+    ``embed`` maps texts to the rows of a matrix; it runs on executors, once for each distinct caption.  Null and empty captions
+    do not count; a pair with a side without captions scores 0.
+    """
+    kind = dict(captions.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"t": b["t"], "v": list(unit_rows(np.asarray(embed(b["t"].tolist()), np.float64)))})
+
+    said = captions.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    vectors = said.select("t").distinct().mapInPandas(run, "t string, v array<double>")
+    counted = said.groupBy("k", "t").count().join(vectors, "t")
+    sets = counted.groupBy("k").agg(F.collect_list(F.struct("v", F.col("count").alias("n"))).alias("s"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x, y in zip(b["x"], b["y"]):
+                value = 0.0
+                if x is not None and y is not None:
+                    (p, n), (q, m) = ((np.stack([i["v"] for i in s]), np.array([i["n"] for i in s], float)) for s in (x, y))
+                    c = p @ q.T
+                    value = 0.5 * (np.average(c.max(axis=1), weights=n) + np.average(c.max(axis=0), weights=m))
+                out.append(float(value))
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "caption_chamfer": pd.Series(out, index=b.index, dtype="float64")})
+
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a", "left").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b", "left")
+    return both.select("a", "b", "x", "y").mapInPandas(score, f"a {kind}, b {kind}, caption_chamfer double")

@@ -9,6 +9,7 @@ from ..functions import vec as V
 from ..functions.vec import r6
 from ..operators import calibrate as C
 from ..operators import decide as D
+from ..operators import pairscore as PS
 from ..operators.features import TASK_WEIGHTS, fuse
 from ..operators.kernels import pair_env_scores
 from ..operators.ranks import exact_grid
@@ -46,6 +47,24 @@ def null_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_null(spark, sf_dir).select("a", "b", r6(z).alias("z"))
 
 
+def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = distinct_verdicts(spark, sf_dir, "a", "b", F.col("raw.env_raw").alias("env_raw"), F.col("raw.task_raw").alias("task_raw"))
+    v = with_null_model(spark, sf_dir, v, "env_raw", "quantiles").withColumnRenamed("quantiles", "env_grid")
+    v = with_null_model(spark, sf_dir, v, "task_raw", "quantiles").withColumnRenamed("quantiles", "task_grid")
+    return PS.similarity(v, F.col("env_grid"), F.col("task_grid"))
+
+
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of every compared pair in its place, its task and both, against the null models of its encoder."""
+    return _similarities(spark, sf_dir).select("a", "b", *[r6(F.col(c)).alias(c) for c in ("env", "task", "fused")])
+
+
+def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred most similar pairs by place, the best score of a repeated pair counting."""
+    best = _similarities(spark, sf_dir).groupBy("a", "b").agg(F.round(F.max("env"), 6).alias("env")).filter("env IS NOT NULL")
+    return best.orderBy(F.desc("env"), "a", "b").limit(100)
+
+
 def one_sided_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where pairs of one session lie among pairs of different industries."""
     v = distinct_verdicts(spark, sf_dir, "a", "b", "stratum", "raw.env_raw")
@@ -143,6 +162,9 @@ def window_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = "[" + ", ".join(repr(i / 200) for i in range(201)) + "]"
 _LONG = " UNION ALL ".join(f"SELECT '{m}' AS metric, raw.{m} AS value FROM verd" for m in METRICS)
 _LAB = "lab AS (SELECT * FROM (SELECT DISTINCT video_a, video_b, run_at, task_sim, same_job_family FROM task_pairs) WHERE task_sim IS NOT NULL AND NOT isnan(task_sim) AND same_job_family IS NOT NULL)"
+_PLACE = lambda x, q: f"CASE WHEN {x} IS NULL OR isnan({x}) THEN NULL WHEN {q} IS NULL THEN ({x} + 1) / 2 WHEN {x} < {q}[1] THEN 0.0 WHEN {x} >= {q}[201] THEN 1.0 ELSE (len([g for g in {q} if g <= {x}]) - 1 + ({x} - {q}[len([g for g in {q} if g <= {x}])]) / ({q}[len([g for g in {q} if g <= {x}]) + 1] - {q}[len([g for g in {q} if g <= {x}])])) / 200 END"
+_SIM = f"""sims AS (SELECT v.a, v.b, {_PLACE('v.raw.env_raw', 'v.q')} AS env, {_PLACE('v.raw.task_raw', 'n.quantiles')} AS task FROM nulls v LEFT JOIN seg x ON v.a = x.segment_id LEFT JOIN seg y ON v.b = y.segment_id
+  LEFT JOIN null_models n ON n.metric = 'task_raw' AND n.encoder = x.app_encoder AND x.app_encoder = y.app_encoder)"""
 _POS = "CAST(same_job_family AS INTEGER)"
 _SWEEP = f"""{_LAB}, cnt AS (SELECT task_sim AS t, sum({_POS}) AS p, sum(1 - {_POS}) AS n FROM lab GROUP BY 1),
 acc AS (SELECT t, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pp FROM cnt WINDOW w AS (ORDER BY t DESC)),
@@ -151,7 +173,7 @@ sweep AS (SELECT t AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS
 _HALF = lambda x: f"(SELECT segment_id, {x} AS fr FROM seg WHERE len(app_frames) >= 4)"
 
 QUERIES = {
-    f.__name__: f for f in (null_quantiles, null_percentile, null_zscore, one_sided_percentile, auc_tied, rank_auc, f1_sweep, best_f1_cut, axis_separation, fit_weights, stratum_summary,
+    f.__name__: f for f in (similarity_pairs, top_pairs, null_quantiles, null_percentile, null_zscore, one_sided_percentile, auc_tied, rank_auc, f1_sweep, best_f1_cut, axis_separation, fit_weights, stratum_summary,
                             within_group_corr, split_half, fused_task, label_shares, distinct_recordings, window_rollup)
 }
 ORACLES = {
@@ -160,6 +182,8 @@ ORACLES = {
     "null_percentile": f"""WITH {VERD}, {SEG}, {NULLS}, y AS (SELECT a, b, CASE WHEN NOT isnan(raw.env_raw) THEN raw.env_raw END AS v, q FROM nulls), x AS (SELECT *, CASE WHEN v IS NOT NULL AND q IS NOT NULL THEN len([g for g in q if g <= v]) END AS k FROM y)
       SELECT a, b, v AS env_raw, CASE WHEN k = 0 THEN 0.0 WHEN k >= len(q) THEN 100.0 WHEN k IS NOT NULL THEN round((k - 1 + (v - q[k]) / (q[k + 1] - q[k])) / 200 * 100, 6) END AS percentile FROM x""",
     "null_zscore": f"WITH {VERD}, {SEG}, {NULLS} SELECT a, b, CASE WHEN std_value > 0 AND NOT isnan(raw.env_raw) THEN round((raw.env_raw - mean_value) / std_value, 6) + 0.0 END AS z FROM nulls",
+    "similarity_pairs": f"WITH {VERD}, {SEG}, {NULLS}, {_SIM} SELECT a, b, round(env, 6) + 0.0 AS env, round(task, 6) + 0.0 AS task, round((env + task) / 2, 6) + 0.0 AS fused FROM sims",
+    "top_pairs": f"WITH {VERD}, {SEG}, {NULLS}, {_SIM} SELECT a, b, round(max(env), 6) AS env FROM sims GROUP BY a, b HAVING max(env) IS NOT NULL ORDER BY 3 DESC, a, b LIMIT 100",
     "one_sided_percentile": f"""WITH {VERD}, v AS (SELECT a, b, stratum, raw.env_raw AS x FROM verd), n AS (SELECT x, count(*) AS c FROM v WHERE stratum = 'diff_industry' AND x IS NOT NULL AND NOT isnan(x) GROUP BY x),
       cum AS (SELECT x, sum(c) OVER (ORDER BY x) AS upto, sum(c) OVER () AS total FROM n), p AS (SELECT a, b, CASE WHEN s.x IS NOT NULL AND NOT isnan(s.x) THEN 100.0 * coalesce((SELECT max(upto) FROM cum WHERE cum.x < s.x), 0) / (SELECT max(total) FROM cum) END AS pc
         FROM v s WHERE stratum LIKE 'same_session%')

@@ -6,14 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vec as V
 from ..functions.vec import r6
 from ..operators import cadence as CAD
 from ..operators import kernels as K
 from ..operators import report as R
 from ..operators import selection as SEL
 from ..operators.features import attach_pair
-from ..operators.pairs import directed
+from ..operators.pairs import blocked_pairs, directed
 from ..runtime import table
+from ..streaming.ingest import new_only
 from .views import VERD, distinct_verdicts, latest_segments
 from .window_queries import _SERIES, _arrays, _hours
 
@@ -137,6 +139,18 @@ def rhythm_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_type", "band", r6(F.col("share")).alias("share"))
 
 
+def rhythm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of the rhythms of every two event types."""
+    r = rhythm_spectrum(spark, sf_dir).groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("band", "share"))).alias("s")).select("event_type", F.col("s.share").alias("v"))
+    met = attach_pair(blocked_pairs(r, "event_type", None).select("a", "b"), r, "event_type")
+    return met.select("a", "b", r6(V.hellinger_cosine(F.col("v_a"), F.col("v_b"))).alias("rhythm_cos"))
+
+
+def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that no signature has been made of yet."""
+    return new_only(table(spark, sf_dir, "recordings").select("video_id", "site"), table(spark, sf_dir, "signatures"), "video_id")
+
+
 def cadence_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cadence of paths made of three hourly readings of every event type."""
     h = _hours(spark, sf_dir).groupBy("event_type", "hour").agg(F.sum("value").alias("x"), F.count("*").cast("double").alias("y"), F.avg("value").alias("z"))
@@ -159,7 +173,7 @@ _FL = lambda n: " ".join(  # noqa: E731 - one round of the greedy choice after a
 
 QUERIES = {
     f.__name__: f for f in (knn_search, gate, marginal_gain, facility_location, coverage_curve, selection_knee, segment_rows, recording_pairs, session_summary, index_kpis, dtw_pairs,
-                            autocorr_period, rhythm_spectrum, cadence_analysis)
+                            autocorr_period, rhythm_spectrum, rhythm_pairs, unprocessed, cadence_analysis)
 }
 ORACLES = {
     "knn_search": f"""WITH {_Q}, s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.v, c.v) / (q.n * c.n), 12) AS s FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
@@ -199,3 +213,6 @@ ORACLES["rhythm_spectrum"] = f"""WITH {_SERIES}, x AS (SELECT event_type, len(x)
   b AS (SELECT event_type, len([e for e in {_EDGES} if e <= f]) - 1 AS band, p FROM p WHERE f >= {_EDGES[0]!r} AND f < {_EDGES[-1]!r}),
   s AS (SELECT event_type, band, sum(p) AS p FROM b GROUP BY ALL), g AS (SELECT event_type, unnest(range(0, 24)) AS band FROM arrs)
   SELECT event_type, CAST(band AS INTEGER) AS band, round(coalesce(p, 0) / sum(coalesce(p, 0)) OVER (PARTITION BY event_type), 6) + 0.0 AS share FROM g LEFT JOIN s USING (event_type, band)"""
+ORACLES["rhythm_pairs"] = f"""WITH r AS ({ORACLES['rhythm_spectrum']}) SELECT p.event_type AS a, q.event_type AS b,
+  round(sum(sqrt(p.share) * sqrt(q.share)) / ((sqrt(sum(p.share)) + 1e-8) * (sqrt(sum(q.share)) + 1e-8)), 6) + 0.0 AS rhythm_cos FROM r p JOIN r q ON p.band = q.band AND p.event_type < q.event_type GROUP BY ALL"""
+ORACLES["unprocessed"] = "SELECT video_id, site FROM recordings r WHERE NOT EXISTS (SELECT 1 FROM signatures s WHERE s.video_id = r.video_id)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vec as V
 from ..functions.vec import r6
 from ..operators import features as FE
+from ..operators import pairscore as PS
 from ..runtime import table
 from .views import SEG, latest_segments
 
@@ -94,6 +95,16 @@ def period_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("a", "b", r6(V.period_agreement(z("period_s_a"), z("period_s_b"), z("period_strength_a"), z("period_strength_b"))).alias("agreement"))
 
 
+def episode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of one recording scored against each other, with the whitener and the null model of all recordings."""
+    s = latest_segments(spark, sf_dir, "video_id", "app_encoder", "app_frames").filter(F.size("app_frames") > 0)
+    rec = s.select("segment_id", "video_id")
+    compared = table(spark, sf_dir, "verdicts").select("a", "b").distinct()
+    far = FE.attach_pair(compared, rec, "segment_id").filter("video_id_a <> video_id_b").select("a", "b")
+    r = PS.episode_scores(s, far, "video_id")
+    return r.select(F.col("episode").alias("video_id"), "a", "b", *[r6(F.col(c)).alias(c) for c in ("env_cos", "env_chamfer", "env_bhat_sim", "env_raw")], F.round("env_percentile", 4).alias("env_percentile"))
+
+
 def hash_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", V.pack_bits(V.doubles(F.col("embedding"))).alias("word"))
@@ -122,7 +133,7 @@ white AS (SELECT app_encoder, dim, n, mu, greatest(sd, 1e-3, median(sd) OVER (PA
 QUERIES = {
     "vec_l2norm": vec_l2norm, "mean_var_pool": mean_var_pool, "whitener_stats": whitener_stats, "whitener_alternate": whitener_alternate, "vec_cosine_pairs": vec_cosine_pairs,
     "whitened_cosine": whitened_cosine, "env_scores": env_scores, "chamfer_pairs": chamfer_pairs, "bhattacharyya_pairs": bhattacharyya_pairs, "period_agreement": period_agreement,
-    "hash_pack": hash_pack, "even_subsample": even_subsample,
+    "hash_pack": hash_pack, "episode_scores": episode_scores, "even_subsample": even_subsample,
 }
 ORACLES = {
     "vec_l2norm": f"""WITH {SEG} SELECT segment_id, round(n, 6) + 0.0 AS norm, round(v[1] / (n + 1e-8), 6) + 0.0 AS first, round(n / (n + 1e-8), 6) + 0.0 AS unit_norm
@@ -153,3 +164,14 @@ ORACLES = {
     "even_subsample": f"""WITH {SEG} SELECT segment_id, CASE WHEN len(phash) <= 16 THEN phash ELSE [phash[CAST(round_even(i * (len(phash) - 1) / 15.0, 0) AS BIGINT) + 1] for i in range(0, 16)] END AS sample
       FROM seg WHERE phash IS NOT NULL""",
 }
+ORACLES["episode_scores"] = f"""WITH {SEG}, {_POOL}, {_WHITE}, w AS (SELECT app_encoder, list(mu ORDER BY dim) AS mu, list(sd ORDER BY dim) AS sd FROM white GROUP BY app_encoder),
+  z AS (SELECT p.*, s.video_id, [[(f[i]::DOUBLE - mu[i]) / sd[i] for i in range(1, len(mu) + 1)] for f in p.app_frames] AS zf, [(mean[i] - mu[i]) / sd[i] for i in range(1, len(mu) + 1)] AS zm FROM pooled p JOIN w USING (app_encoder) JOIN seg s USING (segment_id)),
+  y AS (SELECT * EXCLUDE (zf, zm), [[x / (sqrt(list_dot_product(f, f)) + 1e-8) for x in f] for f in zf] AS zf, [x / (sqrt(list_dot_product(zm, zm)) + 1e-8) for x in zm] AS zm FROM z),
+  v AS (SELECT *, [[x / (sqrt(list_dot_product(f, f)) + 1e-8) for x in f] for f in zf] AS u FROM y),
+  prs AS (SELECT p.segment_id AS a, q.segment_id AS b, true AS near FROM v p JOIN v q ON p.video_id = q.video_id AND p.segment_id < q.segment_id UNION ALL
+    SELECT a, b, false FROM (SELECT DISTINCT a, b FROM verdicts) JOIN v p ON a = p.segment_id JOIN v q ON b = q.segment_id WHERE p.video_id <> q.video_id),
+  s AS (SELECT a, b, near, p.video_id, {_COS('p.zm', 'q.zm')} AS c, {_CHAMFER} AS h, {_BHAT} AS t FROM prs JOIN v p ON a = p.segment_id JOIN v q ON b = q.segment_id WHERE p.app_encoder = q.app_encoder),
+  r AS (SELECT *, 0.5 * h + 0.35 * c + 0.15 * t AS raw FROM s), g AS (SELECT quantile_cont(raw, [{', '.join(repr(i / 200) for i in range(201))}]) AS q FROM r WHERE NOT near),
+  k AS (SELECT r.*, q, len([x for x in q if x <= raw]) AS k FROM r, g WHERE near)
+  SELECT video_id, a, b, round(c, 6) + 0.0 AS env_cos, round(h, 6) + 0.0 AS env_chamfer, round(t, 6) + 0.0 AS env_bhat_sim, round(raw, 6) + 0.0 AS env_raw,
+    CASE WHEN k = 0 THEN 0.0 WHEN k >= 201 THEN 100.0 ELSE round((k - 1 + (raw - q[k]) / (q[k + 1] - q[k])) / 200 * 100, 4) END AS env_percentile FROM k"""

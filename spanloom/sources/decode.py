@@ -78,6 +78,39 @@ def ffmpeg_frames(r: Request, tool: str = "ffmpeg", block: int = 64) -> Iterator
         raise ValueError(f"no frame came out of {r.path}")
 
 
+def ffmpeg_frame_at(r: Request, tool: str = "ffmpeg") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One frame at each of the request's times, every one found by a seek of its own, so little of a remote file is read."""
+    if shutil.which(tool) is None:
+        raise DecoderMissing(f"{tool} is not installed on this machine")
+    for t in r.times or ():
+        cmd = [tool, "-v", "error", "-ss", str(t), "-i", r.path, "-frames:v", "1", "-vf", f"scale={r.width}:{r.height}", "-f", "rawvideo", "-pix_fmt", "gray" if r.gray else "rgb24", "-"]
+        data = subprocess.run(cmd, capture_output=True, timeout=120).stdout
+        c = 1 if r.gray else 3
+        if len(data) == r.width * r.height * c:
+            yield np.frombuffer(data, np.uint8).reshape(1, r.height, r.width, c), np.array([t])
+
+
+def eager(decoder: Decoder, request: Request) -> tuple[np.ndarray, np.ndarray]:
+    """All frames of a request and their times; raises if there are none."""
+    blocks = list(decoder(request))
+    if not sum(len(f) for f, _ in blocks):
+        raise ValueError(f"no frame came out of {request.path}")
+    return np.concatenate([f for f, _ in blocks]), np.concatenate([t for _, t in blocks])
+
+
+def sample_keyframes(path: str, duration: float, width: int, height: int, k: int | None = None, decoder: Decoder = ffmpeg_frames) -> tuple[np.ndarray, np.ndarray]:
+    """The key frames of a file, thinned to k; their times are taken as evenly spaced over its duration."""
+    frames, _ = eager(decoder, Request(path, 0.0, None, None, None, width, height, keyframes=True))
+    at = np.arange(len(frames)) if k is None else even_places(len(frames), k)
+    return frames[at], keyframe_times(len(frames), duration, k)
+
+
+def sample_remote(path: str, duration: float, width: int, height: int, k: int, decoder: Decoder = ffmpeg_frame_at) -> tuple[np.ndarray, np.ndarray]:
+    """Single frames at k even times of a remote file, away from its first and last two seconds (or two percent)."""
+    lo, hi = min(2.0, duration * 0.02), max(duration - 2.0, duration * 0.98)
+    return eager(decoder, Request(path, times=tuple(np.linspace(lo, hi, k).tolist()), width=width, height=height))
+
+
 def probe(files: DataFrame, path: str = "path", tool: Callable[[str], dict] = probe_file) -> DataFrame:
     """Metadata of every file; a file that cannot be read keeps its row, with the reason in ``error``."""
     schema = "path string, duration_s double, width int, height int, fps double, n_frames bigint, codec string, error string"

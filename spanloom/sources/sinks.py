@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 64
@@ -112,3 +113,12 @@ def html_report(kpis: dict[str, float], picks: list[tuple[str, float, float]], h
         + "<ul>" + "".join(f"<li>{esc(k)}: {v:g}</li>" for k, v in kpis.items()) + f'</ul><svg width=400 height=200><polyline fill="none" stroke="#468" points="{curve}"/></svg>'
         + f"<table>{bars}</table><table style='border-spacing:0'>{cells}</table>"
     )
+
+
+def annotate_csv(source: DataFrame, columns: dict[str, Column], path: str, guard: Guard) -> None:
+    """Writes a table read from CSV with further columns to a new place, so that a failed run leaves the source whole."""
+    guard.check(path)
+    bare = lambda p: re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", p).rstrip("/") + "/"
+    if any(bare(f).startswith(bare(path)) for f in source.inputFiles()):
+        raise Refused(f"{path!r} holds the source itself")
+    source.withColumns(columns).write.mode("overwrite").option("header", "true").csv(path)
