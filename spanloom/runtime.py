@@ -7,10 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows a relation may have at most before it is refused as a broadcast side.
-BROADCAST_ROWS = 200_000
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
