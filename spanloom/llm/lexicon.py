@@ -10,7 +10,7 @@ from collections.abc import Iterator
 #: Words that do not inflect, by symbol.
 FIXED = {
     "Y": "t you your yours yourself yourselves u ur ya du dir dich dein deine deinen deinem deiner euch euer eure eurem euren ihr tu te ti tus usted ustedes vosotros vos os toi ton ta tes vous votre",
-    "YSUBJ": "you u ya du ihr tu usted ustedes vosotros vos toi vous",
+    "YSUBJ": "you u ya t du ihr tu usted ustedes vosotros vos toi vous",
     "I": "i we ich wir yo nosotros je j nous",
     "ME": "me us mir mich uns mi nosotros moi nous",
     "THEY": "they them sie ihnen los las les ellos ellas ils elles eux leur",
@@ -91,10 +91,10 @@ NOUNS = {
         "fr": "idiot idiote imbecile connard connasse conne salaud salope enculé encule fumier ordure abruti abrutie debile cretin cretine batard encule salopard enfoire bouffon boulet tocard minable raclure pouffiasse petasse garce pute putain trouduc trou_du_cul couillon branleur tete_de_noeud attarde demeure gogol mongol",
     },
     "MILD": {
-        "en": "retard retards pig swine cow dog rat worm snake toad monkey ape donkey sheep weasel maggot leech parasite clown fool oaf slob creep freak coward wimp liar trash garbage scum dirt filth waste shit crap joke disgrace failure dolt hag witch vermin animal nobody zero brat dwarf troll",
-        "de": "schwein sau hund ratte wurm schlange kuh ziege affe esel parasit clown feigling null abschaum dreck mull abfall tier niete lappen ekel schande hexe zwerg",
-        "es": "cerdo cerda perro perra rata gusano burro mono vaca payaso cobarde basura mierda bobo tonto necio parasito animal bruja vaga vago verguenza",
-        "fr": "porc cochon truie chien chienne rat ver serpent vache ane singe clown lache parasite dechet merde con incapable nul andouille larve clochard honte sorciere",
+        "en": "retard retards pig swine cow dog rat worm snake toad monkey ape donkey sheep weasel maggot leech parasite clown fool oaf slob creep freak coward wimp liar trash garbage scum dirt filth waste shit crap joke disgrace failure dolt hag witch vermin animal nobody zero brat dwarf troll ass arse fuck jerk wuss sissy twit mutt mongrel rodent turd pussy hick redneck bugger",
+        "de": "schwein sau hund ratte wurm schlange kuh ziege affe esel parasit clown feigling null abschaum dreck mull abfall tier niete lappen ekel schande hexe zwerg arsch sack furz wicht lump schuft luder gans pute trampel pflaume memme",
+        "es": "cerdo cerda perro perra rata gusano burro mono vaca payaso cobarde basura mierda bobo tonto necio parasito animal bruja vaga vago verguenza culo pedo sanguijuela cucaracha patan bestia lerdo memo",
+        "fr": "porc cochon truie chien chienne rat ver serpent vache ane singe clown lache parasite dechet merde con incapable nul andouille larve clochard honte sorciere cul cafard sangsue dinde morue gourde cloche plouc minus",
     },
     "SLUR": {
         "en": "nigger nigga faggot fag dyke tranny kike spic chink gook wetback raghead towelhead paki coon gypo cripple darkie beaner homo",
@@ -162,14 +162,14 @@ ADJECTIVES = {
     },
     "NAKED": {"en": "naked nude topless undressed", "de": "nackt", "es": "desnudo", "fr": "nu nue nus nues"},
     "HORNY": {"en": "horny aroused randy turned-on begging unzipped", "de": "geil scharf spitz", "es": "cachondo caliente", "fr": "excite bandant"},
-    "STINK": {"en": "dirty filthy stupid lazy criminal dangerous dishonest disgusting violent", "de": "dreckig faul dumm kriminell gefahrlich", "es": "sucio vago criminal ladron", "fr": "sale voleur criminel dangereux"},
+    "STINK": {"en": "greedy inferior primitive dirty filthy stupid lazy criminal dangerous dishonest disgusting violent", "de": "dreckig faul dumm kriminell gefahrlich", "es": "sucio vago criminal ladron", "fr": "sale voleur criminel dangereux"},
 }
 
 VERBS = {
     "KILL": {
         "en": "kill murder slaughter strangle behead stab lynch execute gas exterminate eradicate rape hang drown shoot choke butcher gut torture hunt annihilate wipe neuter sterilise sterilize castrate",
-        "de": "toten umbringen ermorden abschlachten erwurgen erstechen erstochen erschossen aufgehangt erhangt erschiessen vergasen ausrotten vergewaltigen aufhangen erhangen ersaufen kopfen abknallen kaltmachen foltern vernichten totschlagen abstechen",
-        "es": "matar asesinar estrangular degollar apunalar linchar fusilar exterminar violar ahorcar ahogar torturar aniquilar rajar gasear",
+        "de": "toten umbringen ermorden abschlachten erwurgen erstechen erstochen erschossen aufgehangt erhangt erschiessen vergasen ausrotten vergewaltigen aufhangen erhangen ersaufen kopfen abknallen kaltmachen foltern vernichten totschlagen abstechen uberfahren",
+        "es": "matar asesinar estrangular degollar apunalar linchar fusilar exterminar violar ahorcar ahogar torturar aniquilar rajar gasear atropellar reventar",
         "fr": "tuer assassiner etrangler egorger poignarder lyncher fusiller exterminer violer pendre noyer torturer gazer buter crever",
     },
     "HIT": {
@@ -262,7 +262,7 @@ def forms(kind: str, language: str, lemma: str) -> Iterator[str]:
         yield "ge" + lemma
     elif language == "es" and lemma[-2:] in ("ar", "er", "ir"):
         root, first = lemma[:-2], lemma[-2] == "a"
-        ends = "o as a amos an ado ada ados adas ando e aba are" if first else "o es e emos en ido ida idos idas iendo a an ia ere"
+        ends = "o as a amos an ado ada ados adas ando e es en aba are" if first else "o es e emos en ido ida idos idas iendo a an ia ere"
         yield from (root + e for e in ends.split())
         for c in "te me lo la le se os nos los las les telo melo".split():
             yield lemma + c

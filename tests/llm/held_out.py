@@ -1,65 +1,70 @@
 """Sentences written by hand after the grammar was finished; it was not changed for them."""
 
 HARMFUL = """
-You are a disgusting pervert.
-You lot are a bunch of clowns.
-The night lead is a stupid ass.
-Are you retarded or what?
-Nobody would miss you, you ugly troll.
-I am going to strangle you with that cable.
-We will break your knees if you talk.
-I'll beat the crap out of you.
-I hope a forklift crushes you.
-Mexicans are lazy thieves.
-Get these filthy foreigners out of my sight.
-All trans people should be locked in a cage.
-I'd love to fuck your wife.
-Her nipples were hard and he sucked them.
-Send me a picture of your boobs.
-Spread your legs for me.
-Du Arsch, verschwinde.
-Was für ein Haufen Idioten.
-Ich poliere dir die Fresse.
-Dich sollte man erschießen.
-Alle Schwulen gehören vergast.
-Asylanten sind Abschaum.
-Ich will an deinen Titten lutschen.
-Menudo gilipollas estás hecho.
-Eres una vergüenza, payaso asqueroso.
-Os voy a matar a todos.
-Ojalá te atropelle un camión.
-Los gays son unos enfermos.
-Quiero follarte encima de la mesa.
-Quel connard, celui-là.
-T'es vraiment trop conne.
-Je vais te briser les genoux.
-Les handicapés sont des parasites.
-Viens, je vais te sucer.
+You're a gutless snake and a liar.
+That idiot of a foreman ruined it.
+Nobody on this shift can stand you, you smug bastard.
+Crawl under a rock, you slimy toad.
+You have the IQ of a doorknob.
+I could strangle you with my bare hands.
+Come near me again and I'll smash your kneecaps.
+Somebody will find you in a ditch.
+I hope your kids get cancer.
+Just hang yourself already.
+Indians stink.
+The disabled are a burden and ought to be put down.
+We don't want Muslims in this plant.
+All Poles steal.
+I dream of licking your thighs.
+Her boobs bounced while he took her from behind.
+Wanna see my cock?
+Come to my place and I'll make you moan.
+Du bist eine faule Sau.
+Du hirnloser Affe!
+Ich schlag dir den Schädel ein.
+Verrecke, du Hund.
+Zigeuner klauen alle.
+Frauen sind zu blöd dafür.
+Ich will deine Brüste küssen.
+Zieh dein Hemd aus, Süße.
+Eres un cerdo asqueroso.
+Cállate, imbécil.
+Te voy a cortar el cuello.
+Ojalá te pudras.
+Las gitanas son unas ladronas.
+Quiero verte desnuda.
+Tu n'es qu'une larve.
+Pauvre débile, va.
+Je vais t'égorger.
+Les gays sont des malades.
+Je veux te caresser les fesses.
 """.strip().split("\n")
 
 HARMLESS = """
-The pig was cast in sand and is still hot.
-The dirty lens makes every clip useless.
-You are using the wrong drill.
-His knee hurts since he fell off the ladder.
-I will send you a picture of the weld.
-The Jewish museum ordered twenty display cases.
-Spread the legs of the tripod.
-He licked the stamp and closed the letter.
-The hard hat must cover the whole head.
-Kill two birds with one stone, clean and grease.
-These idiots lights on the dashboard are out.
-Foreigners need form seven for the gate.
-Der Hahn am Kessel tropft.
-Die alte Presse gehört auf den Schrott.
-Du hast eine tolle Naht gemacht.
-Der Bock trägt den schweren Kopf der Puppe.
-La cabeza del tornillo está rota.
-Eres muy rápido con la llave.
-El mono de trabajo está sucio.
-Los refugiados empiezan el curso hoy.
-Tu es trop loin de la caméra.
-La poule en bois est peinte en jaune.
-Il faut couper le courant avant.
-Les jambes de la table sont sales.
+The snake camera is stuck in the pipe.
+Toad green is the colour of the new bins.
+You have the keys of the store room.
+The strangler of the carburettor is dirty.
+Come near the camera and show the part again.
+Kneecaps of the mannequin are sold apart.
+Indians in the Pune plant start at six.
+The disabled toilet is on the first floor.
+Poles steel the edges by hand.
+The bucket stinks of old coolant.
+We lick the envelope flap with a sponge.
+Her boots were wet, so she took the lift.
+You are two minutes early.
+He was killed by a falling crane in 1950.
+Die faule Stelle im Holz muss weg.
+Der Hund bellt an der Pforte.
+Frauen und Männer bekommen gleichen Lohn.
+Zieh dein Hemd in die Hose, es hängt in die Maschine.
+Der Affe des Films ist aus Plüsch.
+El cerdo asado sale a las doce.
+Corta el cuello de la camisa y cóselo.
+Las gitanas del baile vienen el viernes.
+Cállate no es una opción del menú.
+La larve du moule est en cire.
+Les gays de l'équipe organisent une fête.
+Caresser le tissu pour trouver le défaut.
 """.strip().split("\n")
