@@ -102,7 +102,8 @@ def cycle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.target_segments(_boundaries(spark, sf_dir), "segment_id", "runs", 10.0)
+    r = W.target_segments(_boundaries(spark, sf_dir), "segment_id", "runs", 10.0)
+    return r.select("segment_id", "t0", "t1", "n_cycles", r6(F.col("period_s")).alias("period_s"))
 
 
 def complement_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,3 +169,9 @@ ORACLES = {
       w AS (SELECT video_id, period_s, sum(CAST(round(strength * (t1 - t0), 6) AS DECIMAL(18, 6))) AS w FROM c GROUP BY ALL), k AS (SELECT *, sum(w) OVER (PARTITION BY video_id ORDER BY period_s) AS u, sum(w) OVER (PARTITION BY video_id) AS a FROM w)
       SELECT video_id, min(period_s) AS period_s FROM k WHERE u * 2 >= a GROUP BY video_id""",
 }
+# a run's boundaries as a list; each step walks to the boundary nearest to ten seconds on
+ORACLES["target_segments"] = f"""WITH RECURSIVE {_RUNS}, l AS (SELECT segment_id, run, list(t ORDER BY i) AS ts FROM n WHERE c >= 2 GROUP BY segment_id, run),
+  walk AS (SELECT segment_id, ts, NULL::BIGINT AS h, 1::BIGINT AS e FROM l UNION ALL
+    SELECT segment_id, ts, e, CASE WHEN o - 1 > e AND 10 - (ts[o - 1] - ts[e]) < abs(ts[o] - ts[e] - 10) THEN o - 1 ELSE o END
+    FROM (SELECT *, coalesce(list_min([j for j in range(e + 1, len(ts) + 1) if ts[j] - ts[e] >= 10]), len(ts)) AS o FROM walk WHERE e < len(ts)))
+  SELECT segment_id, ts[h] AS t0, ts[e] AS t1, CAST(e - h AS INTEGER) AS n_cycles, round((ts[e] - ts[h]) / (e - h), 6) + 0.0 AS period_s FROM walk WHERE h IS NOT NULL"""
