@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 EPS = 1e-8
@@ -214,24 +215,35 @@ def pool_motion(steps: np.ndarray, histogram: int = 128) -> np.ndarray:
     return unit(np.concatenate([unit(hist.mean(axis=0)), unit(hist.std(axis=0)), unit(np.concatenate([rest.mean(axis=0), rest.std(axis=0)])) * 0.5]))
 
 
-def pair_env_scores(pairs: DataFrame) -> DataFrame:
+def pair_env_scores(pairs: DataFrame, whitener: Broadcast | None = None) -> DataFrame:
     """``a, b, env_cos, env_chamfer, env_bhat_sim`` of pairs with both sides' frames (``app_frames_a, app_frames_b``).
 
+    A ``whitener`` (encoder: mean and deviation of each dimension) standardises mean and frames for cosine and chamfer; pairs then have
+    ``app_encoder_a`` too, and those without statistics of their width are left out.
+
     Frames of both sides must have the same width; pairs that do not are left out.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             out = []
-            for a, b, x, y in zip(f["a"], f["b"], f["app_frames_a"], f["app_frames_b"]):
+            kinds = f["app_encoder_a"] if whitener is not None else [None] * len(f)
+            for a, b, x, y, kind in zip(f["a"], f["b"], f["app_frames_a"], f["app_frames_b"], kinds):
                 x, y = np.stack(x).astype(np.float64), np.stack(y).astype(np.float64)
-                if x.shape[1] == y.shape[1]:
+                if x.shape[1] == y.shape[1] and whitener is not None:
+                    mu, sd = whitener.value.get(kind, ((), ()))
+                    if len(mu) == x.shape[1]:
+                        p, q = unit_rows((np.stack([x.mean(axis=0), y.mean(axis=0)]) - mu) / sd)
+                        c = float(p @ q / ((np.linalg.norm(p) + EPS) * (np.linalg.norm(q) + EPS)))
+                        out.append((a, b, c, chamfer(unit_rows((x - mu) / sd), unit_rows((y - mu) / sd)), bhattacharyya_similarity(x, y)))
+                elif x.shape[1] == y.shape[1]:
                     p, q = x.mean(axis=0), y.mean(axis=0)
                     c = float(p @ q / ((np.linalg.norm(p) + EPS) * (np.linalg.norm(q) + EPS)))
                     out.append((a, b, c, chamfer(x, y), bhattacharyya_similarity(x, y)))
             yield pd.DataFrame(out, columns=["a", "b", "env_cos", "env_chamfer", "env_bhat_sim"])
 
-    return pairs.select("a", "b", "app_frames_a", "app_frames_b").mapInPandas(score, "a string, b string, env_cos double, env_chamfer double, env_bhat_sim double")
+    kind = [] if whitener is None else ["app_encoder_a"]
+    return pairs.select("a", "b", "app_frames_a", "app_frames_b", *kind).mapInPandas(score, "a string, b string, env_cos double, env_chamfer double, env_bhat_sim double")
 
 
 def pair_dtw(pairs: DataFrame, left: str, right: str, out: str = "dtw_cost") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from ..runtime import cut
 from .calibrate import null_grid
-from .features import ENV_WEIGHTS, TASK_WEIGHTS, attach_pair, fit_whitener, fuse, pool_frames, whitener_rows
+from .features import ENV_WEIGHTS, TASK_WEIGHTS, attach_pair, fit_whitener, fuse, whitener_rows
 from .kernels import pair_dtw, pair_env_scores
 from .pairs import blocked_pairs
 
@@ -24,16 +26,10 @@ def env_scores(pairs: DataFrame, segments: DataFrame, whitener: DataFrame | None
     """
     segs = segments.filter(F.size("app_frames") > 0).select(key, "app_encoder", "app_frames")
     met = attach_pair(pairs, segs, key).filter("app_encoder_a = app_encoder_b")
-    plain = pair_env_scores(met)
     if whitener is None:
-        return plain
-    w = F.broadcast(whitener_rows(whitener, "app_encoder"))  # one row an encoder
-    pooled = pool_frames(segs, "app_frames", "mean", "var").drop("var").join(w, "app_encoder")
-    white = pooled.withColumn("mean", V.whiten(F.col("mean"), F.col("mu"), F.col("sd"))).withColumn("app_frames", F.transform("app_frames", lambda x: V.whiten(x, F.col("mu"), F.col("sd")))).drop("mu", "sd")
-    both = attach_pair(pairs, white, key).filter("app_encoder_a = app_encoder_b")
-    far = pair_env_scores(both).select("a", "b", "env_chamfer")
-    near = both.select("a", "b", V.cosine(F.col("mean_a"), F.col("mean_b")).alias("env_cos"))
-    return plain.select("a", "b", "env_bhat_sim").join(far, ["a", "b"]).join(near, ["a", "b"]).select("a", "b", "env_cos", "env_chamfer", "env_bhat_sim")
+        return pair_env_scores(met)
+    stats = {r["app_encoder"]: (np.array(r["mu"]), np.array(r["sd"])) for r in whitener_rows(whitener, "app_encoder").collect()}  # one row an encoder
+    return pair_env_scores(met, pairs.sparkSession.sparkContext.broadcast(stats))
 
 
 def pair_scores(pairs: DataFrame, segments: DataFrame, whitener: DataFrame | None = None, env_weights: dict[str, float] | None = None,
@@ -78,7 +74,9 @@ def episode_scores(segments: DataFrame, null_pairs: DataFrame, episode: str, key
     raw = fuse(weights=EPISODE_WEIGHTS)
     w = fit_whitener(segments.filter(F.size("app_frames") > 0), "app_encoder", "app_frames")
     within = blocked_pairs(segments, key, episode).withColumnRenamed("block", "episode")
-    far = env_scores(null_pairs, segments, w, key).select(F.lit("env_raw").alias("metric"), raw.alias("value"))
-    grid = F.broadcast(null_grid(far, ["metric"], "value").select("quantiles"))  # one row
-    r = env_scores(within.select("a", "b"), segments, w, key).withColumn("env_raw", raw).join(within, ["a", "b"]).join(grid, how="left")
+    # both sets of pairs are scored in one pass
+    asked = within.select("a", "b").unionByName(null_pairs.select("a", "b"))
+    scored = cut(env_scores(asked, segments, w, key).withColumn("env_raw", raw).join(within, ["a", "b"], "left"))
+    grid = F.broadcast(null_grid(scored.filter("episode IS NULL").select(F.lit("env_raw").alias("metric"), F.col("env_raw").alias("value")), ["metric"], "value").select("quantiles"))  # one row
+    r = scored.filter("episode IS NOT NULL").join(grid, how="left")
     return r.select("episode", "a", "b", *EPISODE_WEIGHTS, "env_raw", V.grid_percentile(F.col("env_raw"), F.col("quantiles")).alias("env_percentile"))
