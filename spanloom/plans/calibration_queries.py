@@ -26,7 +26,7 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def null_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = C.null_grid(_readings(spark, sf_dir), ["metric"], "value")
-    return g.select("metric", "n_pairs", F.transform("quantiles", lambda q: F.round(q + F.lit(1e-9), 6) + F.lit(0.0)).alias("quantiles"), r6(F.col("mean_value")).alias("mean_value"), r6(F.col("std_value")).alias("std_value"))
+    return g.select("metric", "n_pairs", F.transform("quantiles", lambda q: F.round(q + F.lit(1e-9), 6) + F.lit(0.0)).alias("quantiles"), *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("mean_value", "std_value")])
 
 
 def _with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ QUERIES = {
 }
 ORACLES = {
     "null_quantiles": f"""WITH {VERD}, r AS ({_LONG}) SELECT metric, count(*) AS n_pairs, [round(x + 1e-9, 6) + 0.0 for x in quantile_cont(value, {_GRID})] AS quantiles,
-      round(avg(value), 6) + 0.0 AS mean_value, round(stddev_pop(value), 6) + 0.0 AS std_value FROM r WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric""",
+      round(avg(value), 9) + 0.0 AS mean_value, round(stddev_pop(value), 9) + 0.0 AS std_value FROM r WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric""",
     "null_percentile": f"""WITH {VERD}, {SEG}, {NULLS}, y AS (SELECT a, b, CASE WHEN NOT isnan(raw.env_raw) THEN raw.env_raw END AS v, q FROM nulls), x AS (SELECT *, CASE WHEN v IS NOT NULL AND q IS NOT NULL THEN len([g for g in q if g <= v]) END AS k FROM y)
       SELECT a, b, v AS env_raw, CASE WHEN k = 0 THEN 0.0 WHEN k >= len(q) THEN 100.0 WHEN k IS NOT NULL THEN round((k - 1 + (v - q[k]) / (q[k + 1] - q[k])) / 200 * 100, 6) END AS percentile FROM x""",
     "null_zscore": f"WITH {VERD}, {SEG}, {NULLS} SELECT a, b, CASE WHEN std_value > 0 AND NOT isnan(raw.env_raw) THEN round((raw.env_raw - mean_value) / std_value, 6) + 0.0 END AS z FROM nulls",
