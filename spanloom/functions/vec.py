@@ -15,6 +15,11 @@ def r6(x: Column) -> Column:
     return F.round(x, 6) + F.lit(0.0)
 
 
+def r6_scaled(x: Column) -> Column:
+    """The same as SQL rounds a double: the double times a million decides, not its decimal text, which differs half way between two values."""
+    return F.round(x * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
@@ -95,13 +100,18 @@ def even_sample(v: Column, k: int) -> Column:
     return F.when(n <= k, v).otherwise(F.transform(at, lambda i: F.element_at(v, i)))
 
 
-def grid_percentile(x: Column, grid: Column) -> Column:
-    """Place of ``x`` in a sorted grid of percentiles, 0..100, interpolated; of equal knots the last counts.  Null for no reading (null, NaN) or no grid."""
+def grid_place(x: Column, grid: Column) -> Column:
+    """Place of ``x`` in a sorted grid of percentiles, 0..1, interpolated; of equal knots the last counts.  Null for no reading (null, NaN) or no grid."""
     n = F.size(grid)
     below = F.size(F.filter(grid, lambda g: g <= x))
     lo, hi = F.element_at(grid, below), F.element_at(grid, F.least(below + 1, n))
-    inside = (below - 1 + (x - lo) / (hi - lo)) / (n - 1) * 100.0
-    return F.when(x.isNull() | F.isnan(x) | grid.isNull(), F.lit(None).cast("double")).when(below == 0, 0.0).when(below >= n, 100.0).otherwise(inside)
+    inside = (below - 1 + (x - lo) / (hi - lo)) / (n - 1)
+    return F.when(x.isNull() | F.isnan(x) | grid.isNull(), F.lit(None).cast("double")).when(below == 0, 0.0).when(below >= n, 1.0).otherwise(inside)
+
+
+def grid_percentile(x: Column, grid: Column) -> Column:
+    """That place as a percentile, 0..100."""
+    return grid_place(x, grid) * 100.0
 
 
 def z_score(x: Column, mean: Column, std: Column) -> Column:

@@ -59,7 +59,7 @@ def similarity(scores: DataFrame, env_grid: Column | None = None, task_grid: Col
     """
     def scaled(x: Column, grid: Column | None) -> Column:
         plain = F.when(~F.isnan(x), (x + 1) / 2)
-        return plain if grid is None else F.when(grid.isNull(), plain).otherwise(V.grid_percentile(x, grid) / 100)
+        return plain if grid is None else F.when(grid.isNull(), plain).otherwise(V.grid_place(x, grid))
 
     s = scores.withColumn("env", scaled(F.col("env_raw"), env_grid)).withColumn("task", scaled(F.col("task_raw"), task_grid))
     return s.withColumn("fused", (F.col("env") + F.col("task")) / 2)

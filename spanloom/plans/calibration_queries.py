@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
-from ..functions.vec import r6
+from ..functions.vec import r6, r6_scaled
 from ..operators import calibrate as C
 from ..operators import decide as D
 from ..operators import pairscore as PS
@@ -56,7 +56,7 @@ def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of every compared pair in its place, its task and both, against the null models of its encoder."""
-    return _similarities(spark, sf_dir).select("a", "b", *[r6(F.col(c)).alias(c) for c in ("env", "task", "fused")])
+    return _similarities(spark, sf_dir).select("a", "b", *[r6_scaled(F.col(c)).alias(c) for c in ("env", "task", "fused")])
 
 
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

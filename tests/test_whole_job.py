@@ -89,3 +89,24 @@ def test_recordings_without_site_or_session_are_kept(spark, tmp_path):
     assert got == {("r1", "north/AB-1", "AB-1", 30, 60), ("r2", "north/AB-1", "AB-1", 60, 90), ("r3", None, None, None, None), ("r4", None, None, None, None)}
     pairs = {tuple(r) for r in E.queries()["blocked_pairs"](spark, sf).select("block", "a", "b").collect()}
     assert pairs == {("north/AB-1", "r1", "r2"), ("UNKNOWN", "r3", "r4")}
+
+
+def test_similarity_half_way_between_two_values_rounds_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    readings = [(0.50505, 0.0), (0.88766, 0.51137), (0.22424, 0.00627), (0.19176, 0.14233), (None, 0.1), (float("nan"), 0.1)]
+    readings = [*readings, *readings[:4], *((x / 1e5, y / 1e5) for x, y in zip(range(11, 99_000, 3310), range(98_999, 0, -3310)))]
+    seg = [(f"s{i}", "gist", 1) for i in range(2 * len(readings))]
+    grid = [i / 200 for i in range(201)]
+    tables = {
+        "signatures": (seg, "segment_id string, app_encoder string, indexed_at int"),
+        "null_models": ([("env_raw", "gist", grid, 0.5, 0.1)], "metric string, encoder string, quantiles array<double>, mean_value double, std_value double"),
+        "verdicts": ([(f"s{2 * i}", f"s{2 * i + 1}" if i > 9 else "gone", r) for i, r in enumerate(readings)], "a string, b string, raw struct<env_raw:double,task_raw:double>"),
+    }
+    sf = put(spark, tmp_path, **tables)
+    c = duckdb.connect()
+    for name in tables:
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in E.queries()["similarity_pairs"](spark, sf).select("a", "b", "env", "task", "fused").collect()]
+    want = c.execute(f"SELECT a, b, env, task, fused FROM ({E.oracle_sql()['similarity_pairs']})").fetchall()
+    assert len(got) == len(readings) and sorted(got, key=str) == sorted(want, key=str)
