@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter, defaultdict
-from itertools import product
+from collections.abc import Generator
+from hashlib import blake2b
 
 #: Tokens that stand for a missing value, after reduction to letters, and leading articles.
 NULL_NAMES = {"", "none", "n a", "na", "null", "unknown", "nan"}
@@ -78,9 +79,9 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1:] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1:]
 
 
-#: Stems and names of a column, at most, whose counts are known; rarer ones count as rare as the last of these.
+#: Stems, and names, that a column may have for a ``Namer`` in memory, and stems of these that slips may be traced back to.
+#: Columns with more are named by joins (``runs.name_table``), with the same result.
 KEPT = 20_000
-#: Of these, at most, the ones that slips are traced back to.
 INDEXED = 4_000
 #: A spelling is a slip only if the right one is at least TIMES as frequent and it makes up at most this share of that one:
 #: short words have many real neighbours, so they need more evidence, or another word beside them that both share.
@@ -92,97 +93,136 @@ def may_be_slip(rare: int, frequent: int, share: float = SHARE) -> bool:
     return frequent >= TIMES * rare and rare - 1 <= share * frequent
 
 
+#: What is known of a word: how often its stem occurs, and the stems other than its own that it may be a slip for with
+#: their counts, the most frequent first.
+Info = tuple[int, list[tuple[str, int]]]
+
+
+def options(w: str, info: Info) -> list[str]:
+    """Stems that a word may stand for on its own, the likeliest first."""
+    n, near = info
+    return [t for t, m in near if len(w) > SHORT or may_be_slip(n, m, SHORT_SHARE)] or [stem(w)]
+
+
+def halves(w: str) -> list[tuple[str, str]]:
+    """Stems of the two words that a longer word is made of when the space between them was lost or mistyped."""
+    return [(stem(w[:i]), stem(w[j:])) for i in range(2, len(w) - 1) for j in (i, i + 1)] if len(w) > 5 else []
+
+
+def start(before: str, word: str) -> str:
+    """Key of the beginning of a name, from the key of the beginning before its last word."""
+    return "\n" + blake2b((before + word).encode(), digest_size=16).hexdigest()
+
+
+def starts(name: str) -> list[str]:
+    """Keys of all beginnings of a name."""
+    out = [""]
+    for w in name.split()[:-1]:
+        out.append(start(out[-1], w))
+    return out[1:]
+
+
+def steps(words: list[str], infos: dict[str, Info]) -> Generator[list[str], dict[str, int], str]:
+    """Finds the canonical name of words: yields the names and beginnings of names whose counts it needs, and is sent them."""
+    own = [options(w, infos[w]) for w in words]
+    made = [halves(w) if o == [stem(w)] else [] for w, o in zip(words, own)]
+    n = yield [f"{a} {b}" for m in made for a, b in m]
+    parts: list[list[str]] = []
+    for w, o, m in zip(words, own, made):
+        both = next(([[a], [b]] for a, b in m if (k := n.get(f"{a} {b}", 0)) and may_be_slip(infos[w][0], k)), None)
+        parts += both or [o]
+    if len(parts) > 1 and any(one_slip(words[0], a) for a in ARTICLES):
+        rest, whole = " ".join(o[0] for o in parts[1:]), " ".join(o[0] for o in parts)
+        n = yield [rest, whole]
+        if may_be_slip(n.get(whole, 0) or 1, n.get(rest, 0)):
+            parts = parts[1:]  # a slip in the article
+    plain = " ".join(o[0] for o in parts)
+    if len(parts) == len(words) > 1:  # short words that the other words of the name vouch for
+        loose = [" ".join([*(o[0] for o in parts[:i]), t, *(o[0] for o in parts[i + 1:])]) for i, w in enumerate(words) if parts[i] == [stem(w)] for t, _ in infos[w][1]]
+        n = yield [plain, *loose] if loose else []
+        vouched = [c for c in loose if may_be_slip(n.get(plain, 0) or 1, n.get(c, 0))]
+        if vouched:
+            return max(vouched, key=lambda c: (n[c], c))
+    if any(len(o) > 1 for o in parts):
+        n = yield [plain]
+        if not n.get(plain, 0):  # all known names that the options can make, word by word
+            live = {"": ""}
+            for o in parts[:-1]:
+                grown = {start(k, t): f"{text}{t} " for k, text in live.items() for t in o}
+                n = yield list(grown)
+                live = {k: text for k, text in grown.items() if n.get(k, 0)}
+            ends = [text + t for text in live.values() for t in parts[-1]]
+            n = yield ends
+            known = [c for c in ends if n.get(c, 0)]
+            if known:
+                return max(known, key=lambda c: (n[c], c))
+    return plain
+
+
+def slip_share(s: str) -> float:
+    return SHORT_SHARE if len(s) <= SHORT else SHARE
+
+
+class TooMany(ValueError):
+    """More stems than may be indexed in memory."""
+
+
 class Namer:
     """Maps a spelling to its canonical name, given how often each stem, and each name of stems, occurs in the whole data.
 
     A word counts as another stem if it is one slip away from one of its forms and so much rarer that a slip explains it
     (``may_be_slip``); of several stems, as the one that makes the whole a known name, else the most frequent.  In a name of several
     words the counts of the whole names decide too.  Two words that are both frequent, or both rare, are different words
-    however alike they look.
+    however alike they look.  With more than ``most`` stems to trace slips back to it raises ``TooMany``.
     """
 
-    def __init__(self, stems: dict[str, int], names: dict[str, int] | None = None, kept: int = KEPT):
+    def __init__(self, stems: dict[str, int], names: dict[str, int] | None = None, most: int | None = None):
         self.stems = {s: n for s, n in stems.items() if s}
-        self.names = names or {}
-        self.other_stem = min(self.stems.values()) if len(self.stems) >= kept else 1
-        self.other_name = min(self.names.values()) if len(self.names) >= kept else 1
+        self.known = {k: 1 for name in names or {} for k in starts(name)} | (names or {})
         self.near: dict[str, set[str]] = defaultdict(set)
         self.form_stem: dict[str, str] = {}
-        self.memo: dict[str, list[str]] = {}
+        self.memo: dict[str, Info] = {}
         made = 0
         for s, n in sorted(self.stems.items(), key=lambda x: (-x[1], x[0])):  # what is a slip itself explains no other
-            if n < TIMES or made == INDEXED:
+            if n < TIMES:
                 break
-            if any(may_be_slip(n, self.stems[t], SHORT_SHARE if len(s) <= SHORT else SHARE) for t in self.beside(s)):
+            if any(may_be_slip(n, self.stems[t], slip_share(s)) for t in self.beside(s)):
                 continue
             made += 1
+            if most is not None and made > most:
+                raise TooMany(f"more than {most} stems")
             for f in forms(s):
-                if f not in self.form_stem:
-                    self.form_stem[f] = s
-                    for d in {f, *drops(f)}:
-                        self.near[d].add(f)
-
-    def count(self, s: str) -> int:
-        return self.stems.get(s, self.other_stem)
+                self.form_stem[f] = s
+                for d in {f, *drops(f)}:
+                    self.near[d].add(f)
 
     def beside(self, w: str) -> set[str]:
         """Stems with a form that is one slip away."""
         return {self.form_stem[f] for d in {w, *drops(w)} for f in self.near.get(d, ()) if one_slip(w, f)} if len(w) > 2 else set()
 
-    def close(self, w: str) -> list[str]:
-        """Stems other than its own that a word may be a slip for, the most frequent first."""
+    def info(self, w: str) -> Info:
         found = self.memo.get(w)
         if found is None:
             s = stem(w)
-            n = self.count(s)
-            found = sorted((t for t in self.beside(w) if t != s and may_be_slip(n, self.stems[t])), key=lambda x: (-self.stems[x], x))
+            n = self.stems.get(s, 1)
+            near = [(t, self.stems[t]) for t in self.beside(w) if t != s and may_be_slip(n, self.stems[t])]
+            found = n, sorted(near, key=lambda x: (-x[1], x[0]))
             if len(self.memo) < 100_000:
                 self.memo[w] = found
         return found
 
-    def options(self, w: str) -> list[str]:
-        """Stems that a word may stand for on its own, the likeliest first."""
-        found = self.close(w)
-        if found and len(w) <= SHORT:
-            n = self.count(stem(w))
-            found = [t for t in found if may_be_slip(n, self.stems[t], SHORT_SHARE)]
-        return found or [stem(w)]
-
-    def parts(self, w: str) -> list[list[str]]:
-        """Options of a word, or the two words it is made of when the space between them was lost or mistyped."""
-        whole = self.options(w)
-        s = stem(w)
-        if whole == [s] and len(w) > 5:
-            for i in range(2, len(w) - 1):
-                for j in (i, i + 1):
-                    a, b = stem(w[:i]), stem(w[j:])
-                    both = self.names.get(f"{a} {b}", 0)
-                    if both and may_be_slip(self.count(s), both):
-                        return [[a], [b]]
-        return [whole]
-
     def name(self, raw: str | None) -> str | None:
         """Canonical name, or None for a missing one."""
         words = name_words(raw)
         if words is None:
             return None
-        options = [o for w in words for o in self.parts(w)]
-        if len(options) > 1 and any(one_slip(words[0], a) for a in ARTICLES):
-            rest, whole = " ".join(o[0] for o in options[1:]), " ".join(o[0] for o in options)
-            if may_be_slip(self.names.get(whole, self.other_name), self.names.get(rest, 0)):
-                options = options[1:]  # a slip in the article
-        plain = " ".join(o[0] for o in options)
-        if len(options) == len(words) and 1 < len(words) <= 6:  # short words that the other words of the name vouch for
-            n = self.names.get(plain, self.other_name)
-            loose = [" ".join([*(o[0] for o in options[:i]), t, *(o[0] for o in options[i + 1:])]) for i, w in enumerate(words) if options[i] == [stem(w)] for t in self.close(w)]
-            vouched = [c for c in loose if may_be_slip(n, self.names.get(c, 0))]
-            if vouched:
-                return max(vouched, key=lambda c: (self.names[c], c))
-        if plain not in self.names and any(len(o) > 1 for o in options) and len(options) <= 6:
-            known = [c for c in (" ".join(p) for p in product(*[o[:4] for o in options])) if c in self.names]
-            if known:
-                return max(known, key=lambda c: (self.names[c], c))
-        return plain
+        way = steps(words, {w: self.info(w) for w in words})
+        next(way)
+        while True:
+            try:
+                way.send(self.known)
+            except StopIteration as end:
+                return end.value
 
 
 def name_words(raw: str | None) -> list[str] | None:

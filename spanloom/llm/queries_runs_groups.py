@@ -12,7 +12,7 @@ from ..operators.intervals import to_millis
 from ..runtime import table
 from . import quantiles as Q
 from .components import connected_groups
-from .runs import canonical, collapse_runs, fit_namers
+from .runs import collapse_runs, fit_namers, keyed
 
 #: The nine readings of verdicts.raw.
 METRICS = ("env_cos", "env_chamfer", "env_bhat_sim", "task_cos", "task_dtw_sim", "rhythm_cos", "period_agree", "env_raw", "task_raw")
@@ -102,7 +102,7 @@ def named_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         .filter(F.col("s_ms").isNotNull() & (F.col("e_ms") > F.col("s_ms")))
     )
     namers = fit_namers(usable, ["verb", "object_name"])
-    return usable, usable.withColumn("key", canonical(usable, ["verb", "object_name"], namers))
+    return usable, keyed(usable, ["verb", "object_name"], namers)
 
 
 def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:

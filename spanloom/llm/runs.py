@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from ..operators.intervals import SHARD_ROWS, huge_entities, null_safe, shard_of
 from ..runtime import cut
-from .naming import KEPT, Namer, count_names, count_stems
+from .naming import INDEXED, KEPT, SHARE, SHORT, SHORT_SHARE, TIMES, Namer, TooMany, count_names, count_stems, drops, forms, name_words, one_slip, starts, stem, steps
 
 
-def fit_namers(events: DataFrame, names: list[str], kept: int = KEPT) -> list[Namer]:
-    """One namer a column, from counts over all rows; the ``kept`` most frequent stems and names of each reach the driver."""
+def fit_namers(events: DataFrame, names: list[str], kept: int = KEPT, indexed: int = INDEXED) -> list[Namer | DataFrame]:
+    """One namer a column, from counts over all rows.
+
+    A column with more than ``kept`` stems or names, or more than ``indexed`` stems that slips are traced back to, gets the
+    ``name_table`` of its spellings instead, which names them alike; ``keyed`` takes both.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(n).alias("raw")) for i, n in enumerate(names)])).alias("x")
     raw = events.select(each).select("x.*").filter(F.col("raw").isNotNull()).groupBy("col", "raw").count()
 
@@ -27,10 +33,142 @@ def fit_namers(events: DataFrame, names: list[str], kept: int = KEPT) -> list[Na
             yield pd.DataFrame(rows, columns=["col", "what", "text", "n"])
 
     counted = cut(raw.mapInPandas(tally, "col int, what int, text string, n bigint").groupBy("col", "what", "text").agg(F.sum("n").alias("n")))
-    most = Window.partitionBy("col", "what").orderBy(F.desc("n"), "text")
-    top = counted.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= kept).collect()
-    pick = lambda i, what: {r["text"]: r["n"] for r in top if r["col"] == i and r["what"] == what}
-    return [Namer(pick(i, 0), pick(i, 1), kept) for i in range(len(names))]
+    sizes = counted.groupBy("col", "what").count().collect()  # two rows a column
+    large = {r["col"] for r in sizes if r["count"] > kept}
+    held = counted.filter(~F.col("col").isin(*large)).collect() if large else counted.collect()
+    pick = lambda i, what: {r["text"]: r["n"] for r in held if r["col"] == i and r["what"] == what}
+    found: list[Namer | DataFrame] = []
+    for i, name in enumerate(names):
+        try:
+            namer = None if i in large else Namer(pick(i, 0), pick(i, 1), indexed)
+        except TooMany:
+            namer = None
+        mine = counted.filter(F.col("col") == i)
+        found.append(namer or name_table(events.select(F.col(name).alias("raw")), *[mine.filter((F.col("what") == what) & (F.col("text") != "")).select("text", "n") for what in (0, 1)]))
+    return found
+
+
+@F.pandas_udf(StringType())
+def plain_words(raw: pd.Series) -> pd.Series:
+    """Words of a name without case, marks and leading article; null for a missing name."""
+    codes, values = pd.factorize(raw, use_na_sentinel=True)
+    known = [None if (w := name_words(v)) is None else " ".join(w) for v in values]
+    return pd.Series([known[i] if i >= 0 else None for i in codes], dtype=object)
+
+
+@F.pandas_udf(BooleanType())
+def slipped(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([one_slip(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forms of frequent stems, once for each word of letters that they have in common with a slip for them."""
+    for b in batches:
+        yield pd.DataFrame([(d, f, t, m) for t, m in zip(b["text"], b["n"]) for f in forms(t) for d in {f, *drops(f)}], columns=["d", "f", "t", "m"])
+
+
+def _probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(d, w, own, s, n) for w, own, s, n in zip(b["w"], b["own"], b["is_stem"], b["n"]) for d in {w, *drops(w)}], columns=["d", "w", "own", "is_stem", "n"])
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"text": [k for name in b["text"] for k in starts(name)]}, dtype=object)
+
+
+def _step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Goes on with the names of words as far as the counts known allow: gives the name, or what else must be counted."""
+    for b in batches:
+        rows = []
+        for words, n, infos, known, got in zip(b["words"], b["n"], b["infos"], b["known"], b["got"]):
+            counts = json.loads(known) | {x["k"]: x.get("n", 0) for x in json.loads(got)}
+            way = steps(words.split(), {x["w"]: (x["n"], [(y["t"], -y["m"]) for y in x["near"]]) for x in json.loads(infos)})
+            name, ask = None, next(way)
+            try:
+                while not (missing := [k for k in dict.fromkeys(ask) if k not in counts]):
+                    ask = way.send(counts)
+            except StopIteration as end:
+                name, missing = end.value, []
+            rows.append((words, n, infos, json.dumps(counts), name, missing))
+        yield pd.DataFrame(rows, columns=["words", "n", "infos", "known", "name", "ask"])
+
+
+def traced(stems: DataFrame) -> DataFrame:
+    """``d, f, t, m``: frequent stems ``t``, their counts and forms, without those that are slips themselves."""
+    often = stems.filter(F.col("n") >= TIMES)
+    shapes = often.mapInPandas(_forms, "d string, f string, t string, m bigint")
+    edges = cut(near_stems(often.select(F.col("text").alias("w"), F.col("text").alias("own"), F.lit(True).alias("is_stem"), "n"), shapes).select("w", "t"))
+    barred = None
+    while not edges.isEmpty():  # each stem of a chain is five times as frequent as the one before it, so rounds are few
+        sure = edges.select("t").distinct().join(edges.select(F.col("w").alias("t")).distinct(), "t", "left_anti")
+        out = cut(edges.join(sure, "t", "left_semi").select("w").distinct())
+        barred = out if barred is None else barred.union(out)
+        edges = cut(edges.join(out, "w", "left_anti").join(out.select(F.col("w").alias("t")), "t", "left_anti"))
+    if barred is None:
+        return shapes
+    return often.join(barred.select(F.col("w").alias("text")), "text", "left_anti").mapInPandas(_forms, "d string, f string, t string, m bigint")
+
+
+def near_stems(words: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``w, t, m``: stems that a word (``w, own, is_stem, n``) may be a slip for."""
+    probes = words.filter(F.length("w") > 2).mapInPandas(_probes, "d string, w string, own string, is_stem boolean, n bigint")
+    share = F.when(F.col("is_stem") & (F.length("w") <= SHORT), SHORT_SHARE).otherwise(SHARE)
+    met = probes.join(shapes, "d").filter((F.col("own") != F.col("t")) & (F.col("m") >= TIMES * F.col("n")) & (F.col("n") - 1 <= share * F.col("m")))
+    return met.select("w", "f", "t", "m").distinct().filter(slipped("w", "f")).select("w", "t", "m").distinct()
+
+
+def name_table(raws: DataFrame, stems: DataFrame, names: DataFrame) -> DataFrame:
+    """``words, n, name``: the canonical name of every spelling (``plain_words`` of the column ``raw``), and its rows.
+
+    ``stems`` and ``names`` (``text, n``) are counts over all rows.  The same steps as a ``Namer`` takes, by joins: slips meet the forms
+    of stems in the words that both become by leaving out a letter, and counts of names are looked up in rounds, for all
+    spellings at once, until each has its name.  Nothing is left out and nothing is held by the driver.
+    """
+    spelt = raws.filter(F.col("raw").isNotNull()).groupBy("raw").count().select(plain_words("raw").alias("words"), "count").filter(F.col("words").isNotNull())
+    spelt = cut(spelt.groupBy("words").agg(F.sum("count").alias("n")))
+    pairs = spelt.select("words", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    one_stem = F.pandas_udf(lambda w: w.map(stem), "string")
+    each = pairs.select("w").distinct().withColumn("own", one_stem("w"))
+    each = cut(each.join(stems.select(F.col("text").alias("own"), "n"), "own", "left").select("w", "own", F.lit(False).alias("is_stem"), F.coalesce("n", F.lit(1)).alias("n")))
+    near = near_stems(each, traced(stems)).groupBy("w").agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "t"))).alias("near"))
+    infos = each.join(near, "w", "left").select("w", F.struct("w", "n", F.coalesce("near", F.expr("CAST(array() AS array<struct<m:bigint,t:string>>)")).alias("near")).alias("x"))
+    state = spelt.join(pairs.join(infos, "w").groupBy("words").agg(F.to_json(F.collect_list("x")).alias("infos")), "words")
+    state = state.withColumn("known", F.lit("{}")).withColumn("got", F.lit("[]"))
+    begun = names.mapInPandas(_starts, "text string").distinct().withColumn("n", F.lit(1).cast("bigint"))
+    counts = cut(names.unionByName(begun)).withColumnRenamed("text", "k")
+    done = None
+    while True:
+        now = cut(state.mapInPandas(_step, "words string, n bigint, infos string, known string, name string, ask array<string>"))
+        settled = now.filter(F.col("name").isNotNull()).select("words", "n", "name")
+        done = settled if done is None else done.unionByName(settled)
+        left = now.filter(F.col("name").isNull())
+        if left.isEmpty():
+            return done
+        got = left.select("words", F.explode("ask").alias("k")).join(counts.withColumnRenamed("n", "c"), "k", "left")
+        got = got.groupBy("words").agg(F.to_json(F.collect_list(F.struct("k", F.coalesce("c", F.lit(0)).alias("n")))).alias("got"))
+        state = left.select("words", "n", "infos", "known").join(got, "words")
+
+
+def named_by(events: DataFrame, column: str, table: DataFrame, to: str) -> DataFrame:
+    """Events with the canonical name of a column, from its ``name_table``; the most frequent names do not move the events."""
+    top = table.orderBy(F.desc("n"), "words").limit(KEPT).select(F.col("words").alias("__words"), F.col("name").alias("__top"))
+    met = events.withColumn("__words", plain_words.asNondeterministic()(F.col(column))).join(F.broadcast(top), "__words", "left")
+    settled = F.concat(F.lit("#"), F.pmod(F.xxhash64(*events.columns), F.lit(1_000)))  # meets nothing, and is spread
+    met = met.withColumn("__words", F.when(F.col("__words").isNotNull() & F.col("__top").isNull(), F.col("__words")).otherwise(settled))
+    met = met.join(table.select(F.col("words").alias("__words"), F.col("name").alias("__other")), "__words", "left")
+    return met.select(*events.columns, F.coalesce("__top", "__other").alias(to))
+
+
+def keyed(events: DataFrame, names: list[str], namers: list[Namer | DataFrame]) -> DataFrame:
+    """Events with one ``key`` for all name columns, null where any of them is missing."""
+    if all(isinstance(n, Namer) for n in namers):
+        return events.withColumn("key", canonical(events, names, namers))
+    parts = [f"__name{i}" for i in range(len(names))]
+    out = events
+    for part, name, namer in zip(parts, names, namers):
+        out = out.withColumn(part, canonical(out, [name], [namer])) if isinstance(namer, Namer) else named_by(out, name, namer, part)
+    return out.withColumn("key", F.when(F.forall(F.array(*parts), F.isnotnull), F.concat_ws("|", *parts))).drop(*parts)
 
 
 def canonical(events: DataFrame, names: list[str], namers: list[Namer]) -> Column:

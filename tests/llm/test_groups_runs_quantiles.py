@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import quantiles as Q
 from spanloom.llm.components import connected_groups
 from spanloom.llm.naming import Namer, count_names, count_stems, letters, one_slip, stem
-from spanloom.llm.runs import canonical, collapse_runs, fit_namers
+from spanloom.llm.runs import canonical, collapse_runs, fit_namers, keyed
 
 
 def groups_of(links):
@@ -153,3 +153,60 @@ def test_canonical_keys_from_data(spark):
     empty = df.filter("false")
     assert collapse_runs(spark.createDataFrame([], "e string, id int, s_ms bigint, e_ms bigint, k string"), "e", "id", "k").count() == 0
     assert [n.stems for n in fit_namers(empty, ["verb", "obj"])] == [{}, {}]
+
+
+def test_slips_are_traced_back_to_any_number_of_stems():
+    r = random.Random(4)
+    spelt = {"".join(r.choice("abcdghkmnprtu") for _ in range(9)): 1000 for _ in range(4200)} | {"tightening": 40, "tihgtening": 1}
+    n = Namer(count_stems(spelt), count_names(spelt))  # 4,200 stems are more frequent than the right one
+    assert n.name("tihgtening") == "tighten"
+
+
+def test_no_name_is_too_long_and_no_word_has_too_many_options():
+    long = "red steel front wheel axle cover bolt cap"
+    spelt = {long: 500, "cup": 40, "red stele forn whele axel cvoer bolt cap": 1} | {w: 500 for w in long.split()}
+    n = Namer(count_stems(spelt), count_names(spelt))
+    assert n.name("red stele front whele axle cover bolt cap") == n.name(long) == n.name("red steel front wheel axle cover bolt cpa")
+    assert n.name("red steel front wheel axle cover bolt cup") == n.name(long) and n.name("cup") == "cup"  # the other seven words vouch
+    many = {"mabel": 900, "label": 800, "cabel": 700, "babel": 600, "sabel": 500, "gabel housing": 400, "gabel": 1}
+    assert Namer(count_stems(many), count_names(many)).name("xabel housing") == "gabel hous"  # the sixth of six options makes a known name
+
+
+@pytest.mark.parametrize("kept,indexed", [(10, 10**6), (10**6, 3)])
+def test_names_beyond_what_is_held_are_found_by_joins(spark, kept, indexed):
+    r = random.Random(9)
+    vocab = ["tighten", "glass", "panel", "cap", "gear", "housing", "nut", "welder", *("".join(r.choice("abcehilnorst") for _ in range(r.choice([3, 5, 7]))) for _ in range(40))]
+    names = [" ".join(r.choice(vocab) for _ in range(r.choice([1, 2, 3, 7]))) for _ in range(60)]
+    rows = [["weld", "weldx"][r.random() < 0.01] for _ in range(1500)]
+    rows = [(v, names[min(int(r.expovariate(0.1)), 59)]) for v in rows]
+    for i in range(0, 1500, 5):
+        w = list(rows[i][1])
+        at = r.randrange(len(w))
+        w[at] = r.choice(["", "x", "e", w[at] * 2, " "])
+        rows[i] = (rows[i][0], r.choice(["The ", "te ", ""]) + "".join(w).upper())
+    # a slip for "quantor" explains no other word; what is two slips away from it is a word of its own
+    rows += [("weld", "quantor")] * 2000 + [("weld", "quantov")] * 90 + [("weld", "quantovk")] * 5 + [("weld", "quantovkz"), (None, "cap"), ("weld", None), ("weld", " N/A "), ("weld", "the"), ("weld", "...")]
+    df = spark.createDataFrame(rows, "verb string, obj string")
+    spelt = [{k: n for k, n in zip(*np.unique([x[i] for x in rows if x[i] is not None], return_counts=True))} for i in (0, 1)]
+    verb, obj = (Namer(count_stems(s), count_names(s)) for s in spelt)
+    assert obj.name("quantovkz") == obj.name("quantovk") == "quantovk" and obj.name("quantov") == "quantor"
+    namers = fit_namers(df, ["verb", "obj"], kept, indexed)
+    assert isinstance(namers[0], Namer) and not isinstance(namers[1], Namer)
+    got = keyed(df, ["verb", "obj"], namers).collect()
+    want = {x: None if None in (verb.name(x[0]), obj.name(x[1])) else f"{verb.name(x[0])}|{obj.name(x[1])}" for x in set(rows)}
+    assert len(got) == len(rows) and {(x["verb"], x["obj"]): x["key"] for x in got} == want
+
+
+def test_runs_of_rare_names_in_a_large_vocabulary(spark, tmp_path):
+    import datetime
+
+    import __spark_entry__ as E
+
+    r = random.Random(6)
+    words = sorted({"".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(9)) for _ in range(20_500)})
+    rows = [("v", 3 * i + j, 10.0 * (3 * i + j), 10.0 * (3 * i + j) + 5, "weld", w) for i, w in enumerate(words) for j in range(3)]
+    rows += [("z", i, 10.0 * i, 10.0 * i + 5, "weld", w) for i, w in enumerate(["zyxquarkling"] * 20 + ["zyxqaurkling", "zyxquarkling", "zyquarkling"])]
+    rows = [(*x, None, datetime.datetime(2025, 1, 1)) for x in rows]
+    spark.createDataFrame(rows, "video_id string, segment_id int, t0 double, t1 double, verb string, object_name string, error string, captioned_at timestamp").write.parquet(f"{tmp_path}/caption_segments.parquet")
+    got = {tuple(x) for x in E.queries()["p6_found"](spark, str(tmp_path)).collect()}
+    assert got == {("v", 3 * i, 3 * i + 2) for i in range(len(words))} | {("z", 0, 22)}
