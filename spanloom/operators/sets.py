@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import work_partitions
-from .kernels import transport_similarity
+from ..runtime import parts_of, with_part, work_partitions
 from .text import ACTIONS, OBJECTS, field_tokens
+from .transport import merged, packed, register, transport
 
 ACTION_SHARE = 0.65
 
@@ -68,14 +68,26 @@ def set_coverage(pairs: DataFrame, sets: DataFrame, key: str, threshold: float =
     return _met(pairs, sets, key).mapInPandas(run, "a string, b string, covered_a double, covered_b double, best_a double, best_b double")
 
 
-def set_transport(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """Transport similarity of pairs ``a, b``: as much similarity as the durations of both sets allow at once."""
+def packed_caption_sets(segments: DataFrame, key: str, seconds: Column) -> DataFrame:
+    """``key, set``: the sets of ``caption_sets``, packed, from segments that lie together by ``key, part``.  Only packed sets are moved."""
+    register(segments.sparkSession)
+    s = segments.select(key, "part", F.array_sort(field_tokens(ACTIONS)).alias("acts"), F.array_sort(field_tokens(OBJECTS)).alias("objs"), seconds.alias("sec"))
+    g = s.groupBy(key, "part", "acts", "objs").agg(F.sum("sec").alias("sec"))
+    p = g.groupBy(key, "part").agg(packed(F.array_sort(F.collect_list(F.struct("acts", "objs", "sec")))).alias("set"))
+    return p.groupBy(key).agg(merged(F.collect_list("set")).alias("set"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            out = [(a, b, transport_similarity(segment_similarity(x, y), *(np.array([i["sec"] for i in z], float) for z in (x, y)))) for a, b, x, y in zip(f["a"], f["b"], f["x"], f["y"])]
-            yield pd.DataFrame(out, columns=["a", "b", "transport"])
 
-    # small rows, long work: spread by pair instead of by bytes
-    spread = _met(pairs, sets, key).repartition(work_partitions(pairs.sparkSession), "a", "b")
-    return spread.mapInPandas(run, "a string, b string, transport double")
+def set_transport(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """Transport similarity of pairs ``a, b`` by packed sets: as much similarity as the durations of both sets allow at once.
+
+    Sets go to the pairs, b's first; only b's move once a pair.  A set in many pairs has a copy for each part of them.
+    """
+    register(pairs.sparkSession)
+    n = work_partitions(pairs.sparkSession)  # small rows, long work: spread by pair instead of by bytes
+    parts = parts_of(pairs.select(F.explode(F.array("a", "b")).alias(key)), key)
+    own = sets.filter(F.col(key).isNotNull()).join(parts, key, "left")
+    own = own.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)).alias("part"), "set").repartition(n, key, "part")
+    p = with_part(with_part(pairs, parts.toDF("a", "parts"), "a", "b", "a_part"), parts.toDF("b", "parts"), "b", "a", "b_part")
+    met = p.repartition(n, "b", "b_part").join(own.toDF("b", "b_part", "b_set"), ["b", "b_part"]).select("a", "a_part", "b", "b_set")
+    met = met.repartition(n, "a", "a_part").join(own.toDF("a", "a_part", "a_set"), ["a", "a_part"])
+    return met.select("a", "b", transport(F.col("a_set"), F.col("b_set"), ACTION_SHARE).alias("transport"))

@@ -10,7 +10,7 @@ from ..operators import decide as D
 from ..operators import sets as S
 from ..operators import text as T
 from ..runtime import table
-from .views import CAPS, clean_token_sql, usable_captions
+from .views import CAPS, clean_token_sql, placed_captions, usable_captions
 
 GENERIC = 20
 
@@ -150,8 +150,8 @@ def set_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transport_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = usable_captions(spark, sf_dir)
-    r = S.set_transport(_pairs(spark, sf_dir), S.caption_sets(c, "video_id", _seconds()), "video_id")
+    c = placed_captions(spark, sf_dir, "t0", "t1", *T.ACTIONS, *T.OBJECTS)
+    r = S.set_transport(_pairs(spark, sf_dir), S.packed_caption_sets(c, "video_id", _seconds()), "video_id")
     return r.select("a", "b", r6(F.col("transport")).alias("transport"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import without_repeats
-from ..runtime import table
+from ..runtime import parts_of, table, with_part
 
 
 def latest_segments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -20,11 +20,27 @@ def latest_segments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFram
 SEG = "seg AS (SELECT * FROM signatures QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY indexed_at DESC) = 1)"
 
 
+CAPTION_COLUMNS = ("t0", "t1", "station", "verb", "object_name", "caption", "hand_left_action", "hand_left_object", "hand_right_action", "hand_right_object", "confidence")
+
+
 def usable_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Caption segments without an error and with a positive span, one row per segment of a video."""
-    t = table(spark, sf_dir, "caption_segments").filter(F.col("error").isNull() & F.col("t0").isNotNull() & F.col("t1").isNotNull() & (F.col("t1") > F.col("t0")))
-    cols = ["t0", "t1", "station", "verb", "object_name", "caption", "hand_left_action", "hand_left_object", "hand_right_action", "hand_right_object", "confidence"]
-    return t.groupBy("video_id", "segment_id").agg(F.max_by(F.struct(*cols), "captioned_at").alias("b")).select("video_id", "segment_id", "b.*")
+    return _latest(_usable(spark, sf_dir), CAPTION_COLUMNS, "video_id", "segment_id")
+
+
+def placed_captions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The same with the columns asked for alone, of known videos, moved once: all of a video lie together, or of its ``part`` if it has many."""
+    t = _usable(spark, sf_dir).filter("video_id IS NOT NULL")
+    t = with_part(t, parts_of(t, "video_id"), "video_id", "segment_id").repartition("video_id", "part")
+    return _latest(t, columns, "video_id", "part", "segment_id")
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "caption_segments").filter(F.col("error").isNull() & F.col("t0").isNotNull() & F.col("t1").isNotNull() & (F.col("t1") > F.col("t0")))
+
+
+def _latest(t: DataFrame, columns: tuple[str, ...], *keys: str) -> DataFrame:
+    return t.groupBy(*keys).agg(F.max_by(F.struct(*columns), "captioned_at").alias("b")).select(*keys, "b.*")
 
 
 CAPS = """caps AS (SELECT * FROM caption_segments WHERE error IS NULL AND t0 IS NOT NULL AND t1 IS NOT NULL AND t1 > t0

@@ -6,6 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ROWS_A_PART = 16_384
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
@@ -58,3 +62,15 @@ def spread(df: DataFrame) -> DataFrame:
     if len(df.inputFiles()) >= parallelism(df.sparkSession) or df.rdd.getNumPartitions() >= parallelism(df.sparkSession):
         return df
     return df.repartition(work_partitions(df.sparkSession))
+
+
+def parts_of(rows: DataFrame, key: str) -> DataFrame:
+    """``key, parts`` of the keys with more than ``ROWS_A_PART`` rows, broadcast: there is at most one for so many rows."""
+    n = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > ROWS_A_PART)
+    return F.broadcast(n.select(key, F.ceil(F.col("n") / ROWS_A_PART).alias("parts")))
+
+
+def with_part(df: DataFrame, parts: DataFrame, key: str, by: str, out: str = "part") -> DataFrame:
+    """``df`` and the part of its key that a row falls into by the hash of ``by``; part 0 of keys without parts."""
+    number = F.coalesce("parts", F.lit(1).cast("bigint"))
+    return df.join(F.broadcast(parts), key, "left").withColumn(out, F.pmod(F.xxhash64(by), number)).drop("parts")
